@@ -171,6 +171,104 @@ terms AS (
     AND lemma NOT IN (SELECT word FROM stopwords))"""
 
 
+
+def _weights() -> str:
+    """A3-A5 over the intro terms (group scope)."""
+    return """,
+tc AS (SELECT year, category, id, term, count(*) AS n FROM terms GROUP BY ALL),
+dfs AS (SELECT year, category, term, count(*) AS df FROM tc GROUP BY ALL),
+nd AS (SELECT year, category, count(*) AS ndocs FROM grouped GROUP BY ALL),
+rawt AS (
+  SELECT tc.*, dfs.df, nd.ndocs, tc.n * log2(CAST(nd.ndocs AS DOUBLE) / dfs.df) AS raw
+  FROM tc JOIN dfs USING (year, category, term) JOIN nd USING (year, category)),
+tfidf AS (
+  SELECT * FROM (
+    SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY year, category, id)) AS weight
+    FROM rawt WHERE raw <> 0)
+  WHERE abs(weight) > 1e-12)"""
+
+
+def _word_vectors() -> str:
+    return """,
+wv AS (
+  SELECT w.word, e.embedding AS vec
+  FROM (SELECT DISTINCT term AS word FROM terms) w
+  JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(w.word), 1, 7))::BIGINT % 600
+  WHERE ('0x' || substr(md5(w.word), 1, 7))::BIGINT % 600 < 500)"""
+
+
+def _vec_summary(hit_sql: str) -> str:
+    """Mean of (weighted) vectors per intro → vec_sum and unit_sum."""
+    return f""",
+hit AS ({hit_sql}),
+dims AS (SELECT year, category, id, unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM hit),
+dmean AS (SELECT year, category, id, d, avg(v) AS m FROM dims GROUP BY ALL),
+dv AS (SELECT year, category, id, sum(m) AS vs, sqrt(sum(m * m)) AS nrm FROM dmean GROUP BY ALL)
+SELECT g.year, g.category, CAST(g.id AS BIGINT) AS id,
+       round(coalesce(dv.vs, 0), 6) AS vec_sum,
+       round(coalesce(CASE WHEN dv.nrm > 0 THEN dv.vs / dv.nrm ELSE dv.vs END, 0), 6) AS unit_sum
+FROM grouped g LEFT JOIN dv USING (year, category, id)"""
+
+
+def _nchar_kmeans(iters: int) -> str:
+    """C2 in SQL: quantile start and ``iters`` unrolled Lloyd steps."""
+    parts = [""",
+pts AS (SELECT g.year, g.category, g.id, CAST(d.n_chars AS DOUBLE) AS x
+        FROM grouped g JOIN documents d ON d.doc_id = g.seq),
+psize AS (SELECT year, category, count(*) AS n FROM pts GROUP BY ALL),
+grid AS (SELECT year, category, n, unnest(range(2, CAST(floor(n / sqrt(n)) AS BIGINT))) AS k
+         FROM psize WHERE floor(n / sqrt(n)) - 1 >= 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY year, category ORDER BY x, id) - 1 AS rk FROM pts),
+picks AS (SELECT year, category, n, k, unnest(range(0, k)) AS j FROM grid),
+c0 AS (
+  SELECT p.year, p.category, p.k, list(r.x ORDER BY p.j) AS cents
+  FROM picks p JOIN ranked r ON r.year = p.year AND r.category = p.category
+   AND r.rk = CAST(floor((p.j + 0.5) * p.n / p.k) AS BIGINT)
+  GROUP BY ALL)"""]
+    for i in range(iters):
+        parts.append(f""",
+a{i} AS (
+  SELECT c.year, c.category, c.k, c.cents, p.x,
+         len(list_filter(list_transform(range(1, len(c.cents)),
+                                        lambda t: (c.cents[t] + c.cents[t + 1]) / 2),
+                         lambda m: m < p.x)) AS cluster
+  FROM c{i} c JOIN pts p USING (year, category)),
+m{i} AS (SELECT year, category, k, cluster, avg(x) AS mu FROM a{i} GROUP BY ALL),
+o{i} AS (SELECT year, category, k, unnest(cents) AS old, generate_subscripts(cents, 1) - 1 AS cluster FROM c{i}),
+c{i + 1} AS (
+  SELECT o.year, o.category, o.k, list(coalesce(m.mu, o.old) ORDER BY coalesce(m.mu, o.old)) AS cents
+  FROM o{i} o LEFT JOIN m{i} m USING (year, category, k, cluster) GROUP BY ALL)""")
+    parts.append(f""",
+cents AS (SELECT * FROM c{iters}),
+lab AS (
+  SELECT c.year, c.category, c.k, p.id, p.x,
+         len(list_filter(list_transform(range(1, len(c.cents)),
+                                        lambda t: (c.cents[t] + c.cents[t + 1]) / 2),
+                         lambda m: m < p.x)) AS cluster
+  FROM cents c JOIN pts p USING (year, category)),
+pairsil AS (
+  SELECT a.year, a.category, a.k, a.id, a.cluster,
+         avg(abs(a.x - b.x)) FILTER (WHERE a.cluster = b.cluster AND a.id <> b.id) AS ain,
+         count(*) FILTER (WHERE a.cluster = b.cluster) AS m
+  FROM lab a JOIN lab b USING (year, category, k) GROUP BY ALL),
+pairout AS (
+  SELECT a.year, a.category, a.k, a.id, b.cluster AS oc, avg(abs(a.x - b.x)) AS dout
+  FROM lab a JOIN lab b USING (year, category, k) WHERE a.cluster <> b.cluster GROUP BY ALL),
+pb AS (SELECT year, category, k, id, min(dout) AS bout FROM pairout GROUP BY ALL),
+ncl AS (SELECT year, category, k, count(DISTINCT cluster) AS nc FROM lab GROUP BY ALL),
+sil AS (
+  SELECT s.year, s.category, s.k,
+         CASE WHEN any_value(n.nc) >= 2 THEN avg(CASE WHEN s.m <= 1 THEN 0.0
+              WHEN greatest(s.ain, b.bout) <= 0 THEN 0.0
+              ELSE (b.bout - s.ain) / greatest(s.ain, b.bout) END) END AS score
+  FROM pairsil s JOIN ncl n USING (year, category, k)
+  LEFT JOIN pb b USING (year, category, k, id) GROUP BY s.year, s.category, s.k),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year, category ORDER BY score DESC, k) AS r
+                 FROM sil WHERE score IS NOT NULL) WHERE r = 1)""")
+    return "".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -236,4 +334,52 @@ SELECT year, category, CAST(id AS BIGINT) AS id,
        regexp_replace({rm}, '{SPACE}+', ' ', 'g') AS text FROM prep"""
     q["doc_terms"] = "WITH" + _prepared() + _tags() + _entities() + _stripped() + _terms() + """
 SELECT year, category, CAST(id AS BIGINT) AS id, CAST(pos AS BIGINT) AS pos, term FROM terms"""
+    # ---- step 2: vectors -------------------------------------------------
+    base = "WITH" + _prepared() + _tags() + _entities() + _stripped() + _terms()
+    q["term_counts"] = base + _weights() + """
+SELECT year, category, CAST(id AS BIGINT) AS id, term, CAST(n AS BIGINT) AS n FROM tc"""
+    q["doc_freq"] = base + _weights() + """
+SELECT year, category, term, CAST(df AS BIGINT) AS df FROM dfs"""
+    q["tfidf"] = base + _weights() + """
+SELECT year, category, CAST(id AS BIGINT) AS id, term, round(weight, 6) AS weight FROM tfidf"""
+    q["embed_lookup"] = base + _word_vectors() + """
+SELECT t.year, t.category, CAST(t.id AS BIGINT) AS id, CAST(t.pos AS BIGINT) AS pos, t.term,
+       round(sqrt(list_sum(list_transform(w.vec, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS vec_norm
+FROM terms t JOIN wv w ON w.word = t.term"""
+    q["doc_vectors_tfidf"] = base + _weights() + _word_vectors() + _vec_summary(
+        "SELECT t.year, t.category, t.id, list_transform(w.vec, lambda x: CAST(x AS DOUBLE) * t.weight) AS vec "
+        "FROM tfidf t JOIN wv w ON w.word = t.term")
+    q["doc_vectors_mean"] = base + _word_vectors() + _vec_summary(
+        "SELECT t.year, t.category, t.id, list_transform(w.vec, lambda x: CAST(x AS DOUBLE)) AS vec "
+        "FROM (SELECT DISTINCT year, category, id, term FROM terms) t JOIN wv w ON w.word = t.term")
+    q["doc_vectors_top10"] = base + _weights() + _word_vectors() + _vec_summary(
+        "SELECT t.year, t.category, t.id, list_transform(w.vec, lambda x: CAST(x AS DOUBLE) * t.weight) AS vec "
+        "FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year, category, id "
+        "ORDER BY weight DESC, term) AS r FROM tfidf) WHERE r <= 10) t JOIN wv w ON w.word = t.term")
+
+    # ---- step 3: clusters (1-D points = article length) --------------------
+    km = "WITH" + _grouped("std") + _nchar_kmeans(3)
+    q["kmeans_centroids"] = km + """
+SELECT year, category, CAST(k AS BIGINT) AS k, CAST(generate_subscripts(cents, 1) - 1 AS BIGINT) AS cluster,
+       round(unnest(cents), 6) AS mu FROM cents"""
+    q["silhouette"] = km + """
+SELECT year, category, CAST(k AS BIGINT) AS k, round(score, 6) AS score FROM sil"""
+    q["best_k"] = km + """
+SELECT year, category, CAST(k AS BIGINT) AS k, round(score, 6) AS score FROM best"""
+    q["representatives"] = km + """,
+blab AS (SELECT l.* FROM lab l JOIN best b USING (year, category, k)),
+bcent AS (SELECT c.year, c.category, unnest(c.cents) AS mu, generate_subscripts(c.cents, 1) - 1 AS cluster
+          FROM cents c JOIN best b USING (year, category, k)),
+sizes AS (SELECT year, category, cluster, count(*) AS size FROM blab GROUP BY ALL),
+bounds AS (SELECT year, category, CAST(floor(avg(size) - coalesce(stddev_samp(size), 0)) AS BIGINT) AS n_min,
+                  CAST(ceil(avg(size) + coalesce(stddev_samp(size), 0)) AS BIGINT) AS n_max
+           FROM sizes GROUP BY ALL),
+okc AS (SELECT s.*, b.n_max FROM sizes s JOIN bounds b USING (year, category)
+        WHERE s.size >= greatest(3, b.n_min)),
+ranked_r AS (
+  SELECT l.year, l.category, l.cluster, l.id, o.n_max,
+         row_number() OVER (PARTITION BY l.year, l.category, l.cluster ORDER BY abs(l.x - c.mu), l.id) - 1 AS rank
+  FROM blab l JOIN okc o USING (year, category, cluster) JOIN bcent c USING (year, category, cluster))
+SELECT year, category, CAST(cluster AS BIGINT) AS cluster, CAST(rank AS BIGINT) AS rank, CAST(id AS BIGINT) AS id
+FROM ranked_r WHERE rank < n_max"""
     return q

@@ -101,3 +101,78 @@ def vocabulary_vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> Da
     """Fixture word vectors for the given words (FIXTURES §3)."""
     emb = load_table(spark, sf_dir, "embeddings")
     return ann.word_vectors_from_embeddings(words, emb)
+
+
+# ---- Q1: vectors and clusters --------------------------------------------------
+
+def doc_weights(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """A5 with the group as scope (document vectors)."""
+    from storyloom.operators.vectors import tfidf
+    return tfidf(terms, docs, G, "id")
+
+
+def doc_vectors(terms: DataFrame, docs: DataFrame, vectors: DataFrame, dim: int,
+                cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
+    """A6 / A7 / A8 by ``cfg.vectorizer`` → ``DOC…, vec``."""
+    from storyloom.operators import vectors as vx
+    if cfg.vectorizer == "mean":
+        return vx.doc_vec_mean(terms, docs, vectors, DOC, dim)
+    w = doc_weights(terms, docs)
+    top = 10 if cfg.vectorizer == "top10" else None
+    return vx.doc_vec_tfidf(w, docs, vectors, DOC, dim, top_n=top)
+
+
+def cluster_docs(doc_vec: DataFrame, cfg: PipelineConfig = PipelineConfig()):
+    """M6 → C1 → C4 (C2, C3, W5) → C5/A2 → W2.
+
+    Returns ``(labels, best, reps)``: labels ``DOC…, x, cluster``; best
+    ``G…, k, score, cents``; reps ``G…, cluster, rank, id``.
+    """
+    from storyloom.operators import clustering as cl
+    from storyloom.operators.vectors import normalize_rows
+    pts = cl.pca_1d(normalize_rows(doc_vec), G, "id", "vec", "x")
+    labels, best = cl.kmeans_sweep(pts, G, "x", "id", max_k=cfg.max_k)
+    reps = cl.top_representatives(labels, cl.centroid_table(best, G), G, "x", "id")
+    return labels, best, reps
+
+
+def sentiment_labels(spark: SparkSession, sf_dir: str, titles: DataFrame) -> DataFrame:
+    """0/1 label per title from a classifier trained on the label table."""
+    from storyloom.operators.sentiment import score_sentiment, train_sentiment
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    train = docs.join(labels, "doc_id").select(
+        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("text"), "label")
+    model = train_sentiment(train)
+    return score_sentiment(model, titles, "title")
+
+
+def article_rows(prep: DataFrame, reps: DataFrame, labelled: DataFrame) -> DataFrame:
+    """J2 + J3 + M4 → ``Year, Category, id, url, title, sentiment`` (S2 rows)."""
+    from storyloom.functions.text import sentiment_bucket
+    chosen = prep.join(reps.select(*DOC), DOC, "left_semi")
+    out = chosen.join(labelled.select(*DOC, "label"), DOC)
+    return out.select(F.col("year").alias("Year"), F.col("category").alias("Category"),
+                      "id", "url", "title",
+                      sentiment_bucket(F.col("label").cast("double")).alias("sentiment"))
+
+
+def cluster_pipeline(spark: SparkSession, sf_dir: str,
+                     cfg: PipelineConfig = PipelineConfig()) -> dict[str, DataFrame]:
+    """Q1 on the driver tables: every intermediate the later stages reuse."""
+    from storyloom.session import cut_lineage
+    prep = load_prepared(spark, sf_dir, cfg)
+    strip = stripped(prep)
+    terms = cut_lineage(doc_terms(spark, strip, cfg))
+    docs = prep.select(*DOC)
+    vectors = vocabulary_vectors(spark, sf_dir, terms.select(F.col("term").alias("word")))
+    dim = len(load_table(spark, sf_dir, "embeddings").select("embedding").first()[0])
+    dv = doc_vectors(terms, docs, vectors, dim, cfg)
+    labels, best, reps = cluster_docs(dv, cfg)
+    reps = cut_lineage(reps)
+    scored = sentiment_labels(spark, sf_dir, prep.join(reps.select(*DOC), DOC, "left_semi")
+                              .select(*DOC, "title"))
+    articles = article_rows(prep, reps, scored)
+    return {"prep": prep, "strip": strip, "terms": terms, "vectors": vectors,
+            "doc_vec": dv, "labels": labels, "best": best, "reps": reps,
+            "sentiment": scored, "articles": articles}

@@ -183,3 +183,180 @@ def q_doc_terms(spark, sf_dir):
     """Filtered lemmas per stripped intro, in order."""
     terms = pl.doc_terms(spark, pl.stripped(pl.load_prepared(spark, sf_dir)))
     return terms.select(*_doc_cols(terms), F.col("pos").cast("bigint").alias("pos"), "term")
+
+
+# ---- step 2: vectors ---------------------------------------------------------
+
+def _terms_and_docs(spark, sf_dir, cfg=None):
+    cfg = cfg or pl.PipelineConfig()
+    prep = pl.load_prepared(spark, sf_dir, cfg)
+    terms = pl.doc_terms(spark, pl.stripped(prep), cfg)
+    return terms, prep.select(*pl.DOC)
+
+
+def _vectors(spark, sf_dir, terms):
+    return pl.vocabulary_vectors(spark, sf_dir, terms.select(F.col("term").alias("word")))
+
+
+def _dim(spark, sf_dir):
+    return len(load_table(spark, sf_dir, "embeddings").select("embedding").first()[0])
+
+
+def _vec_summary(df):
+    from storyloom.functions.arrays import l2_normalize
+    total = lambda c: F.aggregate(c, F.lit(0.0).cast("double"), lambda a, b: a + b)
+    return df.select(F.col("year").cast("bigint").alias("year"), "category", "id",
+                     _r(total(F.col("vec"))).alias("vec_sum"),
+                     _r(total(l2_normalize(F.col("vec")))).alias("unit_sum"))
+
+
+@register("term_counts")
+def q_term_counts(spark, sf_dir):
+    """A3: bag of words per intro."""
+    from storyloom.operators.vectors import term_counts
+    terms, _ = _terms_and_docs(spark, sf_dir)
+    c = term_counts(terms, pl.DOC)
+    return c.select(*_doc_cols(c), "term", F.col("n").cast("bigint").alias("n"))
+
+
+@register("doc_freq")
+def q_doc_freq(spark, sf_dir):
+    """A4: documents per term inside each group."""
+    from storyloom.operators.vectors import doc_freq, term_counts
+    terms, _ = _terms_and_docs(spark, sf_dir)
+    d = doc_freq(term_counts(terms, pl.DOC), pl.G)
+    return d.select(F.col("year").cast("bigint").alias("year"), "category", "term",
+                    F.col("df").cast("bigint").alias("df"))
+
+
+@register("tfidf")
+def q_tfidf(spark, sf_dir):
+    """A5: n * log2(N/df), unit length per intro, tiny weights dropped."""
+    terms, docs = _terms_and_docs(spark, sf_dir)
+    w = pl.doc_weights(terms, docs)
+    return w.select(*_doc_cols(w), "term", _r("weight").alias("weight"))
+
+
+@register("embed_lookup")
+def q_embed_lookup(spark, sf_dir):
+    """Each intro term with its word vector (vector length as a check value)."""
+    from storyloom.operators.vectors import embed_lookup
+    terms, _ = _terms_and_docs(spark, sf_dir)
+    hit = embed_lookup(terms, _vectors(spark, sf_dir, terms))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0).cast("double"),
+                              lambda a, x: a + x.cast("double") * x.cast("double")))
+    return hit.select(*_doc_cols(hit), F.col("pos").cast("bigint").alias("pos"), "term",
+                      _r(norm).alias("vec_norm"))
+
+
+@register("doc_vectors_tfidf")
+def q_doc_vectors_tfidf(spark, sf_dir):
+    """A7 + M6: TF-IDF weighted mean word vector per intro, then unit length."""
+    terms, docs = _terms_and_docs(spark, sf_dir)
+    dv = pl.doc_vectors(terms, docs, _vectors(spark, sf_dir, terms), _dim(spark, sf_dir))
+    return _vec_summary(dv)
+
+
+@register("doc_vectors_mean")
+def q_doc_vectors_mean(spark, sf_dir):
+    """Mean vector over distinct in-vocabulary terms."""
+    cfg = pl.PipelineConfig(vectorizer="mean")
+    terms, docs = _terms_and_docs(spark, sf_dir, cfg)
+    dv = pl.doc_vectors(terms, docs, _vectors(spark, sf_dir, terms), _dim(spark, sf_dir), cfg)
+    return _vec_summary(dv)
+
+
+@register("doc_vectors_top10")
+def q_doc_vectors_top10(spark, sf_dir):
+    """As A7 over the 10 highest-weight terms (ties by term)."""
+    cfg = pl.PipelineConfig(vectorizer="top10")
+    terms, docs = _terms_and_docs(spark, sf_dir, cfg)
+    dv = pl.doc_vectors(terms, docs, _vectors(spark, sf_dir, terms), _dim(spark, sf_dir), cfg)
+    return _vec_summary(dv)
+
+
+# ---- step 3: clusters ----------------------------------------------------------
+
+NCHARS_ITER = 3
+
+
+def _nchar_points(spark, sf_dir):
+    """FIXTURES §3: the article length as a 1-D point per kept article."""
+    g = pl.grouped(load_articles(spark, sf_dir))
+    nc = load_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.col("n_chars").cast("double").alias("x"))
+    return g.join(nc, "seq").select(*pl.DOC, "x")
+
+
+def _nchar_kmeans(spark, sf_dir):
+    from storyloom.operators import clustering as cl
+    pts = _nchar_points(spark, sf_dir)
+    grid = cl.model_grid(pts, pl.G)
+    cents = cl.kmeans_1d(pts, grid, pl.G, "x", "id", max_iter=NCHARS_ITER)
+    return pts, cents
+
+
+@register("kmeans_centroids")
+def q_kmeans_centroids(spark, sf_dir):
+    """C2 (and C4's k grid): centroids after 3 Lloyd steps, every group and k."""
+    _, cents = _nchar_kmeans(spark, sf_dir)
+    c = cents.select(*pl.G, "k", F.posexplode("cents").alias("cluster", "mu"))
+    return c.select(F.col("year").cast("bigint").alias("year"), "category",
+                    F.col("k").cast("bigint").alias("k"),
+                    F.col("cluster").cast("bigint").alias("cluster"), _r("mu").alias("mu"))
+
+
+@register("silhouette")
+def q_silhouette(spark, sf_dir):
+    """Exact 1-D silhouette of every (group, k) model (oracle: all pairs)."""
+    from storyloom.operators import clustering as cl
+    pts, cents = _nchar_kmeans(spark, sf_dir)
+    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
+    s = cl.silhouette_1d(lab, pl.G, "x", "id")
+    return s.select(F.col("year").cast("bigint").alias("year"), "category",
+                    F.col("k").cast("bigint").alias("k"), _r("score").alias("score"))
+
+
+@register("best_k")
+def q_best_k(spark, sf_dir):
+    """The k with the best silhouette per group (smallest k on ties)."""
+    from storyloom.operators import clustering as cl
+    pts, cents = _nchar_kmeans(spark, sf_dir)
+    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
+    b = cl.best_per_group(cl.silhouette_1d(lab, pl.G, "x", "id"), pl.G)
+    return b.select(F.col("year").cast("bigint").alias("year"), "category",
+                    F.col("k").cast("bigint").alias("k"), _r("score").alias("score"))
+
+
+@register("representatives")
+def q_representatives(spark, sf_dir):
+    """Nearest members of big-enough clusters of the best k."""
+    from storyloom.operators import clustering as cl
+    pts, cents = _nchar_kmeans(spark, sf_dir)
+    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
+    best = cl.best_per_group(cl.silhouette_1d(lab, pl.G, "x", "id"), pl.G).join(
+        cents, [*pl.G, "k"])
+    labels = lab.join(best.select(*pl.G, "k"), [*pl.G, "k"], "left_semi").drop("k")
+    reps = cl.top_representatives(labels, cl.centroid_table(best, pl.G), pl.G, "x", "id")
+    return reps.select(F.col("year").cast("bigint").alias("year"), "category",
+                       F.col("cluster").cast("bigint").alias("cluster"), "rank", "id")
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    """C1 + M6: unit document vectors projected on the group's first axis
+    (rows-only: eigenvectors have no SQL form)."""
+    from storyloom.operators import clustering as cl
+    from storyloom.operators.vectors import normalize_rows
+    terms, docs = _terms_and_docs(spark, sf_dir)
+    dv = pl.doc_vectors(terms, docs, _vectors(spark, sf_dir, terms), _dim(spark, sf_dir))
+    x = cl.pca_1d(normalize_rows(dv), pl.G, "id", "vec", "x")
+    return x.select(*_doc_cols(x), _r("x").alias("x"))
+
+
+@register("cluster_articles")
+def q_cluster_articles(spark, sf_dir):
+    """Q1 (S2 rows): representative articles with their sentiment bucket."""
+    out = pl.cluster_pipeline(spark, sf_dir)["articles"]
+    return out.select(F.col("Year").cast("bigint").alias("Year"), "Category", "id", "url",
+                      "title", "sentiment")
