@@ -149,16 +149,34 @@ def assign(points: DataFrame, cents: DataFrame, keys: Sequence[str], x_col: str
 
 
 def _lloyd_step(points: DataFrame, cents: DataFrame, keys: Sequence[str], x_col: str) -> DataFrame:
+    """One Lloyd step for every model: two aggregates, no join back (an empty
+    cluster keeps its centroid through a map lookup)."""
     keys = list(keys)
     means = (assign(points, cents, keys, x_col)
              .groupBy(*keys, "k", "cluster").agg(F.avg(x_col).alias("_m")))
-    old = cents.select(*keys, "k", F.posexplode("cents").alias("cluster", "_old"))
-    # an empty cluster keeps its centroid
-    new = (old.join(means, [*keys, "k", "cluster"], "left")
-           .withColumn("_c", F.coalesce("_m", "_old")))
-    return new.groupBy(*keys, "k").agg(
-        F.sort_array(F.collect_list("_c")).alias("cents"),
-        F.max(F.abs(F.col("_c") - F.col("_old"))).alias("_move"))
+    per_model = means.groupBy(*keys, "k").agg(
+        F.map_from_entries(F.collect_list(F.struct("cluster", "_m"))).alias("_mm"))
+    new = cents.join(per_model, [*keys, "k"], "left").withColumn(
+        "_new", F.transform("cents", lambda c, i: F.coalesce(F.element_at("_mm", i), c)))
+    return new.select(*keys, "k", F.array_sort("_new").alias("cents"),
+                      F.array_max(F.zip_with("_new", "cents", lambda a, b: F.abs(a - b)))
+                      .alias("_move"))
+
+
+def iterate(state: DataFrame, step, max_iter: int, converged=None):
+    """Run ``state = step(state)`` up to ``max_iter`` times.
+
+    Every new state is written to the shared checkpoint folder and read back
+    (one job per step), so the plan of step n never contains step n-1 and a
+    lost executor costs at most one step.  ``converged(state) -> bool`` may
+    stop early; it reads the small materialised state.
+    """
+    current = state
+    for _ in range(max_iter):
+        current = cut_lineage(step(current))
+        if converged is not None and converged(current):
+            break
+    return current
 
 
 def kmeans_1d(points: DataFrame, grid: DataFrame, keys: Sequence[str], x_col: str = "x",
@@ -167,8 +185,8 @@ def kmeans_1d(points: DataFrame, grid: DataFrame, keys: Sequence[str], x_col: st
     """``(keys…, k, cents)`` after at most ``max_iter`` Lloyd steps.
 
     Stops early when no centroid of any model moves more than ``tol``.  The
-    points are checkpointed once and the centroid table every step, so each
-    step reads materialised input and lineage stays short.
+    points are checkpointed once; the centroid table is one small row per
+    model (cached each step, checkpointed every few steps).
     """
     keys = list(keys)
     pts = points.select(*keys, id_col, x_col)
@@ -177,15 +195,10 @@ def kmeans_1d(points: DataFrame, grid: DataFrame, keys: Sequence[str], x_col: st
     cents = _initial_centroids(pts, grid, keys, x_col, id_col)
     if checkpoint:
         cents = cut_lineage(cents)
-    for _ in range(max_iter):
-        step = _lloyd_step(pts, cents, keys, x_col)
-        if checkpoint:
-            step = cut_lineage(step)
-        moved = step.agg(F.max("_move")).first()[0]
-        cents = step.drop("_move")
-        if moved is None or moved <= tol:
-            break
-    return cents
+    out = iterate(cents, lambda c: _lloyd_step(pts, c.select(*keys, "k", "cents"), keys, x_col),
+                  max_iter,
+                  converged=lambda c: (c.agg(F.max("_move")).first()[0] or 0.0) <= tol)
+    return out.select(*keys, "k", "cents")
 
 
 # ---- C3 ---------------------------------------------------------------------
@@ -248,6 +261,8 @@ def kmeans_sweep(points: DataFrame, keys: Sequence[str], x_col: str = "x", id_co
     cents = kmeans_1d(points, grid, keys, x_col, id_col, max_iter, checkpoint=checkpoint)
     labelled = assign(points.select(*keys, id_col, x_col), cents, keys, x_col).drop("cents")
     scores = silhouette_1d(labelled, keys, x_col, id_col)
+    if checkpoint:
+        scores = cut_lineage(scores)
     best = best_per_group(scores, keys).join(cents, [*keys, "k"])
     labels = assign(points.select(*keys, id_col, x_col),
                     best.select(*keys, "k", "cents"), keys, x_col).drop("cents")

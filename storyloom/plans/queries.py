@@ -360,3 +360,100 @@ def q_cluster_articles(spark, sf_dir):
     out = pl.cluster_pipeline(spark, sf_dir)["articles"]
     return out.select(F.col("Year").cast("bigint").alias("Year"), "Category", "id", "url",
                       "title", "sentiment")
+
+
+# ---- step 4: topics ----------------------------------------------------------
+
+def _nchar_clusters(spark, sf_dir):
+    """Cluster members of the n_chars k-means (deterministic, SQL-checkable)."""
+    from storyloom.operators import clustering as cl
+    pts, cents = _nchar_kmeans(spark, sf_dir)
+    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
+    best = cl.best_per_group(cl.silhouette_1d(lab, pl.G, "x", "id"), pl.G)
+    return lab.join(best.select(*pl.G, "k"), [*pl.G, "k"], "left_semi").select(*pl.DOC, "cluster")
+
+
+def _cluster_terms(spark, sf_dir):
+    terms, _ = _terms_and_docs(spark, sf_dir)
+    return terms.join(_nchar_clusters(spark, sf_dir), pl.DOC)
+
+
+@register("bigram_counts")
+def q_bigram_counts(spark, sf_dir):
+    """Adjacent pair counts per cluster with the vocabulary size."""
+    from storyloom.operators.topics import bigram_counts
+    scope = [*pl.G, "cluster"]
+    _, pairs, vocab = bigram_counts(_cluster_terms(spark, sf_dir), scope)
+    out = pairs.join(vocab, scope)
+    return out.select(F.col("year").cast("bigint").alias("year"), "category",
+                      F.col("cluster").cast("bigint").alias("cluster"), "a", "b",
+                      F.col("n_ab").cast("bigint").alias("n_ab"),
+                      F.col("n_vocab").cast("bigint").alias("n_vocab"))
+
+
+@register("bigram_phrases")
+def q_bigram_phrases(spark, sf_dir):
+    """Greedy bigram merging inside each cluster."""
+    from storyloom.operators.topics import bigram_phrases
+    m = bigram_phrases(_cluster_terms(spark, sf_dir), [*pl.G, "cluster"])
+    return m.select(*_doc_cols(m), F.col("pos").cast("bigint").alias("pos"), "term")
+
+
+@register("keyword_valid")
+def q_keyword_valid(spark, sf_dir):
+    """which distinct intro words pass the keyword check (with vocabulary)."""
+    from storyloom.operators.tokens import keyword_valid
+    terms, _ = _terms_and_docs(spark, sf_dir)
+    words = terms.select(F.col("term").alias("word")).distinct()
+    ok = keyword_valid(words, "word", pl.stop_list(spark), _vectors(spark, sf_dir, terms))
+    return ok.select("word")
+
+
+def _group_queries(spark, sf_dir):
+    """Per group: its three most frequent intro terms that have a vector."""
+    terms, _ = _terms_and_docs(spark, sf_dir)
+    vec = _vectors(spark, sf_dir, terms)
+    freq = terms.groupBy(*pl.G, "term").agg(F.count(F.lit(1)).alias("_n")).join(
+        vec.withColumnRenamed("word", "term"), "term")
+    from pyspark.sql import Window
+    w = Window.partitionBy(*pl.G).orderBy(F.col("_n").desc(), "term")
+    return freq.withColumn("_r", F.row_number().over(w)).where("_r <= 3") \
+        .select(*pl.G, F.col("term").alias("word"), "vec")
+
+
+@register("cosmul_neighbours")
+def q_cosmul_neighbours(spark, sf_dir):
+    """5 nearest vocabulary words (product of (1+cos)/2) per group query."""
+    from storyloom.operators.topics import cosmul_neighbours
+    vocab = pl.corpus_vocabulary(spark, sf_dir)
+    n = cosmul_neighbours(_group_queries(spark, sf_dir), vocab, pl.G)
+    return n.select(F.col("year").cast("bigint").alias("year"), "category",
+                    F.col("rank").cast("bigint").alias("rank"), "word", _r("score").alias("score"))
+
+
+@register("topic_sentiment")
+def q_topic_sentiment(spark, sf_dir):
+    """Mean quality label of each n_chars cluster → bucket."""
+    from storyloom.operators.topics import topic_sentiment
+    cl = _nchar_clusters(spark, sf_dir)
+    g = pl.grouped(load_articles(spark, sf_dir)).select(*pl.DOC, "seq")
+    lab = load_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"),
+                                                     F.col("quality").alias("label"))
+    labels = g.join(lab, "seq")
+    s = topic_sentiment(cl, labels, [*pl.G, "cluster"], pl.DOC)
+    return s.select(F.col("year").cast("bigint").alias("year"), "category",
+                    F.col("cluster").cast("bigint").alias("cluster"),
+                    _r("mean_label").alias("mean_label"), "sentiment")
+
+
+@register("topics")
+def q_topics(spark, sf_dir):
+    """Q2 (S4 rows): topics per cluster with name, keywords, articles, sentiment."""
+    t = pl.topic_pipeline(spark, sf_dir)["topics"]
+    return t.select(F.col("Year").cast("bigint").alias("Year"), "Category",
+                    F.col("ClusterId").cast("bigint").alias("ClusterId"),
+                    F.col("TopicId").cast("bigint").alias("TopicId"),
+                    F.array_join("Topic Name", "|").alias("Topic Name"),
+                    F.array_join("Keywords", "|").alias("Keywords"),
+                    F.array_join(F.col("Articles").cast("array<string>"), "|").alias("Articles"),
+                    "Sentiment")
