@@ -240,3 +240,71 @@ def topic_pipeline(spark: SparkSession, sf_dir: str, q1: dict | None = None,
     return {**q1, "merged": merged, "grid": grid, "theta": theta, "phi": phi,
             "coherence": coh, "best_topics": best, "doc_topics": dt, "keywords": kw,
             "names": names, "topics": topics}
+
+
+# ---- Q3: triples -----------------------------------------------------------------
+
+TRIPLE_KEYS = [*G, "cluster", "topic", "id"]
+
+
+def triple_annotations(texts: DataFrame, keys=TRIPLE_KEYS, materialize: bool = True):
+    """Default annotations of the triple texts: tokens, entities, chunks."""
+    from storyloom.operators.entities import TRIPLE_IGNORED_TYPES, decode_bilou
+    sents = ann.sentences(texts, keys, "text")
+    stop = ann.stopwords_df(texts.sparkSession, ann.BASE_STOPWORDS)
+    tok = ann.tokens(sents, keys, stop, with_deps=True)
+    tags = ann.capital_tags(tok, keys)
+    ents = decode_bilou(tags, [*keys, "sent_id"], TRIPLE_IGNORED_TYPES)
+    chunks = ann.noun_chunks(tok, keys)
+    if materialize:
+        from storyloom.session import cut_lineage
+        tok = cut_lineage(tok)
+        ents, chunks = cut_lineage(ents), cut_lineage(chunks)
+    return tok, ents, chunks
+
+
+def triple_texts(prep: DataFrame, topic_docs: DataFrame,
+                 cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
+    """T7 input: M2 of the (coref) intro, then M3 with the triple stop list."""
+    from storyloom.functions.text import remove_words
+    words = sorted((ann.BASE_STOPWORDS | ann.ADDED_STOPWORDS | cfg.extra_stopwords)
+                   - ann.TRIPLE_KEEP)
+    t = prep.join(topic_docs.select(*DOC, "cluster", "topic"), DOC)
+    return t.select(*TRIPLE_KEYS, remove_words(clean_text("coref"), words).alias("text"))
+
+
+def triple_rows(texts: DataFrame, sentiment_model) -> DataFrame:
+    """T5 → T6 → P8/M4 → ``Year, Category, ClusterId, topicId, source,
+    relation, target, articleId, sentiment`` (+ sent_id for ordering)."""
+    from storyloom.functions.text import sentiment_bucket
+    from storyloom.operators import triples as tr
+    from storyloom.operators.sentiment import score_sentiment
+    tok, ents, chunks = triple_annotations(texts)
+    found = tr.filter_triples(tr.find_triplets(tok, chunks, ents, TRIPLE_KEYS))
+    found = found.withColumn("_txt", F.concat_ws(" ", "subject", "relation", "object"))
+    scored = score_sentiment(sentiment_model, found, "_txt")
+    return scored.select(
+        F.col("year").alias("Year"), F.col("category").alias("Category"),
+        F.col("cluster").alias("ClusterId"), F.col("topic").alias("topicId"),
+        F.col("subject").alias("source"), "relation", F.col("object").alias("target"),
+        F.col("id").alias("articleId"), "sent_id",
+        sentiment_bucket(F.col("label").cast("double")).alias("sentiment"))
+
+
+def train_label_model(spark: SparkSession, sf_dir: str):
+    from storyloom.operators.sentiment import train_sentiment
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    train = docs.join(labels, "doc_id").select(
+        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("text"), "label")
+    return train_sentiment(train)
+
+
+def triple_pipeline(spark: SparkSession, sf_dir: str, q2: dict | None = None,
+                    cfg: PipelineConfig = PipelineConfig()) -> dict:
+    """Q3: triples for every topic's documents (topics from Q2)."""
+    q2 = q2 or topic_pipeline(spark, sf_dir, cfg=cfg)
+    dt = q2["doc_topics"].select(*DOC, "cluster", "topic")
+    texts = triple_texts(q2["prep"], dt, cfg)
+    rows = triple_rows(texts, train_label_model(spark, sf_dir))
+    return {**q2, "triples": rows}

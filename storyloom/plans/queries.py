@@ -457,3 +457,87 @@ def q_topics(spark, sf_dir):
                     F.array_join("Keywords", "|").alias("Keywords"),
                     F.array_join(F.col("Articles").cast("array<string>"), "|").alias("Articles"),
                     "Sentiment")
+
+
+# ---- step 5: triples -----------------------------------------------------------
+
+def _triple_texts_nchars(spark, sf_dir):
+    """Triple texts of every kept article; cluster = n_chars cluster, topic 0."""
+    prep = pl.load_prepared(spark, sf_dir)
+    td = _nchar_clusters(spark, sf_dir).withColumn("topic", F.lit(0))
+    return pl.triple_texts(prep, td)
+
+
+@register("verb_phrases")
+def q_verb_phrases(spark, sf_dir):
+    """The longest root verb phrase per sentence of the triple texts."""
+    from storyloom.operators import triples as tr
+    tok, _, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    vp = tr.longest_phrase(tr.verb_phrases(tok, pl.TRIPLE_KEYS), pl.TRIPLE_KEYS)
+    return vp.select(*_doc_cols(vp), F.col("sent_id").cast("bigint").alias("sent_id"),
+                     F.col("start").cast("bigint").alias("start"),
+                     F.col("end").cast("bigint").alias("end"), "text")
+
+
+@register("noun_chunks")
+def q_noun_chunks(spark, sf_dir):
+    """Default chunker over the triple texts (input of T3/T4)."""
+    _, _, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    return ch.select(*_doc_cols(ch), F.col("sent_id").cast("bigint").alias("sent_id"),
+                     F.col("start").cast("bigint").alias("start"),
+                     F.col("end").cast("bigint").alias("end"), "text")
+
+
+@register("triples_raw")
+def q_triples_raw(spark, sf_dir):
+    """Subject / relation / object per sentence before T6."""
+    from storyloom.operators import triples as tr
+    tok, ents, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    t = tr.find_triplets(tok, ch, ents, pl.TRIPLE_KEYS)
+    return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
+                    "subject", "relation", "object")
+
+
+@register("triples_filtered")
+def q_triples_filtered(spark, sf_dir):
+    """Filtered triples (LCS redundancy removed from the object)."""
+    from storyloom.operators import triples as tr
+    tok, ents, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    t = tr.filter_triples(tr.find_triplets(tok, ch, ents, pl.TRIPLE_KEYS))
+    return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
+                    "subject", "relation", "object")
+
+
+@register("triples")
+def q_triples(spark, sf_dir):
+    """T7 (S6 rows): triples with topic, article and sentiment for all kept
+    articles (n_chars clusters as topic groups; rows-only)."""
+    rows = pl.triple_rows(_triple_texts_nchars(spark, sf_dir), pl.train_label_model(spark, sf_dir))
+    return rows.select(F.col("Year").cast("bigint").alias("Year"), "Category",
+                       F.col("ClusterId").cast("bigint").alias("ClusterId"),
+                       F.col("topicId").cast("bigint").alias("topicId"), "source", "relation",
+                       "target", "articleId", "sentiment")
+
+
+@register("entity_triples")
+def q_entity_triples(spark, sf_dir):
+    """Sentences with exactly two entities, relation at the root."""
+    from storyloom.operators import triples as tr
+    tok, ents, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    t = tr.entity_triples(tok, ents, pl.TRIPLE_KEYS)
+    return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
+                    "source", "relation", "target")
+
+
+@register("svo_triples")
+def q_svo_triples(spark, sf_dir):
+    """Subject-verb-object triples over merged spans."""
+    from storyloom.operators import triples as tr
+    tok, _, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    from storyloom.session import cut_lineage
+    merged = cut_lineage(tr.merge_spans(tok, ch.select(*pl.TRIPLE_KEYS, "sent_id", "start", "end"),
+                                        pl.TRIPLE_KEYS))
+    stop = ann.stopwords_df(spark, ann.BASE_STOPWORDS)
+    t = tr.svo_triples(merged, pl.TRIPLE_KEYS, stop)
+    return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
+                    "source", "relation", "target")

@@ -119,9 +119,16 @@ def tokens(sent: DataFrame, keys: Sequence[str], stop: DataFrame,
     tok = tok.withColumn("_root", root)
     subj = F.max(F.when((F.col("pos") == "NOUN") & (F.col("tok_id") < F.col("_root")),
                         F.col("tok_id"))).over(w)
-    obj = F.min(F.when((F.col("pos") == "NOUN") & (F.col("tok_id") > F.col("_root")),
-                       F.col("tok_id"))).over(w)
-    tok = tok.withColumn("_subj", subj).withColumn("_obj", obj)
+    first_obj = F.min(F.when((F.col("pos") == "NOUN") & (F.col("tok_id") > F.col("_root")),
+                             F.col("tok_id"))).over(w)
+    tok = tok.withColumn("_obj0", first_obj)
+    # the object is the head (last noun) of the noun run that starts there
+    run_end = F.min(F.when((F.col("pos") != "NOUN") & (F.col("tok_id") > F.col("_obj0")),
+                           F.col("tok_id"))).over(w)
+    last = F.max("tok_id").over(w)
+    obj = F.when(F.col("_obj0").isNull(), F.lit(None)).otherwise(
+        F.coalesce(run_end - 1, last))
+    tok = tok.withColumn("_subj", subj).withColumn("_obj", obj).drop("_obj0")
     dep = (F.when(F.col("tok_id") == F.col("_root"), "ROOT")
            .when(F.col("tok_id") == F.col("_subj"), "nsubj")
            .when(F.col("tok_id") == F.col("_obj"), "dobj").otherwise("dep"))
