@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming input, watermark, window or state: it reads
+one CSV and runs to completion.  No streaming operator is built here.  The
+batch operators are plain DataFrame functions, so a user who receives
+articles as files can still call them from ``foreachBatch``; nothing in this
+package depends on that.
+"""
