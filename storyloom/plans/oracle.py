@@ -382,4 +382,79 @@ ranked_r AS (
   FROM blab l JOIN okc o USING (year, category, cluster) JOIN bcent c USING (year, category, cluster))
 SELECT year, category, CAST(cluster AS BIGINT) AS cluster, CAST(rank AS BIGINT) AS rank, CAST(id AS BIGINT) AS id
 FROM ranked_r WHERE rank < n_max"""
+    # ---- step 4: topics (cluster = best n_chars k-means cluster) -----------
+    ncm = """,
+ncm AS (SELECT l.year, l.category, l.id, l.cluster FROM lab l JOIN best b USING (year, category, k))"""
+    bg = base + _nchar_kmeans(3) + ncm + """,
+ct AS (SELECT t.*, n.cluster FROM terms t JOIN ncm n USING (year, category, id)),
+nx AS (SELECT *, lead(term) OVER (PARTITION BY year, category, cluster, id ORDER BY pos) AS b FROM ct),
+pairs AS (SELECT year, category, cluster, term AS a, b, count(*) AS n_ab FROM nx WHERE b IS NOT NULL GROUP BY ALL),
+uni AS (SELECT year, category, cluster, term, count(*) AS n_a FROM ct GROUP BY ALL),
+voc AS (
+  SELECT u.year, u.category, u.cluster, u.nu + coalesce(p.np, 0) AS n_vocab
+  FROM (SELECT year, category, cluster, count(*) AS nu FROM uni GROUP BY ALL) u
+  LEFT JOIN (SELECT year, category, cluster, count(*) AS np FROM pairs GROUP BY ALL) p
+  USING (year, category, cluster))"""
+    q["bigram_counts"] = bg + """
+SELECT p.year, p.category, CAST(p.cluster AS BIGINT) AS cluster, p.a, p.b,
+       CAST(p.n_ab AS BIGINT) AS n_ab, CAST(v.n_vocab AS BIGINT) AS n_vocab
+FROM pairs p JOIN voc v USING (year, category, cluster)"""
+    q["bigram_phrases"] = bg + """,
+sc AS (
+  SELECT p.year, p.category, p.cluster, p.a, p.b,
+         (p.n_ab - 3.0) / ua.n_a / ub.n_a * v.n_vocab AS score
+  FROM pairs p
+  JOIN uni ua ON ua.year = p.year AND ua.category = p.category AND ua.cluster = p.cluster AND ua.term = p.a
+  JOIN uni ub ON ub.year = p.year AND ub.category = p.category AND ub.cluster = p.cluster AND ub.term = p.b
+  JOIN voc v ON v.year = p.year AND v.category = p.category AND v.cluster = p.cluster),
+acc AS (SELECT year, category, cluster, a, b FROM sc WHERE score > 4),
+fl AS (
+  SELECT n.*, (x.a IS NOT NULL) AS acc FROM nx n LEFT JOIN acc x
+    ON x.year = n.year AND x.category = n.category AND x.cluster = n.cluster
+   AND x.a = n.term AND x.b = n.b),
+st AS (SELECT *, acc AND NOT coalesce(lag(acc) OVER (PARTITION BY year, category, cluster, id ORDER BY pos), false) AS st FROM fl),
+r0 AS (SELECT *, max(CASE WHEN st THEN pos END) OVER (PARTITION BY year, category, cluster, id ORDER BY pos
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run0 FROM st),
+tk AS (SELECT *, acc AND (pos - run0) % 2 = 0 AS take FROM r0),
+ea AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY year, category, cluster, id ORDER BY pos), false) AS eaten FROM tk)
+SELECT year, category, CAST(id AS BIGINT) AS id,
+       CAST(row_number() OVER (PARTITION BY year, category, cluster, id ORDER BY pos) - 1 AS BIGINT) AS pos,
+       CASE WHEN take THEN term || '_' || b ELSE term END AS term
+FROM ea WHERE NOT eaten"""
+    q["keyword_valid"] = base + _word_vectors() + """,
+kf AS (SELECT word, lower(regexp_extract(word, '(\\p{L}+)', 1)) AS lw FROM (SELECT DISTINCT term AS word FROM terms)),
+kl AS (
+  SELECT k.word, k.lw,
+         CASE WHEN length(k.lw) > 3 AND suffix(k.lw, 's') THEN substr(k.lw, 1, length(k.lw) - 1) ELSE k.lw END AS lemma,
+         CASE WHEN s.word IS NOT NULL THEN 'DET' WHEN suffix(k.lw, 'ing') OR suffix(k.lw, 'ed') THEN 'VERB'
+              WHEN suffix(k.lw, 'ly') THEN 'ADV' ELSE 'NOUN' END AS pos
+  FROM kf k LEFT JOIN stopwords s ON s.word = k.lw)
+SELECT word FROM kl
+WHERE lw <> '' AND pos = 'NOUN' AND lemma NOT IN (SELECT word FROM stopwords)
+  AND lemma IN (SELECT word FROM wv)"""
+    q["cosmul_neighbours"] = base + _word_vectors() + """,
+freq AS (SELECT t.year, t.category, t.term, count(*) AS n FROM terms t JOIN wv ON wv.word = t.term GROUP BY ALL),
+qs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year, category ORDER BY n DESC, term) AS r FROM freq) WHERE r <= 3),
+qv AS (SELECT q.year, q.category, q.term AS qw, CAST(w.vec AS DOUBLE[]) AS vec FROM qs q JOIN wv w ON w.word = q.term),
+vw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM documents),
+vv AS (
+  SELECT v.word, CAST(e.embedding AS DOUBLE[]) AS vec FROM vw v
+  JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(v.word), 1, 7))::BIGINT % 600
+  WHERE ('0x' || substr(md5(v.word), 1, 7))::BIGINT % 600 < 500),
+sc AS (
+  SELECT q.year, q.category, v.word,
+         product((1 + list_cosine_similarity(v.vec, q.vec)) / 2) / (1 + 1e-6) AS score
+  FROM vv v JOIN qv q ON true
+  WHERE NOT EXISTS (SELECT 1 FROM qv x WHERE x.year = q.year AND x.category = q.category AND x.qw = v.word)
+  GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY year, category ORDER BY score DESC, word) - 1 AS rank FROM sc)
+SELECT year, category, CAST(rank AS BIGINT) AS rank, word, round(score, 6) AS score FROM rk WHERE rank < 5"""
+    q["topic_sentiment"] = "WITH" + _grouped("std") + _nchar_kmeans(3) + ncm + """,
+j AS (
+  SELECT n.year, n.category, n.cluster, lb.quality AS label
+  FROM ncm n JOIN grouped g USING (year, category, id) JOIN labels lb ON lb.doc_id = g.seq)
+SELECT year, category, CAST(cluster AS BIGINT) AS cluster, round(avg(label), 6) AS mean_label,
+       CASE WHEN avg(label) >= 0.4 AND avg(label) <= 0.6 THEN 'Neutral'
+            WHEN avg(label) > 0.6 THEN 'Positive' ELSE 'Negative' END AS sentiment
+FROM j GROUP BY ALL"""
     return q
