@@ -124,7 +124,8 @@ def _initial_centroids(points: DataFrame, grid: DataFrame, keys: Sequence[str],
     """The k quantiles of each group's points (by rank, ties by id)."""
     keys = list(keys)
     ordered = points.withColumn("_ord", F.struct(F.col(x_col), F.col(id_col)))
-    ranked = position_in_group(ordered, keys, "_ord", "_rk").select(*keys, "_rk", x_col)
+    ranked = position_in_group(ordered, keys, "_ord", "_rk", slice_col=x_col).select(
+        *keys, "_rk", x_col)
     picks = grid.select(*keys, "n", "k", F.posexplode(F.sequence(F.lit(0), F.col("k") - 1))
                         .alias("_j", "_jj"))
     picks = picks.withColumn("_rk", F.floor((F.col("_j") + 0.5) * F.col("n") / F.col("k"))

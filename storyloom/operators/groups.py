@@ -1,10 +1,11 @@
 """Group keys and group filters (F1-F5, A1, A2) and in-group positions.
 
 A group is ``(year, category)``.  Group sizes are computed with one partial +
-final hash aggregate; the statistics over groups are one row, joined back by a
-broadcast of that single row.  The kept-group key list is small (one row per
-group) and is joined with a plain join so AQE can broadcast it at run time;
-AQE's skew-join split covers the case of a huge group when it does not.
+final hash aggregate; the statistics over groups are window aggregates over
+that small table (one row per group), so the input is scanned once.  The
+kept-group key list is joined with a plain join so AQE can broadcast it at
+run time; AQE's skew-join split covers the case of a huge group when it
+does not.
 """
 
 from __future__ import annotations
@@ -74,11 +75,20 @@ def kept_groups(df: DataFrame, keys: Sequence[str] = GROUP,
     std is null; the group is kept (the reference fails on NaN).
     """
     counts = group_counts(df, keys)
-    thr = group_threshold(count_stats(counts), mode)
-    # ``thr`` is a global aggregate: exactly one row, so broadcasting it is safe.
-    return (counts.join(F.broadcast(thr))
-            .where(F.col("threshold").isNull()
-                   | (F.col("n_rows") > F.col("threshold"))))
+    # statistics over the counts table itself (one row per group, small):
+    # one scan of the input feeds both the sizes and the threshold
+    everything = Window.partitionBy()
+    stats = (counts.withColumn("mean_n", F.avg("n_rows").over(everything))
+             .withColumn("std_n", F.stddev_samp("n_rows").over(everything)))
+    if mode == "std":
+        thr = F.floor(F.abs(F.col("std_n") - F.col("mean_n")))
+    elif mode == "mean":
+        thr = F.floor(F.col("mean_n"))
+    else:
+        raise ValueError(f"unknown group filter mode {mode!r}")
+    return (stats.withColumn("threshold", thr.cast("bigint"))
+            .where(F.col("threshold").isNull() | (F.col("n_rows") > F.col("threshold")))
+            .drop("mean_n", "std_n"))
 
 
 def filter_groups(df: DataFrame, keys: Sequence[str] = GROUP,
@@ -96,22 +106,35 @@ def filter_categories_mean(df: DataFrame, category_col: str = "category") -> Dat
 
 
 def position_in_group(df: DataFrame, keys: Sequence[str], order_col: str,
-                      out: str = "id") -> DataFrame:
+                      out: str = "id", slice_col: str | None = None,
+                      n_slices: int = 128) -> DataFrame:
     """0-based position of each row inside its group, ordered by ``order_col``.
 
     Same result as ``row_number() over (partition by keys order by o) - 1``
-    but without sending a whole group to one task: rows are range-partitioned
-    on ``(keys, order_col)``, numbered inside each (group, partition) slice, and
-    shifted by the sizes of the group's earlier slices (a table with one row
-    per slice).  A group holding a third of all rows still spreads evenly.
+    but without sending a whole group to one task.  Each group is cut into up
+    to ``n_slices`` value ranges of ``slice_col`` (default ``order_col``; it
+    must be numeric and order-compatible with ``order_col``) at approximate
+    quantiles; rows are numbered inside each (group, slice) and shifted by the
+    sizes of the group's earlier slices.  The quantile bounds are computed
+    once and stored, so the slice of a row is a pure function of its value —
+    every branch that recomputes it agrees.  A group holding a third of all
+    rows spreads over ``n_slices`` tasks.
     """
+    from storyloom.session import cut_lineage
     keys = list(keys)
-    parted = (df.repartitionByRange(*keys, order_col)
-              .withColumn("_slice", F.spark_partition_id()))
-    local = parted.withColumn(
+    sc = slice_col or order_col
+    probs = [i / n_slices for i in range(1, n_slices)]
+    bounds = cut_lineage(df.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(F.col(sc).cast("double"), probs, 10000))
+        .alias("_bounds")))
+    v = F.col(sc).cast("double")
+    sliced = (df.join(bounds, keys)
+              .withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < v)))
+              .drop("_bounds"))
+    local = sliced.withColumn(
         "_local", F.row_number().over(
             Window.partitionBy(*keys, "_slice").orderBy(order_col)) - 1)
-    sizes = parted.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*keys).orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

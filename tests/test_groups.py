@@ -32,3 +32,21 @@ def test_position_in_group_equals_row_number(spark):
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("seq")) - 1)
     assert got.select("g", "seq", "pos").exceptAll(want.select("g", "seq", "pos")).count() == 0
     assert got.count() == 5000
+
+
+def test_position_in_group_many_slices_one_hot_group(spark):
+    # one group holds most rows; many partitions so slicing is exercised
+    df = spark.range(0, 200_000, numPartitions=16).select(
+        F.when(F.col("id") % 10 == 0, F.lit(1)).otherwise(F.lit(0)).alias("g"),
+        (F.xxhash64("id") % 1_000_000_007).alias("seq"))
+    got = grp.position_in_group(df, ["g"], "seq", "pos", n_slices=64)
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("seq", F.monotonically_increasing_id())) - 1)
+    agg = got.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"),
+                               F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()
+    for r in agg:
+        assert r["d"] == r["n"] and r["lo"] == 0 and r["hi"] == r["n"] - 1
+    # order respected: pos increases with seq inside each group (distinct seq values)
+    distinct_seq = df.groupBy("g", "seq").count().where("count = 1").select("g", "seq")
+    g2 = got.join(distinct_seq, ["g", "seq"])
+    w2 = want.join(distinct_seq, ["g", "seq"])
+    assert g2.select("g", "seq", "pos").exceptAll(w2.select("g", "seq", "pos")).count() == 0
