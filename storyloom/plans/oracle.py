@@ -457,4 +457,69 @@ SELECT year, category, CAST(cluster AS BIGINT) AS cluster, round(avg(label), 6)
        CASE WHEN avg(label) >= 0.4 AND avg(label) <= 0.6 THEN 'Neutral'
             WHEN avg(label) > 0.6 THEN 'Positive' ELSE 'Negative' END AS sentiment
 FROM j GROUP BY ALL"""
+    # ---- step 5: triple texts and their annotations ------------------------
+    triple_list = "[" + ", ".join(_q(w) for w in sorted(triple_words)) + "]"
+    base_stop = f"""
+bstop AS (SELECT * FROM (VALUES {_values(BASE_STOPWORDS)}) t(word))"""
+    tri = "WITH" + _grouped("std") + _nchar_kmeans(3) + ncm + "," + base_stop + """,
+prep0 AS (
+  SELECT year, category, id, seq, url, title,
+         array_to_string(list_concat([coalesce(title, '') || '.'],
+                                     list_slice(""" + sql_split_sentences('article') + """, 1, 8)), ' ') AS intro
+  FROM grouped),
+prep AS (SELECT *, """ + sql_clean('intro') + """ AS clean FROM prep0),
+ttx AS (
+  SELECT p.year, p.category, p.id, n.cluster,
+         regexp_replace(array_to_string(list_transform(
+             regexp_extract_all(p.clean, '""" + WORD + "+|" + NOT_WORD + """+'),
+             lambda t: CASE WHEN list_contains(""" + triple_list + """, t) THEN ' ' ELSE t END), ''),
+           '""" + SPACE + """+', ' ', 'g') AS text
+  FROM prep p JOIN ncm n USING (year, category, id)),
+xs AS (
+  SELECT year, category, id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_id
+  FROM (SELECT year, category, id, """ + sql_split_sentences('text') + """ AS ss FROM ttx)),
+xt AS (
+  SELECT year, category, id, sent_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS tok_id
+  FROM (SELECT *, regexp_extract_all(sentence, '(\\p{L}+)', 1) AS ws FROM xs)),
+xl AS (
+  SELECT t.*, CASE WHEN s.word IS NOT NULL THEN 'DET'
+                   WHEN suffix(lower(t.word), 'ing') OR suffix(lower(t.word), 'ed') THEN 'VERB'
+                   WHEN suffix(lower(t.word), 'ly') THEN 'ADV' ELSE 'NOUN' END AS pos
+  FROM xt t LEFT JOIN bstop s ON s.word = lower(t.word))"""
+    q["verb_phrases"] = tri + """,
+sa AS (
+  SELECT year, category, id, sent_id,
+         list(word ORDER BY tok_id) AS words,
+         string_agg(CASE pos WHEN 'AUX' THEN 'A' WHEN 'PART' THEN 'P' WHEN 'VERB' THEN 'V'
+                             WHEN 'ADP' THEN 'D' WHEN 'ADV' THEN 'R' ELSE 'x' END, '' ORDER BY tok_id) AS tags,
+         min(CASE WHEN pos = 'VERB' THEN tok_id END) AS root
+  FROM xl GROUP BY ALL),
+sb AS (
+  SELECT *, root - length(regexp_extract(substr(tags, 1, root), '[APVDR]*$')) AS lo,
+            root + length(regexp_extract(substr(tags, root + 1), '^[APVDR]*')) AS hi
+  FROM sa WHERE root IS NOT NULL),
+ci AS (SELECT *, unnest(range(lo, root + 1)) AS i FROM sb),
+cj AS (SELECT *, unnest(range(greatest(i + 1, root), hi + 1)) AS j FROM ci),
+vp AS (
+  SELECT *, row_number() OVER (PARTITION BY year, category, id, sent_id ORDER BY j - i DESC, i, j) AS r
+  FROM cj WHERE j > i AND regexp_full_match(substr(tags, i + 1, j - i), '(A?P?V+D+|V?R*V+)'))
+SELECT year, category, CAST(id AS BIGINT) AS id, CAST(sent_id AS BIGINT) AS sent_id,
+       CAST(i AS BIGINT) AS start, CAST(j AS BIGINT) AS "end",
+       array_to_string(list_slice(words, i + 1, j), ' ') AS text
+FROM vp WHERE r = 1"""
+    q["noun_chunks"] = tri + """,
+n1 AS (
+  SELECT *, (pos = 'NOUN' OR (pos = 'DET' AND lead(pos) OVER w = 'NOUN')) AS inc
+  FROM xl WINDOW w AS (PARTITION BY year, category, id, sent_id ORDER BY tok_id)),
+n2 AS (
+  SELECT *, inc AND (pos = 'DET' OR NOT coalesce(lag(inc) OVER w, false)) AS st
+  FROM n1 WINDOW w AS (PARTITION BY year, category, id, sent_id ORDER BY tok_id)),
+n3 AS (
+  SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY year, category, id, sent_id ORDER BY tok_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM n2)
+SELECT year, category, CAST(id AS BIGINT) AS id, CAST(sent_id AS BIGINT) AS sent_id,
+       CAST(min(tok_id) AS BIGINT) AS start, CAST(max(tok_id) + 1 AS BIGINT) AS "end",
+       string_agg(word, ' ' ORDER BY tok_id) AS text
+FROM n3 WHERE inc GROUP BY year, category, id, sent_id, run"""
     return q
