@@ -486,7 +486,7 @@ xl AS (
                    WHEN suffix(lower(t.word), 'ing') OR suffix(lower(t.word), 'ed') THEN 'VERB'
                    WHEN suffix(lower(t.word), 'ly') THEN 'ADV' ELSE 'NOUN' END AS pos
   FROM xt t LEFT JOIN bstop s ON s.word = lower(t.word))"""
-    q["verb_phrases"] = tri + """,
+    vp_ctes = """,
 sa AS (
   SELECT year, category, id, sent_id,
          list(word ORDER BY tok_id) AS words,
@@ -502,12 +502,13 @@ ci AS (SELECT *, unnest(range(lo, root + 1)) AS i FROM sb),
 cj AS (SELECT *, unnest(range(greatest(i + 1, root), hi + 1)) AS j FROM ci),
 vp AS (
   SELECT *, row_number() OVER (PARTITION BY year, category, id, sent_id ORDER BY j - i DESC, i, j) AS r
-  FROM cj WHERE j > i AND regexp_full_match(substr(tags, i + 1, j - i), '(A?P?V+D+|V?R*V+)'))
+  FROM cj WHERE j > i AND regexp_full_match(substr(tags, i + 1, j - i), '(A?P?V+D+|V?R*V+)'))"""
+    q["verb_phrases"] = tri + vp_ctes + """
 SELECT year, category, CAST(id AS BIGINT) AS id, CAST(sent_id AS BIGINT) AS sent_id,
        CAST(i AS BIGINT) AS start, CAST(j AS BIGINT) AS "end",
        array_to_string(list_slice(words, i + 1, j), ' ') AS text
 FROM vp WHERE r = 1"""
-    q["noun_chunks"] = tri + """,
+    ch_ctes = """,
 n1 AS (
   SELECT *, (pos = 'NOUN' OR (pos = 'DET' AND lead(pos) OVER w = 'NOUN')) AS inc
   FROM xl WINDOW w AS (PARTITION BY year, category, id, sent_id ORDER BY tok_id)),
@@ -517,9 +518,60 @@ n2 AS (
 n3 AS (
   SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY year, category, id, sent_id ORDER BY tok_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-  FROM n2)
+  FROM n2)"""
+    q["noun_chunks"] = tri + ch_ctes + """
 SELECT year, category, CAST(id AS BIGINT) AS id, CAST(sent_id AS BIGINT) AS sent_id,
        CAST(min(tok_id) AS BIGINT) AS start, CAST(max(tok_id) + 1 AS BIGINT) AS "end",
        string_agg(word, ' ' ORDER BY tok_id) AS text
 FROM n3 WHERE inc GROUP BY year, category, id, sent_id, run"""
+    trim_sp = lambda e: f"regexp_replace({e}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+    q["triples_raw"] = tri + vp_ctes + ch_ctes + """,
+ch AS (
+  SELECT year, category, id, sent_id, min(tok_id) AS cs, max(tok_id) + 1 AS ce,
+         string_agg(word, ' ' ORDER BY tok_id) AS text
+  FROM n3 WHERE inc GROUP BY year, category, id, sent_id, run),
+e0 AS (SELECT *, (tok_id > 0 AND regexp_matches(word, '^\\p{Lu}')) AS cap FROM xl),
+e1 AS (
+  SELECT *, coalesce(lag(cap) OVER w, false) AS prv, coalesce(lead(cap) OVER w, false) AS nxt
+  FROM e0 WINDOW w AS (PARTITION BY year, category, id, sent_id ORDER BY tok_id)),
+e2 AS (
+  SELECT *, CASE WHEN NOT cap THEN 'O' WHEN NOT prv AND NOT nxt THEN 'U' WHEN NOT prv THEN 'B'
+                 WHEN NOT nxt THEN 'L' ELSE 'I' END AS p FROM e1),
+e3 AS (
+  SELECT *, sum(CASE WHEN p = 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY year, category, id, sent_id ORDER BY tok_id) AS span
+  FROM e2 WHERE p IN ('B', 'I', 'L')),
+e4 AS (
+  SELECT *, list(word) OVER (PARTITION BY year, category, id, sent_id, span ORDER BY tok_id
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ws
+  FROM e3 WHERE span > 0),
+sents AS (
+  SELECT DISTINCT year, category, id, sent_id, entity FROM (
+    SELECT year, category, id, sent_id, word AS entity FROM e2 WHERE p = 'U'
+    UNION ALL
+    SELECT year, category, id, sent_id, array_to_string(ws, ' ') FROM e4 WHERE p = 'L')),
+vb AS (
+  SELECT year, category, id, sent_id, i AS vs, array_to_string(list_slice(words, i + 1, j), ' ') AS vt
+  FROM vp v WHERE r = 1
+    AND EXISTS (SELECT 1 FROM sents e WHERE e.year = v.year AND e.category = v.category AND e.id = v.id AND e.sent_id = v.sent_id)
+    AND EXISTS (SELECT 1 FROM ch c WHERE c.year = v.year AND c.category = v.category AND c.id = v.id AND c.sent_id = v.sent_id)),
+sc AS (
+  SELECT c.*, v.vt, e.entity, instr(c.text, e.entity) AS eat
+  FROM ch c JOIN vb v USING (year, category, id, sent_id) JOIN sents e USING (year, category, id, sent_id)
+  WHERE c.cs < v.vs AND instr(c.text, e.entity) > 0),
+sf AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year, category, id, sent_id
+                                               ORDER BY cs, ce, eat, length(entity) DESC, entity) AS rr FROM sc)
+  WHERE rr = 1),
+ob AS (
+  SELECT * FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY c.year, c.category, c.id, c.sent_id ORDER BY c.cs, c.ce) AS rr
+    FROM ch c JOIN vb v USING (year, category, id, sent_id) WHERE c.cs > v.vs)
+  WHERE rr = 1)
+SELECT v.year, v.category, CAST(v.id AS BIGINT) AS id, CAST(v.sent_id AS BIGINT) AS sent_id,
+       f.entity AS subject,
+       """ + trim_sp("substr(f.text, f.eat + length(f.entity))") + """ || ' ' || f.vt AS relation,
+       """ + trim_sp("o.text") + """ AS object
+FROM vb v
+LEFT JOIN sf f ON f.year = v.year AND f.category = v.category AND f.id = v.id AND f.sent_id = v.sent_id
+LEFT JOIN ob o ON o.year = v.year AND o.category = v.category AND o.id = v.id AND o.sent_id = v.sent_id"""
     return q
