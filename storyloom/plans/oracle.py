@@ -574,4 +574,37 @@ SELECT v.year, v.category, CAST(v.id AS BIGINT) AS id, CAST(v.sent_id AS BIGINT)
 FROM vb v
 LEFT JOIN sf f ON f.year = v.year AND f.category = v.category AND f.id = v.id AND f.sent_id = v.sent_id
 LEFT JOIN ob o ON o.year = v.year AND o.category = v.category AND o.id = v.id AND o.sent_id = v.sent_id"""
+
+    raw_sql = q["triples_raw"]
+    unwanted = " OR ".join(f"instr(rs, '{w}') > 0" for w in ("told", "said", "saying", "tell", "says", "say"))
+    q["triples_filtered"] = raw_sql.replace("\nSELECT v.year, v.category, CAST(v.id AS BIGINT) AS id", ",\nraw AS (\nSELECT v.year, v.category, CAST(v.id AS BIGINT) AS id", 1) + """),
+tf0 AS (
+  SELECT *, """ + trim_sp("relation") + """ AS rs, row_number() OVER () AS tid FROM raw
+  WHERE subject IS NOT NULL AND relation IS NOT NULL AND object IS NOT NULL
+    AND subject <> '' AND relation <> '' AND object <> '' AND subject <> object),
+tf1 AS (SELECT * FROM tf0 WHERE NOT (""" + unwanted + """)),
+lw AS (
+  SELECT tid, 'r' AS which, string_split(relation, ' ') AS a, string_split(object, ' ') AS b FROM tf1
+  UNION ALL
+  SELECT tid, 's', string_split(subject, ' '), string_split(object, ' ') FROM tf1),
+li AS (SELECT *, unnest(range(0, len(a))) AS i FROM lw),
+ln AS (SELECT *, unnest(range(1, len(a) - i + 1)) AS n FROM li),
+lc AS (SELECT *, list_slice(a, i + 1, i + n) AS cand FROM ln),
+lm AS (
+  SELECT * FROM lc
+  WHERE len(b) >= n
+    AND len(list_filter(range(0, len(b) - n + 1), lambda k: list_slice(b, k + 1, k + n) = cand)) > 0),
+lb AS (
+  SELECT tid, which, array_to_string(cand, ' ') AS lcs FROM (
+    SELECT *, row_number() OVER (PARTITION BY tid, which ORDER BY n DESC, i) AS r FROM lm) WHERE r = 1),
+tf2 AS (
+  SELECT t.*, coalesce(l1.lcs, '') AS l1, coalesce(l2.lcs, '') AS l2
+  FROM tf1 t
+  LEFT JOIN lb l1 ON l1.tid = t.tid AND l1.which = 'r'
+  LEFT JOIN lb l2 ON l2.tid = t.tid AND l2.which = 's'),
+tf3 AS (
+  SELECT *, """ + trim_sp("CASE WHEN l1 = '' THEN object ELSE replace(object, l1, '') END") + """ AS o1 FROM tf2),
+tf4 AS (
+  SELECT *, """ + trim_sp("CASE WHEN l2 = '' THEN o1 ELSE replace(o1, l2, '') END") + """ AS o2 FROM tf3)
+SELECT year, category, id, sent_id, subject, rs AS relation, o2 AS object FROM tf4 WHERE o2 <> ''"""
     return q
