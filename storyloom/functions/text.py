@@ -129,24 +129,29 @@ def lcs_words(first, second) -> Column:
     """M7: longest run of whole words of ``first`` that also occurs in ``second``.
 
     Words are split on a single space; the earliest run wins ties; no common
-    word → empty string.  Pure higher-order functions over small arrays.
+    word → empty string.  Dynamic programme over the two word arrays folded
+    with ``aggregate``: for each word of ``first`` the lengths of the common
+    runs ending there against every word of ``second`` (O(n·m) per row).
     """
     a = F.split(_col(first), " ")
     b = F.split(_col(second), " ")
-
-    def occurs(cand, n):
-        return F.when(F.size(b) < n, F.lit(False)).otherwise(
-            F.exists(F.sequence(F.lit(0), F.size(b) - n),
-                     lambda k: F.slice(b, k + 1, n) == cand))
-
-    starts = F.sequence(F.lit(0), F.size(a) - 1)
-    cands = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.size(a) - i),
-        lambda n: F.struct(n.alias("n"), (-i).alias("neg_start"),
-                           F.slice(a, i + 1, n).alias("words")))))
-    found = F.filter(cands, lambda s: occurs(s["words"], s["n"]))
-    best = F.array_max(found)
-    return F.coalesce(F.array_join(best["words"], " "), F.lit(""))
+    init = F.struct(F.transform(b, lambda _: F.lit(0)).alias("prev"),
+                    F.lit(0).alias("best"), F.lit(-1).alias("end"))
+
+    def step(acc, i):
+        word = F.element_at(a, i + 1)
+        cur = F.transform(b, lambda w, j: F.when(
+            w == word, F.when(j == 0, F.lit(1)).otherwise(F.element_at(acc["prev"], j) + 1)
+        ).otherwise(F.lit(0)))
+        top = F.coalesce(F.array_max(cur), F.lit(0))
+        better = top > acc["best"]
+        return F.struct(cur.alias("prev"),
+                        F.when(better, top).otherwise(acc["best"]).alias("best"),
+                        F.when(better, i).otherwise(acc["end"]).alias("end"))
+
+    res = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), init, step)
+    run = F.slice(a, res["end"] - res["best"] + 2, res["best"])
+    return F.when(res["best"] > 0, F.array_join(run, " ")).otherwise(F.lit(""))
 
 
 def split_keywords(c) -> Column:

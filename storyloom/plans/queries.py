@@ -290,7 +290,8 @@ def _nchar_points(spark, sf_dir):
 
 def _nchar_kmeans(spark, sf_dir):
     from storyloom.operators import clustering as cl
-    pts = _nchar_points(spark, sf_dir)
+    from storyloom.session import cut_lineage
+    pts = cut_lineage(_nchar_points(spark, sf_dir))
     grid = cl.model_grid(pts, pl.G)
     cents = cl.kmeans_1d(pts, grid, pl.G, "x", "id", max_iter=NCHARS_ITER)
     return pts, cents
@@ -463,9 +464,10 @@ def q_topics(spark, sf_dir):
 
 def _triple_texts_nchars(spark, sf_dir):
     """Triple texts of every kept article; cluster = n_chars cluster, topic 0."""
+    from storyloom.session import cut_lineage
     prep = pl.load_prepared(spark, sf_dir)
     td = _nchar_clusters(spark, sf_dir).withColumn("topic", F.lit(0))
-    return pl.triple_texts(prep, td)
+    return cut_lineage(pl.triple_texts(prep, td))
 
 
 @register("verb_phrases")
