@@ -49,15 +49,25 @@ def main():
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="storyloom-bench")
     times = {}
     skip = set(filter(None, os.environ.get("BENCH_SKIP", "").split(",")))
+    failed = {}
     for name in [q for q in HEADLINE if q not in skip]:
         t0 = time.time()
-        run(spark, name, sf_dir)
+        try:
+            run(spark, name, sf_dir)
+        except Exception as exc:  # noqa: BLE001 - report, never hide, a failed query
+            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.time() - t0, 2)  # planning + execution
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
+        spark.catalog.clearCache()
     sf = os.path.basename(sf_dir).replace("sf", "")
     total = round(sum(times.values()), 2)
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+    out = {"metric": "headline_queries_total", "value": total, "unit": "sec",
+           "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
