@@ -64,9 +64,10 @@ def banding(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: in
     best = None
     for rows in range(1, max_hashes + 1):
         p = threshold ** rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
-        if bands * rows <= max_hashes:
-            best = Banding(bands, rows)
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
+        if bands * rows > max_hashes:
+            break
+        best = Banding(bands, rows)
     if best is None:
         raise ValueError("no banding reaches this recall; allow more hashes")
     return best
