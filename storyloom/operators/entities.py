@@ -45,6 +45,34 @@ def decode_bilou(tags: DataFrame, scope: Sequence[str],
     return single.unionByName(multi).distinct()
 
 
+def entity_spans(tags: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Token spans of the tagged entities, ``scope…, start, end, ent_type`` (end
+    exclusive): a ``U`` alone, a ``B`` up to the first ``L`` after it."""
+    scope = list(scope)
+    pos = F.substring_index("tag", "-", 1)
+    typ = F.expr("substring(tag, instr(tag, '-') + 1)")
+    t = tags.where(F.col("tag") != "O").select(*scope, "tok_id", pos.alias("_pos"), typ.alias("ent_type"))
+    single = t.where(F.col("_pos") == "U").select(
+        *scope, F.col("tok_id").alias("start"), (F.col("tok_id") + 1).alias("end"), "ent_type")
+    w = Window.partitionBy(*scope).orderBy("tok_id")
+    runs = (t.where(F.col("_pos") != "U")
+            .withColumn("_span", F.sum((F.col("_pos") == "B").cast("int")).over(w)).where("_span > 0"))
+    long = (runs.groupBy(*scope, "_span")
+            .agg(F.min("tok_id").alias("start"), (F.min(F.when(F.col("_pos") == "L", F.col("tok_id"))) + 1).alias("end"),
+                 F.min_by("ent_type", "tok_id").alias("ent_type"))
+            .where(F.col("end").isNotNull()).drop("_span"))
+    return single.unionByName(long)
+
+
+def with_entity_types(tokens: DataFrame, tags: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``tokens`` with ``ent_type`` of the entity that holds each token (``""`` outside)."""
+    scope = list(scope)
+    typed = entity_spans(tags, scope).select(
+        *scope, F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_id"), "ent_type")
+    return (tokens.join(typed, [*scope, "tok_id"], "left")
+            .withColumn("ent_type", F.coalesce("ent_type", F.lit(""))))
+
+
 def entity_arrays(entities: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct entities per text as a sorted array (small per text)."""
     return entities.groupBy(*keys).agg(F.array_sort(F.collect_set("entity")).alias("entities"))

@@ -32,7 +32,7 @@ articles AS (
                                   WHEN doc_id % 3 = 0 THEN 2019 ELSE 2020 END,
                              CAST(1 + doc_id % 12 AS INTEGER),
                              CAST(1 + doc_id % 28 AS INTEGER)) END AS date,
-         substr(split_part(text, chr(10), 1), 1, 60) AS title,
+         split_part(text, chr(10), 1) AS title,
          source AS author, nullif(lang, 'es') AS category, text AS article
   FROM documents)"""
 
@@ -193,8 +193,8 @@ def _word_vectors() -> str:
 wv AS (
   SELECT w.word, e.embedding AS vec
   FROM (SELECT DISTINCT term AS word FROM terms) w
-  JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(w.word), 1, 7))::BIGINT % 600
-  WHERE ('0x' || substr(md5(w.word), 1, 7))::BIGINT % 600 < 500)"""
+  CROSS JOIN (SELECT greatest(1, count(*) * 6 // 5) AS n_ids FROM embeddings) c
+  JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(w.word), 1, 7))::BIGINT % c.n_ids)"""
 
 
 def _vec_summary(hit_sql: str) -> str:
@@ -439,8 +439,8 @@ qv AS (SELECT q.year, q.category, q.term AS qw, CAST(w.vec AS DOUBLE[]) AS vec F
 vw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM documents),
 vv AS (
   SELECT v.word, CAST(e.embedding AS DOUBLE[]) AS vec FROM vw v
-  JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(v.word), 1, 7))::BIGINT % 600
-  WHERE ('0x' || substr(md5(v.word), 1, 7))::BIGINT % 600 < 500),
+  CROSS JOIN (SELECT greatest(1, count(*) * 6 // 5) AS n_ids FROM embeddings) c
+  JOIN embeddings e ON e.vec_id = ('0x' || substr(md5(v.word), 1, 7))::BIGINT % c.n_ids),
 sc AS (
   SELECT q.year, q.category, v.word,
          product((1 + list_cosine_similarity(v.vec, q.vec)) / 2) / (1 + 1e-6) AS score

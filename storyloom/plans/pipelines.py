@@ -140,13 +140,8 @@ def cluster_docs(doc_vec: DataFrame, cfg: PipelineConfig = PipelineConfig()):
 
 def sentiment_labels(spark: SparkSession, sf_dir: str, titles: DataFrame) -> DataFrame:
     """0/1 label per title from a classifier trained on the label table."""
-    from storyloom.operators.sentiment import score_sentiment, train_sentiment
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    train = docs.join(labels, "doc_id").select(
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("text"), "label")
-    model = train_sentiment(train)
-    return score_sentiment(model, titles, "title")
+    from storyloom.operators.sentiment import score_sentiment
+    return score_sentiment(train_label_model(spark, sf_dir), titles, "title")
 
 
 def article_rows(prep: DataFrame, reps: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -248,19 +243,22 @@ TRIPLE_KEYS = [*G, "cluster", "topic", "id"]
 
 
 def triple_annotations(texts: DataFrame, keys=TRIPLE_KEYS, materialize: bool = True):
-    """Default annotations of the triple texts: tokens, entities, chunks."""
-    from storyloom.operators.entities import TRIPLE_IGNORED_TYPES, decode_bilou
+    """Default annotations of the triple texts: tokens (with entity types),
+    entities, chunks and tags."""
+    from storyloom.operators.entities import TRIPLE_IGNORED_TYPES, decode_bilou, with_entity_types
     sents = ann.sentences(texts, keys, "text")
     stop = ann.stopwords_df(texts.sparkSession, ann.BASE_STOPWORDS)
     tok = ann.tokens(sents, keys, stop, with_deps=True)
     tags = ann.capital_tags(tok, keys)
+    if materialize:
+        from storyloom.session import cut_lineage
+        tok, tags = cut_lineage(tok), cut_lineage(tags)
     ents = decode_bilou(tags, [*keys, "sent_id"], TRIPLE_IGNORED_TYPES)
+    tok = with_entity_types(tok, tags, [*keys, "sent_id"])
     chunks = ann.noun_chunks(tok, keys)
     if materialize:
-        from storyloom.session import cut_lineage
-        tok = cut_lineage(tok)
-        ents, chunks = cut_lineage(ents), cut_lineage(chunks)
-    return tok, ents, chunks
+        tok, ents, chunks = cut_lineage(tok), cut_lineage(ents), cut_lineage(chunks)
+    return tok, ents, chunks, tags
 
 
 def triple_texts(prep: DataFrame, topic_docs: DataFrame,
@@ -279,7 +277,7 @@ def triple_rows(texts: DataFrame, sentiment_model) -> DataFrame:
     from storyloom.functions.text import sentiment_bucket
     from storyloom.operators import triples as tr
     from storyloom.operators.sentiment import score_sentiment
-    tok, ents, chunks = triple_annotations(texts)
+    tok, ents, chunks, _ = triple_annotations(texts)
     found = tr.filter_triples(tr.find_triplets(tok, chunks, ents, TRIPLE_KEYS))
     found = found.withColumn("_txt", F.concat_ws(" ", "subject", "relation", "object"))
     scored = score_sentiment(sentiment_model, found, "_txt")
@@ -292,11 +290,12 @@ def triple_rows(texts: DataFrame, sentiment_model) -> DataFrame:
 
 
 def train_label_model(spark: SparkSession, sf_dir: str):
+    """P8 fitted on the whole first lines of all labelled documents."""
     from storyloom.operators.sentiment import train_sentiment
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     train = docs.join(labels, "doc_id").select(
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("text"), "label")
+        F.substring_index("text", "\n", 1).alias("text"), "label")
     return train_sentiment(train)
 
 

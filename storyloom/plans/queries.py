@@ -474,7 +474,7 @@ def _triple_texts_nchars(spark, sf_dir):
 def q_verb_phrases(spark, sf_dir):
     """The longest root verb phrase per sentence of the triple texts."""
     from storyloom.operators import triples as tr
-    tok, _, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    tok, _, _, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
     vp = tr.longest_phrase(tr.verb_phrases(tok, pl.TRIPLE_KEYS), pl.TRIPLE_KEYS)
     return vp.select(*_doc_cols(vp), F.col("sent_id").cast("bigint").alias("sent_id"),
                      F.col("start").cast("bigint").alias("start"),
@@ -484,7 +484,7 @@ def q_verb_phrases(spark, sf_dir):
 @register("noun_chunks")
 def q_noun_chunks(spark, sf_dir):
     """Default chunker over the triple texts (input of T3/T4)."""
-    _, _, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    _, _, ch, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
     return ch.select(*_doc_cols(ch), F.col("sent_id").cast("bigint").alias("sent_id"),
                      F.col("start").cast("bigint").alias("start"),
                      F.col("end").cast("bigint").alias("end"), "text")
@@ -494,7 +494,7 @@ def q_noun_chunks(spark, sf_dir):
 def q_triples_raw(spark, sf_dir):
     """Subject / relation / object per sentence before T6."""
     from storyloom.operators import triples as tr
-    tok, ents, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    tok, ents, ch, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
     t = tr.find_triplets(tok, ch, ents, pl.TRIPLE_KEYS)
     return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
                     "subject", "relation", "object")
@@ -504,7 +504,7 @@ def q_triples_raw(spark, sf_dir):
 def q_triples_filtered(spark, sf_dir):
     """Filtered triples (LCS redundancy removed from the object)."""
     from storyloom.operators import triples as tr
-    tok, ents, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    tok, ents, ch, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
     t = tr.filter_triples(tr.find_triplets(tok, ch, ents, pl.TRIPLE_KEYS))
     return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
                     "subject", "relation", "object")
@@ -525,8 +525,9 @@ def q_triples(spark, sf_dir):
 def q_entity_triples(spark, sf_dir):
     """Sentences with exactly two entities, relation at the root."""
     from storyloom.operators import triples as tr
-    tok, ents, _ = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
-    t = tr.entity_triples(tok, ents, pl.TRIPLE_KEYS)
+    from storyloom.operators.entities import entity_pairs
+    tok, _, _, tags = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    t = tr.entity_triples(tok, entity_pairs(tags, tok, pl.TRIPLE_KEYS), pl.TRIPLE_KEYS)
     return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
                     "source", "relation", "target")
 
@@ -535,11 +536,12 @@ def q_entity_triples(spark, sf_dir):
 def q_svo_triples(spark, sf_dir):
     """Subject-verb-object triples over merged spans."""
     from storyloom.operators import triples as tr
-    tok, _, ch = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    from storyloom.operators.entities import entity_spans
     from storyloom.session import cut_lineage
-    merged = cut_lineage(tr.merge_spans(tok, ch.select(*pl.TRIPLE_KEYS, "sent_id", "start", "end"),
-                                        pl.TRIPLE_KEYS))
-    stop = ann.stopwords_df(spark, ann.BASE_STOPWORDS)
-    t = tr.svo_triples(merged, pl.TRIPLE_KEYS, stop)
+    tok, _, ch, tags = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
+    place = [*pl.TRIPLE_KEYS, "sent_id", "start", "end"]
+    spans = entity_spans(tags, [*pl.TRIPLE_KEYS, "sent_id"]).select(*place).unionByName(ch.select(*place)).distinct()
+    merged = cut_lineage(tr.merge_spans(tok, spans, pl.TRIPLE_KEYS))
+    t = tr.svo_triples(merged, pl.TRIPLE_KEYS, ann.BASE_STOPWORDS)
     return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
                     "source", "relation", "target")

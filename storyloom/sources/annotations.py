@@ -22,7 +22,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storyloom.functions.text import letter_words, split_sentences
 
@@ -172,15 +171,13 @@ def noun_chunks(tok: DataFrame, keys: Sequence[str]) -> DataFrame:
                        F.array_join(F.transform("_w", lambda s: s["word"]), " ").alias("text"))
 
 
-def word_vectors_from_embeddings(words: DataFrame, embeddings: DataFrame,
-                                 n_ids: int = 600, max_id: int = 500) -> DataFrame:
-    """Fixture word vectors: ``vec_id = hex(md5(word))[0:7] % n_ids`` joined to
-    ``embeddings``; ids at or above ``max_id`` have no vector (FIXTURES §3)."""
+def word_vectors_from_embeddings(words: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Fixture word vectors: ``vec_id = hex(md5(word))[0:7] % (n * 6 // 5)`` joined
+    to the ``n`` rows of ``embeddings``: every vector is used and one word in six
+    has none (FIXTURES §3)."""
+    n_ids = max(1, embeddings.count() * 6 // 5)
     vid = (F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("bigint") % n_ids)
-    w = words.select("word").distinct().withColumn("vec_id", vid).where(F.col("vec_id") < max_id)
+    w = words.select("word").distinct().withColumn("vec_id", vid)
     return (w.join(embeddings.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
             .select("word", "vec"))
 
-
-VECTOR_SCHEMA = T.StructType([T.StructField("word", T.StringType()),
-                              T.StructField("vec", T.ArrayType(T.FloatType()))])

@@ -19,16 +19,19 @@ _RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True)
 
 
 def read_articles(spark: SparkSession, path: str, *, header: bool = True,
-                  date_format: str | None = None) -> DataFrame:
+                  date_format: str | None = None, multi_line: bool = True) -> DataFrame:
     """CSV scan → ``seq, url, date, title, author, category, article``.
 
     Columns are taken by position; the second is parsed as a timestamp and cut
-    to the day.  Spark has no file order, so ``seq`` (the order key used for
-    in-group positions) is the row's offset in the input: file name, then a
-    monotonically increasing id, which is stable for a given set of files.
+    to the day.  ``seq`` (the order key used for in-group positions) increases
+    with the row's place in its file; Spark packs files by size, so between
+    files it follows no name order.  It is stable for a given set of files.
+
+    ``multi_line`` allows line breaks inside quoted fields; such a file cannot
+    be split and is one task.  Set it to False for large files without them.
     """
     raw = (spark.read.schema(_RAW_SCHEMA)
-           .option("header", header).option("multiLine", True)
+           .option("header", header).option("multiLine", multi_line)
            .option("escape", '"').option("mode", "PERMISSIVE")
            .csv(path))
     ts = (F.to_timestamp("date", date_format) if date_format
@@ -50,7 +53,7 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
         d.alias("seq"),
         F.concat(F.lit("doc://"), d.cast("string")).alias("url"),
         date.alias("date"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("source").alias("author"),
         F.nullif(F.col("lang"), F.lit("es")).alias("category"),
         F.col("text").alias("article"),

@@ -3,10 +3,10 @@
 Per-group files of the reference become one partitioned dataset per output
 (``partitionBy('Year', 'Category'[, 'ClusterId'])``), so a run writes all
 groups in the same job and the group keys live in the folder names.
-JSON outputs are JSON Lines: one line per record holding a one-entry object
-(``{id: {...}}``, ``{ClusterId: {TopicId: {...}}}``, ``{topicId: {...}}``); the
-union of a folder's lines is the reference's per-group object.  This keeps
-every record on its own row — no group is ever gathered into one value.
+JSON outputs are JSON Lines of one-entry objects: an article per line
+(``{id: {...}}``), a cluster's topics per line (``{ClusterId: {TopicId: {...}}}``),
+a topic's triples per line (``{topicId: [{...}, …]}``); the union of a folder's
+lines is the group's object.
 Every writer overwrites its own output folder (S8) and deletes nothing else.
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ARTICLE_COLUMNS = ["Year", "Category", "id", "url", "title", "sentiment"]
 TOPIC_COLUMNS = ["Year", "Category", "ClusterId", "TopicId", "Topic Name", "Keywords",
@@ -60,48 +59,53 @@ def write_topics(topics: DataFrame, out_dir: str) -> str:
 
 
 def write_topics_json(topics: DataFrame, out_dir: str) -> str:
-    """Lines ``{"<ClusterId>": {"<TopicId>": {Topic Name, Keywords,
-    Articles, Sentiment}}}`` per group folder."""
+    """One line per cluster, ``{"<ClusterId>": {"<TopicId>": {Topic Name,
+    Keywords, Articles, Sentiment}, …}}``, in the group's folder."""
     path = f"{out_dir}/json/topics"
     inner = F.struct(F.col("Topic Name"), "Keywords", "Articles", "Sentiment")
-    rec = F.create_map(F.col("ClusterId").cast("string"),
-                       F.create_map(F.col("TopicId").cast("string"), inner))
-    (topics.select("Year", "Category", F.to_json(rec).alias("value"))
+    own = topics.groupBy("Year", "Category", "ClusterId").agg(F.sort_array(F.collect_list(
+        F.struct("TopicId", inner.alias("_topic")))).alias("_topics"))
+    by_topic = F.map_from_entries(F.transform("_topics", lambda t: F.struct(
+        t["TopicId"].cast("string"), t["_topic"])))
+    rec = F.create_map(F.col("ClusterId").cast("string"), by_topic)
+    (own.select("Year", "Category", F.to_json(rec).alias("value"))
      .write.mode("overwrite").partitionBy("Year", "Category").text(path))
     return path
 
 
 def write_triples(triples: DataFrame, out_dir: str) -> tuple[str, str]:
-    """Per (group, cluster) CSV rows and JSON lines
-    ``{"<topicId>": {source, relation, target, articleId, sentiment}}``.
-    Groups or clusters without triples get no folder (nothing is written)."""
+    """Per (group, cluster) CSV rows and one JSON line per topic,
+    ``{"<topicId>": [{source, relation, target, articleId, sentiment}, …]}``
+    (A11).  Groups or clusters without triples get no folder.  ``triples`` is
+    read twice: pass a materialised table."""
+    from storyloom.operators.triples import triples_by_topic
     csv_path, json_path = f"{out_dir}/triples", f"{out_dir}/json/triples"
-    t = triples.select(*TRIPLE_COLUMNS)
-    _csv(t, csv_path, ["Year", "Category", "ClusterId"])
-    rec = F.create_map(F.col("topicId").cast("string"),
-                       F.struct("source", "relation", "target", "articleId", "sentiment"))
-    (t.select("Year", "Category", "ClusterId", F.to_json(rec).alias("value"))
+    _csv(triples.select(*TRIPLE_COLUMNS), csv_path, ["Year", "Category", "ClusterId"])
+    lists = triples_by_topic(triples, ["Year", "Category", "ClusterId"])
+    rec = F.create_map(F.col("topicId").cast("string"), "triples")
+    (lists.select("Year", "Category", "ClusterId", F.to_json(rec).alias("value"))
      .write.mode("overwrite").partitionBy("Year", "Category", "ClusterId").text(json_path))
     return csv_path, json_path
 
 
 def combine_outputs(spark: SparkSession, out_dir: str, data_dir: str) -> tuple[str, str]:
     """The union of all groups' article and topic rows, each as one
-    dataset in the fixed column order (read back by partition discovery).
+    dataset in the fixed column order.  The schema is given, not inferred, so a
+    category such as ``007`` stays text, and line breaks inside fields are read
+    as such.
 
     The reference writes one CSV file each; here each is one CSV dataset
     (part files written in parallel), never funnelled through one task.
     """
-    arts = (spark.read.option("header", True).option("escape", '"')
-            .csv(f"{out_dir}/article_info").select(*ARTICLE_COLUMNS))
-    tops = (spark.read.option("header", True).option("escape", '"')
-            .csv(f"{out_dir}/topics").select(*TOPIC_COLUMNS))
+    def read(path: str, columns: list[str]) -> DataFrame:
+        stored = [c for c in columns if c not in ("Year", "Category")]
+        schema = ", ".join([*[f"`{c}` STRING" for c in stored], "Year INT", "Category STRING"])
+        return (spark.read.schema(schema).option("header", True).option("escape", '"')
+                .option("multiLine", True).csv(path).select(*columns))
+
+    arts = read(f"{out_dir}/article_info", ARTICLE_COLUMNS)
+    tops = read(f"{out_dir}/topics", TOPIC_COLUMNS)
     a_path, t_path = f"{data_dir}/combined_articles", f"{data_dir}/combined_topics"
     arts.write.mode("overwrite").option("header", True).option("escape", '"').csv(a_path)
     tops.write.mode("overwrite").option("header", True).option("escape", '"').csv(t_path)
     return a_path, t_path
-
-
-def read_json_lines(spark: SparkSession, path: str, value_type: T.DataType) -> DataFrame:
-    """Read a JSON-lines sink back as ``(partition columns…, map)``."""
-    return spark.read.text(path).select("*", F.from_json("value", value_type).alias("record"))

@@ -37,3 +37,38 @@ def test_write_and_combine(spark, tmp_out):
     assert tb["Keywords"] == '["a","b_c"]'
     js = spark.read.text(f"{out}/json/topics").first()["value"]
     assert js == '{"0":{"1":{"Topic Name":["a"],"Keywords":["a","b_c"],"Articles":[0],"Sentiment":"Neutral"}}}'
+
+
+def test_combine_keeps_line_breaks_and_category_text(spark, tmp_out):
+    rows = [(2020, "007", 0, "u0", "one\ntwo, \"three\"", "Positive"), (2021, None, 1, "u1", "t1", "Negative")]
+    arts = spark.createDataFrame(rows, "Year int, Category string, id long, url string, title string, sentiment string")
+    topics = spark.createDataFrame(
+        [(2020, "007", 0, t, ["a"], ["a\nb"], [0], "Neutral") for t in (1, 0)],
+        "Year int, Category string, ClusterId int, TopicId int, `Topic Name` array<string>, "
+        "Keywords array<string>, Articles array<long>, Sentiment string")
+    out, data = f"{tmp_out}/out", f"{tmp_out}/data"
+    sinks.write_article_info(arts, out)
+    sinks.write_topics(topics, out)
+    sinks.write_topics_json(topics, out)
+    a, _ = sinks.combine_outputs(spark, out, data)
+    back = (spark.read.schema("Year int, Category string, id long, url string, title string, sentiment string")
+            .option("header", True).option("escape", '"').option("multiLine", True).csv(a))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    lines = [r["value"] for r in spark.read.text(f"{out}/json/topics").collect()]
+    assert len(lines) == 1 and lines[0].startswith('{"0":{"0":{"Topic Name":["a"]') and '"1":{' in lines[0]
+
+
+def test_triples_by_topic(spark, tmp_out):
+    import json
+    rows = [(2020, "en", 0, 1, "s", "r", "t", a, s, "Neutral") for a, s in ((2, 0), (1, 1), (1, 0))]
+    rows.append((2020, "en", 0, 2, "x", "y", "z", 1, 0, "Positive"))
+    triples = spark.createDataFrame(
+        rows, "Year int, Category string, ClusterId int, topicId int, source string, relation string, "
+        "target string, articleId long, sent_id int, sentiment string")
+    c, j = sinks.write_triples(triples, f"{tmp_out}/out")
+    got = {}
+    for r in spark.read.text(j).collect():
+        got.update(json.loads(r["value"]))
+    assert [t["articleId"] for t in got["1"]] == [1, 1, 2] and got["2"] == [
+        {"source": "x", "relation": "y", "target": "z", "articleId": 1, "sentiment": "Positive"}]
+    assert spark.read.option("header", True).csv(c).count() == 4
