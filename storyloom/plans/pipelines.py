@@ -200,34 +200,30 @@ def topic_pipeline(spark: SparkSession, sf_dir: str, q1: dict | None = None,
     ct = q1["terms"].join(reps.select(*DOC, "cluster"), DOC)
     merged = cut_lineage(tp.bigram_phrases(ct, scope, "id"))
     docs = reps.select(*scope, "id")
-    weights = tfidf(merged, docs, scope, "id")
-    grid = cut_lineage(tp.topic_grid(docs, scope))
-    theta, phi = tp.lda_em(weights, grid, scope,
-                           passes=tp.LDA_PASSES if passes is None else passes)
-    top20 = tp.topic_words(phi, tp.COHERENCE_TOPN).join(grid.select(*scope, "mid"), "mid")
-    coh = tp.coherence_cv(merged, top20, scope, "id")
-    best = best_per_group(coh.join(grid, "mid"), scope, "k", "coherence")
-    best = cut_lineage(best.select(*scope, "k", "mid", "coherence"))
+    weights = cut_lineage(tfidf(merged, docs, scope, "id"))
+    grid = tp.topic_grid(docs, scope)
+    n_passes = tp.LDA_PASSES if passes is None else passes
+    coh = cut_lineage(tp.sweep_topics(weights, merged, grid, scope, "id", n_passes))
+    best = cut_lineage(best_per_group(coh, scope, "k", "coherence").select(*scope, "k", "coherence"))
+    theta, phi = tp.fit_topics(weights, best, scope, "id", n_passes)
     # Every representative of a fitted cluster gets its main topic
-    dt = tp.main_topic(theta.join(best.select("mid"), "mid"), "id")
-    fitted = docs.join(best.select(*scope, "mid"), scope)
-    dt = (fitted.join(dt, ["mid", "id"], "left")
+    dt = (docs.join(best.select(*scope), scope, "left_semi")
+          .join(tp.main_topic(theta, scope, "id"), [*scope, "id"], "left")
           .withColumn("topic", F.coalesce("topic", F.lit(0))))
-    kw = tp.topic_words(phi.join(best.select("mid"), "mid"), tp.KEYWORDS_PER_TOPIC)
-    kw = kw.select("mid", "topic", "rank", F.col("term").alias("keyword"))
+    tkey = [*scope, "topic"]
+    kw = tp.topic_words(phi, scope, tp.KEYWORDS_PER_TOPIC).select(*tkey, "rank", F.col("term").alias("keyword"))
     vocab = corpus_vocabulary(spark, sf_dir)
-    names = tp.topic_names(kw, ["mid", "topic"], stop_list(spark, cfg), vocab)
+    names = tp.topic_names(kw, tkey, stop_list(spark, cfg), vocab)
     labels = q1["sentiment"].select(*DOC, "label")
     dts = dt.join(reps.select(*DOC, "rank"), DOC)
-    senti = tp.topic_sentiment(dts, labels, ["mid", "topic"], DOC)
-    arts = dts.groupBy("mid", "topic").agg(
+    senti = tp.topic_sentiment(dts, labels, tkey, DOC)
+    arts = dts.groupBy(*tkey).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))),
                     lambda s: s["id"]).alias("Articles"))
-    kws = kw.groupBy("mid", "topic").agg(F.transform(F.sort_array(F.collect_list(
+    kws = kw.groupBy(*tkey).agg(F.transform(F.sort_array(F.collect_list(
         F.struct("rank", "keyword"))), lambda s: s["keyword"]).alias("Keywords"))
-    rows = (arts.join(best.select(*scope, "mid"), "mid")
-            .join(kws, ["mid", "topic"], "left").join(names, ["mid", "topic"], "left")
-            .join(senti.select("mid", "topic", "sentiment"), ["mid", "topic"], "left"))
+    rows = (arts.join(kws, tkey, "left").join(names, tkey, "left")
+            .join(senti.select(*tkey, "sentiment"), tkey, "left"))
     topics = rows.select(F.col("year").alias("Year"), F.col("category").alias("Category"),
                          F.col("cluster").alias("ClusterId"), F.col("topic").alias("TopicId"),
                          F.col("name").alias("Topic Name"), "Keywords", "Articles",
