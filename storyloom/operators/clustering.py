@@ -5,16 +5,12 @@
   ``mapInPandas`` and added up per group with MLlib's ``Summarizer`` (a JVM
   aggregate with map-side merge); only a d×d matrix per group reaches the
   small eigen step.  Rows never leave their partitions.
-* C2 ``kmeans_1d``: Lloyd's algorithm on 1-D points for every (group, k)
-  model at once.  A model is one row ``(keys, k, cents)``; each step is one
-  join + one aggregate, all models in the same job.  Start: the k quantiles
-  of the group's points (deterministic, no random restarts).
-* C3 ``silhouette_1d``: exact mean silhouette without point pairs.  Final
-  clusters are intervals, so the mean distance to another cluster is
-  ``|x - mean|`` and the nearest other cluster is a neighbour; the in-cluster
-  mean distance comes from running sums in x order.
-* C4 ``kmeans_sweep``: k = 2 … ``floor(n / sqrt(n)) - 1`` per group, best
-  silhouette wins (smallest k on ties).
+* C2-C4 ``kmeans_models``: every (group, k) model of the sweep, fitted to its
+  fixed point and scored over the group's prefix table (distinct values with
+  running counts and sums) in tasks of (group, block of k).  The start is the k
+  quantiles of the group's points (deterministic, no random restarts).
+* W2 ``top_representatives``: ranks inside a cluster by slices, so a large
+  cluster is spread over tasks.
 """
 
 from __future__ import annotations
@@ -106,36 +102,21 @@ def pca_1d(df: DataFrame, keys: Sequence[str], id_col: str = "id",
     return df.join(axes, keys).select(*keys, id_col, proj.alias(out))
 
 
-# ---- C2 ---------------------------------------------------------------------
+# ---- C2, C3, C4 -------------------------------------------------------------
 
-def model_grid(points: DataFrame, keys: Sequence[str], max_k: int | None = None) -> DataFrame:
+#: Sum of k of the models that one task fits.
+CENTROIDS_PER_TASK = 20_000
+
+
+def model_grid(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """C4's k range per group: ``k = 2 … floor(n / sqrt(n)) - 1`` (n points)."""
     keys = list(keys)
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     kmax = (F.floor(F.col("n") / F.sqrt(F.col("n"))) - 1).cast("int")
-    if max_k is not None:
-        kmax = F.least(kmax, F.lit(max_k))
     return (sizes.where(kmax >= MIN_K)
             .select(*keys, "n", F.explode(F.sequence(F.lit(MIN_K), kmax)).alias("k")))
 
 
-def _initial_centroids(points: DataFrame, grid: DataFrame, keys: Sequence[str],
-                       x_col: str, id_col: str) -> DataFrame:
-    """The k quantiles of each group's points (by rank, ties by id)."""
-    keys = list(keys)
-    ordered = points.withColumn("_ord", F.struct(F.col(x_col), F.col(id_col)))
-    ranked = position_in_group(ordered, keys, "_ord", "_rk", slice_col=x_col).select(
-        *keys, "_rk", x_col)
-    picks = grid.select(*keys, "n", "k", F.posexplode(F.sequence(F.lit(0), F.col("k") - 1))
-                        .alias("_j", "_jj"))
-    picks = picks.withColumn("_rk", F.floor((F.col("_j") + 0.5) * F.col("n") / F.col("k"))
-                             .cast("bigint"))
-    init = picks.join(ranked, [*keys, "_rk"])
-    return init.groupBy(*keys, "k").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_j", x_col))),
-                    lambda s: s[x_col].cast("double")).alias("cents"))
-
-
 def _nearest(x, cents):
     """Index of the nearest sorted centroid (lower index on exact ties)."""
     mids = F.transform(F.slice(cents, 2, F.size(cents)),
@@ -144,100 +125,90 @@ def _nearest(x, cents):
 
 
 def assign(points: DataFrame, cents: DataFrame, keys: Sequence[str], x_col: str = "x") -> DataFrame:
-    """Label every point of every model with its nearest centroid."""
+    """Label every point of every given model with its nearest centroid."""
     return (points.join(cents, list(keys))
             .withColumn("cluster", _nearest(F.col(x_col), F.col("cents"))))
 
 
-def _lloyd_step(points: DataFrame, cents: DataFrame, keys: Sequence[str], x_col: str) -> DataFrame:
-    """One Lloyd step for every model: two aggregates, no join back (an empty
-    cluster keeps its centroid through a map lookup)."""
-    keys = list(keys)
-    means = (assign(points, cents, keys, x_col)
-             .groupBy(*keys, "k", "cluster").agg(F.avg(x_col).alias("_m")))
-    per_model = means.groupBy(*keys, "k").agg(
-        F.map_from_entries(F.collect_list(F.struct("cluster", "_m"))).alias("_mm"))
-    new = cents.join(per_model, [*keys, "k"], "left").withColumn(
-        "_new", F.transform("cents", lambda c, i: F.coalesce(F.element_at("_mm", i), c)))
-    return new.select(*keys, "k", F.array_sort("_new").alias("cents"),
-                      F.array_max(F.zip_with("_new", "cents", lambda a, b: F.abs(a - b)))
-                      .alias("_move"))
-
-
-def iterate(state: DataFrame, step, max_iter: int, converged=None):
-    """Run ``state = step(state)`` up to ``max_iter`` times.
-
-    Every new state is written to the shared checkpoint folder and read back
-    (one job per step), so the plan of step n never contains step n-1 and a
-    lost executor costs at most one step.  ``converged(state) -> bool`` may
-    stop early; it reads the small materialised state.
-    """
-    current = state
-    for _ in range(max_iter):
-        current = cut_lineage(step(current))
-        if converged is not None and converged(current):
-            break
-    return current
-
-
-def kmeans_1d(points: DataFrame, grid: DataFrame, keys: Sequence[str], x_col: str = "x",
-              id_col: str = "id", max_iter: int = 20, tol: float = 0.0,
-              checkpoint: bool = True) -> DataFrame:
-    """``(keys…, k, cents)`` after at most ``max_iter`` Lloyd steps.
-
-    Stops early when no centroid of any model moves more than ``tol``.  The
-    points are checkpointed once; the centroid table is one small row per
-    model (cached each step, checkpointed every few steps).
-    """
-    keys = list(keys)
-    pts = points.select(*keys, id_col, x_col)
-    if checkpoint:
-        pts = cut_lineage(pts)
-    cents = _initial_centroids(pts, grid, keys, x_col, id_col)
-    if checkpoint:
-        cents = cut_lineage(cents)
-    out = iterate(cents, lambda c: _lloyd_step(pts, c.select(*keys, "k", "cents"), keys, x_col),
-                  max_iter,
-                  converged=lambda c: (c.agg(F.max("_move")).first()[0] or 0.0) <= tol)
-    return out.select(*keys, "k", "cents")
-
-
-# ---- C3 ---------------------------------------------------------------------
-
-def silhouette_1d(labelled: DataFrame, keys: Sequence[str], x_col: str = "x",
-                  id_col: str = "id") -> DataFrame:
-    """Mean silhouette per model, ``(keys…, k, score, n_clusters)``.
-
-    ``labelled`` has ``keys, k, id, x, cluster``.  A point alone in its cluster
-    scores 0; a model with fewer than two non-empty clusters gets a null score.
+class Line:
+    """A group's points on the line as a prefix table: distinct values in order
+    with running counts and sums.  A cluster is an interval of it, so a Lloyd
+    step is k lookups and a silhouette one pass, with no pair of points."""
+
+    def __init__(self, x: np.ndarray, n: np.ndarray):
+        order = np.argsort(x)
+        self.x, self.n = x[order].astype(np.float64), n[order].astype(np.int64)
+        self.count = np.concatenate(([0], np.cumsum(self.n)))
+        self.sum = np.concatenate(([0.0], np.cumsum(self.x * self.n)))
+
+    def bounds(self, cents: np.ndarray) -> np.ndarray:
+        """Where each centroid's interval starts and ends in the table."""
+        mids = (cents[:-1] + cents[1:]) / 2
+        return np.concatenate(([0], np.searchsorted(self.x, mids, "right"), [len(self.x)]))
+
+    def kmeans(self, k: int) -> np.ndarray:
+        """Lloyd's steps from the k quantiles until no point changes its
+        cluster; an empty cluster keeps its centroid."""
+        rank = np.floor((np.arange(k) + 0.5) * self.count[-1] / k).astype(np.int64)
+        cents, before = self.x[np.searchsorted(self.count[1:], rank, "right")], None
+        while True:
+            at = self.bounds(cents)
+            if before is not None and np.array_equal(at, before):
+                return cents
+            n = np.diff(self.count[at])
+            total = np.diff(self.sum[at])
+            cents = np.sort(np.where(n > 0, total / np.maximum(n, 1), cents))
+            before = at
+
+    def silhouette(self, cents: np.ndarray) -> float | None:
+        """Exact mean silhouette.  The mean distance to another interval is
+        the distance to its mean, the nearest one is a neighbour, and distances
+        inside a cluster come from the running sums.  A point alone in its
+        cluster scores 0; fewer than two non-empty clusters give no score."""
+        at = self.bounds(cents)
+        n = np.diff(self.count[at])
+        full = np.flatnonzero(n > 0)
+        if len(full) < 2:
+            return None
+        low, high, m = at[full], at[full + 1], n[full]
+        mean = np.diff(self.sum[at])[full] / m
+        own = np.repeat(np.arange(len(full)), high - low)
+        left_n, left_s = self.count[1:] - self.count[low][own], self.sum[1:] - self.sum[low][own]
+        right_n, right_s = self.count[high][own] - self.count[1:], self.sum[high][own] - self.sum[1:]
+        inside = (left_n * self.x - left_s) + (right_s - right_n * self.x)
+        a = inside / np.maximum(m[own] - 1, 1)
+        means = np.concatenate(([np.inf], mean, [np.inf]))
+        b = np.minimum(np.abs(self.x - means[own]), np.abs(self.x - means[own + 2]))
+        most = np.maximum(a, b)
+        s = np.where((m[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0)
+        return float((s * self.n).sum() / self.count[-1])
+
+
+def kmeans_models(points: DataFrame, keys: Sequence[str], x_col: str = "x") -> DataFrame:
+    """``keys…, k, cents, score`` of every model of ``model_grid``.
+
+    Points are combined to distinct values before the shuffle; a group's range
+    of k is cut into blocks of about ``CENTROIDS_PER_TASK`` centroids, and a
+    task fits one block to its fixed point over the group's prefix table.  A
+    task holds 16 bytes per distinct value of its group.
     """
     keys = list(keys)
-    mk = [*keys, "k"]
-    part = Window.partitionBy(*mk, "cluster")
-    run = part.orderBy(x_col, id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = (labelled
-         .withColumn("_i", F.count(F.lit(1)).over(run))
-         .withColumn("_s", F.sum(x_col).over(run))
-         .withColumn("_m", F.count(F.lit(1)).over(part))
-         .withColumn("_t", F.sum(x_col).over(part)))
-    x = F.col(x_col)
-    a = (((F.col("_i") * x - F.col("_s")) + ((F.col("_t") - F.col("_s")) - (F.col("_m") - F.col("_i")) * x))
-         / (F.col("_m") - 1))
-    means = labelled.groupBy(*mk, "cluster").agg(F.avg(x_col).alias("_mean"))
-    wc = Window.partitionBy(*mk).orderBy("cluster")
-    means = (means.withColumn("_left", F.lag("_mean").over(wc))
-             .withColumn("_right", F.lead("_mean").over(wc))
-             .withColumn("_nc", F.count(F.lit(1)).over(Window.partitionBy(*mk))))
-    p = p.join(means.drop("_mean"), [*mk, "cluster"])
-    b = F.least(F.abs(x - F.col("_left")), F.abs(x - F.col("_right")))
-    p = p.withColumn("_a", a).withColumn("_b", b)
-    mx = F.greatest("_a", "_b")
-    s = (F.when(F.col("_m") <= 1, F.lit(0.0))
-         .when(mx <= 0, F.lit(0.0))
-         .otherwise((F.col("_b") - F.col("_a")) / mx))
-    return (p.withColumn("_sil", s).groupBy(*mk)
-            .agg(F.avg("_sil").alias("score"), F.max("_nc").alias("n_clusters"))
-            .withColumn("score", F.when(F.col("n_clusters") >= 2, F.col("score"))))
+    block = F.floor(F.col("k") * (F.col("k") + 1) / (2 * CENTROIDS_PER_TASK)).cast("int")
+    blocks = (model_grid(points, keys).groupBy(*keys, block.alias("_blk"))
+              .agg(F.min("k").alias("_k0"), F.max("k").alias("_k1")))
+    values = points.groupBy(*keys, F.col(x_col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    schema = T.StructType(_key_schema(points, keys) + [
+        T.StructField("k", T.IntegerType()), T.StructField("cents", T.ArrayType(T.DoubleType())),
+        T.StructField("score", T.DoubleType())])
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        line, rows = Line(pdf["_x"].to_numpy(), pdf["_n"].to_numpy()), []
+        for k in range(int(pdf["_k0"].iloc[0]), int(pdf["_k1"].iloc[0]) + 1):
+            cents = line.kmeans(k)
+            rows.append((*key[:-1], k, cents, line.silhouette(cents)))
+        return pd.DataFrame(rows, columns=[*keys, "k", "cents", "score"])
+
+    return values.join(blocks, keys).groupBy(*keys, "_blk").applyInPandas(fit, schema)
 
 
 # ---- C4, W5 -----------------------------------------------------------------
@@ -250,21 +221,14 @@ def best_per_group(scores: DataFrame, keys: Sequence[str], model_col: str = "k",
             .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
 
 
-def kmeans_sweep(points: DataFrame, keys: Sequence[str], x_col: str = "x", id_col: str = "id",
-                 max_iter: int = 20, max_k: int | None = None, checkpoint: bool = True):
+def kmeans_sweep(points: DataFrame, keys: Sequence[str], x_col: str = "x", id_col: str = "id"):
     """C4: returns ``(labels, best)``.
 
-    ``labels``: ``keys, id, x, cluster`` for the chosen k;
+    ``labels``: ``keys, id, x, k, cluster`` for the chosen k;
     ``best``: ``keys, k, score, cents`` per group.
     """
     keys = list(keys)
-    grid = model_grid(points, keys, max_k)
-    cents = kmeans_1d(points, grid, keys, x_col, id_col, max_iter, checkpoint=checkpoint)
-    labelled = assign(points.select(*keys, id_col, x_col), cents, keys, x_col).drop("cents")
-    scores = silhouette_1d(labelled, keys, x_col, id_col)
-    if checkpoint:
-        scores = cut_lineage(scores)
-    best = best_per_group(scores, keys).join(cents, [*keys, "k"])
+    best = cut_lineage(best_per_group(kmeans_models(points, keys, x_col), keys))
     labels = assign(points.select(*keys, id_col, x_col),
                     best.select(*keys, "k", "cents"), keys, x_col).drop("cents")
     return labels, best
@@ -300,9 +264,10 @@ def top_representatives(labels: DataFrame, centroids: DataFrame, keys: Sequence[
           .where(F.col("size") >= F.greatest(F.lit(MIN_CLUSTER_DOCS), F.col("n_min"))))
     cand = labels.join(ok.select(*keys, "cluster", "n_max"), [*keys, "cluster"]).join(
         centroids, [*keys, "cluster"])
-    w = Window.partitionBy(*keys, "cluster").orderBy(F.abs(F.col(x_col) - F.col("mu")), id_col)
-    return (cand.withColumn("rank", F.row_number().over(w) - 1)
-            .where(F.col("rank") < F.col("n_max"))
+    cand = cand.withColumn("_d", F.abs(F.col(x_col) - F.col("mu")))
+    ranked = position_in_group(cand.withColumn("_o", F.struct("_d", id_col)), [*keys, "cluster"], "_o",
+                               "rank", slice_col="_d")
+    return (ranked.where(F.col("rank") < F.col("n_max"))
             .select(*keys, "cluster", F.col("rank").cast("bigint").alias("rank"), id_col))
 
 

@@ -107,27 +107,26 @@ def filter_categories_mean(df: DataFrame, category_col: str = "category") -> Dat
 
 def position_in_group(df: DataFrame, keys: Sequence[str], order_col: str,
                       out: str = "id", slice_col: str | None = None,
-                      n_slices: int = 128) -> DataFrame:
+                      rows_per_slice: int = 100_000) -> DataFrame:
     """0-based position of each row inside its group, ordered by ``order_col``.
 
     Same result as ``row_number() over (partition by keys order by o) - 1``
-    but without sending a whole group to one task.  Each group is cut into up
-    to ``n_slices`` value ranges of ``slice_col`` (default ``order_col``; it
-    must be numeric and order-compatible with ``order_col``) at approximate
-    quantiles; rows are numbered inside each (group, slice) and shifted by the
-    sizes of the group's earlier slices.  The quantile bounds are computed
-    once and stored, so the slice of a row is a pure function of its value —
-    every branch that recomputes it agrees.  A group holding a third of all
-    rows spreads over ``n_slices`` tasks.
+    but without sending a whole group to one task.  The number of value ranges
+    of ``slice_col`` (default ``order_col``; numeric and order-compatible with
+    it) follows the largest group's count, about ``rows_per_slice`` rows each,
+    at approximate quantiles; rows are numbered inside each (group, slice) and
+    shifted by the sizes of the group's earlier slices.  The quantile bounds are
+    computed once and stored, so the slice of a row is a pure function of its
+    value — every branch that recomputes it agrees.
     """
     from storyloom.session import cut_lineage
     keys = list(keys)
-    sc = slice_col or order_col
-    probs = [i / n_slices for i in range(1, n_slices)]
+    v = F.col(slice_col or order_col).cast("double")
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    n_slices = max(1, -(-largest // rows_per_slice))
+    probs = [i / n_slices for i in range(1, n_slices)] or [0.5]
     bounds = cut_lineage(df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(F.col(sc).cast("double"), probs, 10000))
-        .alias("_bounds")))
-    v = F.col(sc).cast("double")
+        F.array_distinct(F.percentile_approx(v, probs, 10000)).alias("_bounds")))
     sliced = (df.join(bounds, keys)
               .withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < v)))
               .drop("_bounds"))

@@ -210,8 +210,9 @@ SELECT g.year, g.category, CAST(g.id AS BIGINT) AS id,
 FROM grouped g LEFT JOIN dv USING (year, category, id)"""
 
 
-def _nchar_kmeans(iters: int) -> str:
-    """C2 in SQL: quantile start and ``iters`` unrolled Lloyd steps."""
+def _nchar_kmeans() -> str:
+    """C2 in SQL: quantile start, then Lloyd steps of each model until its
+    centroids stay (needs WITH RECURSIVE)."""
     parts = [""",
 pts AS (SELECT g.year, g.category, g.id, CAST(d.n_chars AS DOUBLE) AS x
         FROM grouped g JOIN documents d ON d.doc_id = g.seq),
@@ -225,21 +226,25 @@ c0 AS (
   FROM picks p JOIN ranked r ON r.year = p.year AND r.category = p.category
    AND r.rk = CAST(floor((p.j + 0.5) * p.n / p.k) AS BIGINT)
   GROUP BY ALL)"""]
-    for i in range(iters):
-        parts.append(f""",
-a{i} AS (
-  SELECT c.year, c.category, c.k, c.cents, p.x,
-         len(list_filter(list_transform(range(1, len(c.cents)),
-                                        lambda t: (c.cents[t] + c.cents[t + 1]) / 2),
-                         lambda m: m < p.x)) AS cluster
-  FROM c{i} c JOIN pts p USING (year, category)),
-m{i} AS (SELECT year, category, k, cluster, avg(x) AS mu FROM a{i} GROUP BY ALL),
-o{i} AS (SELECT year, category, k, unnest(cents) AS old, generate_subscripts(cents, 1) - 1 AS cluster FROM c{i}),
-c{i + 1} AS (
-  SELECT o.year, o.category, o.k, list(coalesce(m.mu, o.old) ORDER BY coalesce(m.mu, o.old)) AS cents
-  FROM o{i} o LEFT JOIN m{i} m USING (year, category, k, cluster) GROUP BY ALL)""")
-    parts.append(f""",
-cents AS (SELECT * FROM c{iters}),
+    parts.append("""
+, it AS (
+  SELECT year, category, k, cents, 0 AS step, true AS moved FROM c0
+  UNION ALL
+  SELECT year, category, k, fresh, step + 1, fresh <> cents FROM (
+    SELECT year, category, k, cents, step,
+           list_sort(list_transform(range(0, len(cents)), lambda j: coalesce(mm[j], cents[j + 1]))) AS fresh
+    FROM (
+      SELECT year, category, k, cents, step, map_from_entries(list(ROW(cluster, mu))) AS mm FROM (
+        SELECT year, category, k, cents, step, cluster, avg(x) AS mu FROM (
+          SELECT i.year, i.category, i.k, i.cents, i.step, p.x,
+                 len(list_filter(list_transform(range(1, len(i.cents)),
+                                                lambda t: (i.cents[t] + i.cents[t + 1]) / 2),
+                                 lambda m: m < p.x)) AS cluster
+          FROM it i JOIN pts p USING (year, category) WHERE i.moved)
+        GROUP BY ALL)
+      GROUP BY year, category, k, cents, step)))""")
+    parts.append("""
+, cents AS (SELECT year, category, k, arg_max(cents, step) AS cents FROM it GROUP BY ALL),
 lab AS (
   SELECT c.year, c.category, c.k, p.id, p.x,
          len(list_filter(list_transform(range(1, len(c.cents)),
@@ -335,7 +340,7 @@ SELECT year, category, CAST(id AS BIGINT) AS id,
     q["doc_terms"] = "WITH" + _prepared() + _tags() + _entities() + _stripped() + _terms() + """
 SELECT year, category, CAST(id AS BIGINT) AS id, CAST(pos AS BIGINT) AS pos, term FROM terms"""
     # ---- step 2: vectors -------------------------------------------------
-    base = "WITH" + _prepared() + _tags() + _entities() + _stripped() + _terms()
+    base = "WITH RECURSIVE" + _prepared() + _tags() + _entities() + _stripped() + _terms()
     q["term_counts"] = base + _weights() + """
 SELECT year, category, CAST(id AS BIGINT) AS id, term, CAST(n AS BIGINT) AS n FROM tc"""
     q["doc_freq"] = base + _weights() + """
@@ -358,7 +363,7 @@ FROM terms t JOIN wv w ON w.word = t.term"""
         "ORDER BY weight DESC, term) AS r FROM tfidf) WHERE r <= 10) t JOIN wv w ON w.word = t.term")
 
     # ---- step 3: clusters (1-D points = article length) --------------------
-    km = "WITH" + _grouped("std") + _nchar_kmeans(3)
+    km = "WITH RECURSIVE" + _grouped("std") + _nchar_kmeans()
     q["kmeans_centroids"] = km + """
 SELECT year, category, CAST(k AS BIGINT) AS k, CAST(generate_subscripts(cents, 1) - 1 AS BIGINT) AS cluster,
        round(unnest(cents), 6) AS mu FROM cents"""
@@ -385,7 +390,7 @@ FROM ranked_r WHERE rank < n_max"""
     # ---- step 4: topics (cluster = best n_chars k-means cluster) -----------
     ncm = """,
 ncm AS (SELECT l.year, l.category, l.id, l.cluster FROM lab l JOIN best b USING (year, category, k))"""
-    bg = base + _nchar_kmeans(3) + ncm + """,
+    bg = base + _nchar_kmeans() + ncm + """,
 ct AS (SELECT t.*, n.cluster FROM terms t JOIN ncm n USING (year, category, id)),
 nx AS (SELECT *, lead(term) OVER (PARTITION BY year, category, cluster, id ORDER BY pos) AS b FROM ct),
 pairs AS (SELECT year, category, cluster, term AS a, b, count(*) AS n_ab FROM nx WHERE b IS NOT NULL GROUP BY ALL),
@@ -449,7 +454,7 @@ sc AS (
   GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY year, category ORDER BY score DESC, word) - 1 AS rank FROM sc)
 SELECT year, category, CAST(rank AS BIGINT) AS rank, word, round(score, 6) AS score FROM rk WHERE rank < 5"""
-    q["topic_sentiment"] = "WITH" + _grouped("std") + _nchar_kmeans(3) + ncm + """,
+    q["topic_sentiment"] = "WITH RECURSIVE" + _grouped("std") + _nchar_kmeans() + ncm + """,
 j AS (
   SELECT n.year, n.category, n.cluster, lb.quality AS label
   FROM ncm n JOIN grouped g USING (year, category, id) JOIN labels lb ON lb.doc_id = g.seq)
@@ -461,7 +466,7 @@ FROM j GROUP BY ALL"""
     triple_list = "[" + ", ".join(_q(w) for w in sorted(triple_words)) + "]"
     base_stop = f"""
 bstop AS (SELECT * FROM (VALUES {_values(BASE_STOPWORDS)}) t(word))"""
-    tri = "WITH" + _grouped("std") + _nchar_kmeans(3) + ncm + "," + base_stop + """,
+    tri = "WITH RECURSIVE" + _grouped("std") + _nchar_kmeans() + ncm + "," + base_stop + """,
 prep0 AS (
   SELECT year, category, id, seq, url, title,
          array_to_string(list_concat([coalesce(title, '') || '.'],

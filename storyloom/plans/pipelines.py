@@ -31,7 +31,6 @@ class PipelineConfig:
     fill_misc: bool = True               # False in the Ray variant
     vectorizer: str = "tfidf"            # "mean" (pool), "top10"
     extra_stopwords: frozenset = field(default_factory=frozenset)  # {"read"} in pool
-    max_k: int | None = None             # optional cap on the k sweep (None = reference)
 
 
 def grouped(articles: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
@@ -45,9 +44,9 @@ def prepared(articles: DataFrame, cfg: PipelineConfig = PipelineConfig(),
 
     Output ``DOC…, seq, url, title, intro, coref, clean``.
     """
-    g = grouped(articles, cfg)
-    df = g.select(*DOC, "seq", "url", "title",
-                  intro("title", "article", cfg.n_sentences).alias("intro"))
+    # W1 first: only the intro, never the whole body, goes through the group shuffles
+    short = articles.withColumn("intro", intro("title", "article", cfg.n_sentences)).drop("article")
+    df = grouped(short, cfg).select(*DOC, "seq", "url", "title", "intro")
     if mentions is not None:
         df = ent.resolve_mentions(df, mentions, DOC, "intro", "coref")
     else:
@@ -132,8 +131,7 @@ def cluster_docs(doc_vec: DataFrame, cfg: PipelineConfig = PipelineConfig()):
     from storyloom.operators.vectors import normalize_rows
     from storyloom.session import cut_lineage
     pts = cut_lineage(cl.pca_1d(normalize_rows(doc_vec), G, "id", "vec", "x"))
-    labels, best = cl.kmeans_sweep(pts, G, "x", "id", max_k=cfg.max_k)
-    best = cut_lineage(best)
+    labels, best = cl.kmeans_sweep(pts, G, "x", "id")
     reps = cl.top_representatives(labels, cl.centroid_table(best, G), G, "x", "id")
     return labels, best, reps
 

@@ -277,9 +277,6 @@ def q_doc_vectors_top10(spark, sf_dir):
 
 # ---- step 3: clusters ----------------------------------------------------------
 
-NCHARS_ITER = 3
-
-
 def _nchar_points(spark, sf_dir):
     """FIXTURES §3: the article length as a 1-D point per kept article."""
     g = pl.grouped(load_articles(spark, sf_dir))
@@ -288,20 +285,18 @@ def _nchar_points(spark, sf_dir):
     return g.join(nc, "seq").select(*pl.DOC, "x")
 
 
-def _nchar_kmeans(spark, sf_dir):
+def _nchar_models(spark, sf_dir):
     from storyloom.operators import clustering as cl
     from storyloom.session import cut_lineage
     pts = cut_lineage(_nchar_points(spark, sf_dir))
-    grid = cl.model_grid(pts, pl.G)
-    cents = cl.kmeans_1d(pts, grid, pl.G, "x", "id", max_iter=NCHARS_ITER)
-    return pts, cents
+    return pts, cut_lineage(cl.kmeans_models(pts, pl.G, "x"))
 
 
 @register("kmeans_centroids")
 def q_kmeans_centroids(spark, sf_dir):
-    """C2 (and C4's k grid): centroids after 3 Lloyd steps, every group and k."""
-    _, cents = _nchar_kmeans(spark, sf_dir)
-    c = cents.select(*pl.G, "k", F.posexplode("cents").alias("cluster", "mu"))
+    """C2 (and C4's k grid): centroids at the fixed point, every group and k."""
+    _, models = _nchar_models(spark, sf_dir)
+    c = models.select(*pl.G, "k", F.posexplode("cents").alias("cluster", "mu"))
     return c.select(F.col("year").cast("bigint").alias("year"), "category",
                     F.col("k").cast("bigint").alias("k"),
                     F.col("cluster").cast("bigint").alias("cluster"), _r("mu").alias("mu"))
@@ -310,34 +305,32 @@ def q_kmeans_centroids(spark, sf_dir):
 @register("silhouette")
 def q_silhouette(spark, sf_dir):
     """Exact 1-D silhouette of every (group, k) model (oracle: all pairs)."""
-    from storyloom.operators import clustering as cl
-    pts, cents = _nchar_kmeans(spark, sf_dir)
-    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
-    s = cl.silhouette_1d(lab, pl.G, "x", "id")
-    return s.select(F.col("year").cast("bigint").alias("year"), "category",
-                    F.col("k").cast("bigint").alias("k"), _r("score").alias("score"))
+    _, models = _nchar_models(spark, sf_dir)
+    return models.select(F.col("year").cast("bigint").alias("year"), "category",
+                         F.col("k").cast("bigint").alias("k"), _r("score").alias("score"))
 
 
 @register("best_k")
 def q_best_k(spark, sf_dir):
     """The k with the best silhouette per group (smallest k on ties)."""
     from storyloom.operators import clustering as cl
-    pts, cents = _nchar_kmeans(spark, sf_dir)
-    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
-    b = cl.best_per_group(cl.silhouette_1d(lab, pl.G, "x", "id"), pl.G)
+    _, models = _nchar_models(spark, sf_dir)
+    b = cl.best_per_group(models, pl.G)
     return b.select(F.col("year").cast("bigint").alias("year"), "category",
                     F.col("k").cast("bigint").alias("k"), _r("score").alias("score"))
 
 
+def _nchar_sweep(spark, sf_dir):
+    from storyloom.operators import clustering as cl
+    from storyloom.session import cut_lineage
+    return cl.kmeans_sweep(cut_lineage(_nchar_points(spark, sf_dir)), pl.G, "x", "id")
+
+
 @register("representatives")
 def q_representatives(spark, sf_dir):
     """Nearest members of big-enough clusters of the best k."""
     from storyloom.operators import clustering as cl
-    pts, cents = _nchar_kmeans(spark, sf_dir)
-    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
-    best = cl.best_per_group(cl.silhouette_1d(lab, pl.G, "x", "id"), pl.G).join(
-        cents, [*pl.G, "k"])
-    labels = lab.join(best.select(*pl.G, "k"), [*pl.G, "k"], "left_semi").drop("k")
+    labels, best = _nchar_sweep(spark, sf_dir)
     reps = cl.top_representatives(labels, cl.centroid_table(best, pl.G), pl.G, "x", "id")
     return reps.select(F.col("year").cast("bigint").alias("year"), "category",
                        F.col("cluster").cast("bigint").alias("cluster"), "rank", "id")
@@ -367,11 +360,8 @@ def q_cluster_articles(spark, sf_dir):
 
 def _nchar_clusters(spark, sf_dir):
     """Cluster members of the n_chars k-means (deterministic, SQL-checkable)."""
-    from storyloom.operators import clustering as cl
-    pts, cents = _nchar_kmeans(spark, sf_dir)
-    lab = cl.assign(pts, cents, pl.G, "x").drop("cents")
-    best = cl.best_per_group(cl.silhouette_1d(lab, pl.G, "x", "id"), pl.G)
-    return lab.join(best.select(*pl.G, "k"), [*pl.G, "k"], "left_semi").select(*pl.DOC, "cluster")
+    labels, _ = _nchar_sweep(spark, sf_dir)
+    return labels.select(*pl.DOC, "cluster")
 
 
 def _cluster_terms(spark, sf_dir):

@@ -23,42 +23,56 @@ def brute_silhouette(xs, labels):
     return float(np.mean(s))
 
 
-def test_silhouette_matches_pairs(spark):
+def brute_lloyd(xs, k):
+    """Lloyd's steps over the points themselves, to the fixed point."""
+    xs = sorted(xs)
+    cents = [xs[int((j + 0.5) * len(xs) / k)] for j in range(k)]
+    while True:
+        lab = [sum((cents[t] + cents[t + 1]) / 2 < x for t in range(k - 1)) for x in xs]
+        new = sorted(np.mean([x for x, c in zip(xs, lab) if c == j]) if j in lab else cents[j] for j in range(k))
+        if np.allclose(new, cents, atol=1e-12, rtol=0):
+            return cents
+        cents = new
+
+
+def test_models_match_lloyd_and_pairs(spark, monkeypatch):
     rnd = random.Random(7)
-    rows = []
-    for g in range(4):
-        for i in range(40):
-            rows.append((g, i, float(rnd.choice([rnd.gauss(0, 1), rnd.gauss(5, 1), 2.0]))))
+    data = {g: [float(rnd.choice([round(rnd.gauss(0, 1), 1), round(rnd.gauss(5, 1), 1), 2.0])) for _ in range(60)]
+            for g in range(3)}
+    data[3] = [1.0] * 40  # one value: a single cluster, no score
+    rows = [(g, i, x) for g, xs in data.items() for i, x in enumerate(xs)]
     pts = spark.createDataFrame(rows, "g int, id int, x double")
-    grid = cl.model_grid(pts, ["g"])
-    cents = cl.kmeans_1d(pts, grid, ["g"], max_iter=20)
-    lab = cl.assign(pts, cents, ["g"]).drop("cents")
-    got = {(r["g"], r["k"]): r["score"] for r in cl.silhouette_1d(lab, ["g"]).collect()}
-    data = {(r["g"], r["k"]): (r["xs"], r["ls"]) for r in lab.groupBy("g", "k").agg(
-        F.collect_list("x").alias("xs"), F.collect_list("cluster").alias("ls")).collect()}
-    assert set(got) == set(data)
-    for key, (xs, ls) in data.items():
-        want = brute_silhouette(xs, ls)
-        if want is None:
-            assert got[key] is None
-        else:
-            assert abs(got[key] - want) < 1e-9
+    monkeypatch.setattr(cl, "CENTROIDS_PER_TASK", 5)  # several blocks of k
+    got = {(r["g"], r["k"]): r for r in cl.kmeans_models(pts, ["g"]).collect()}
+    assert set(got) == {(g, k) for g, xs in data.items() for k in range(2, int(len(xs) / np.sqrt(len(xs))))}
+    for (g, k), r in got.items():
+        assert np.allclose(r["cents"], brute_lloyd(data[g], k), atol=1e-9)
+        lab = [sum((r["cents"][t] + r["cents"][t + 1]) / 2 < x for t in range(k - 1)) for x in data[g]]
+        want = brute_silhouette(data[g], lab)
+        assert r["score"] is None if want is None else abs(r["score"] - want) < 1e-9
 
 
-def test_lloyd_inertia_does_not_rise(spark):
+def test_sweep_labels_every_point_of_scored_groups(spark):
     rnd = random.Random(3)
-    pts = spark.createDataFrame([(0, i, rnd.random() * 10) for i in range(60)], "g int, id int, x double")
-    grid = cl.model_grid(pts, ["g"])
-    prev = None
-    for it in range(1, 6):
-        cents = cl.kmeans_1d(pts, grid, ["g"], max_iter=it)
-        lab = cl.assign(pts, cents, ["g"])
-        inertia = {r["k"]: r["i"] for r in lab.select("k", (F.col("x") - F.element_at("cents", F.col("cluster") + 1)).alias("d"))
-                   .groupBy("k").agg(F.sum(F.col("d") * F.col("d")).alias("i")).collect()}
-        if prev:
-            for k in inertia:
-                assert inertia[k] <= prev[k] + 1e-9
-        prev = inertia
+    pts = spark.createDataFrame([(g, i, rnd.random() * 10) for g in range(2) for i in range(50)],
+                                "g int, id int, x double")
+    labels, best = cl.kmeans_sweep(pts, ["g"])
+    models = {r["g"]: r for r in best.collect()}
+    assert labels.count() == 100
+    for r in labels.collect():
+        cents = models[r["g"]]["cents"]
+        assert r["cluster"] == int(np.argmin([abs(r["x"] - c) for c in cents]))
+
+
+def test_positions_over_several_slices(spark):
+    from storyloom.operators.groups import position_in_group
+    rnd = random.Random(9)
+    rows = [(g, i, rnd.randint(0, 30)) for g in range(2) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, id int, x int").withColumn("o", F.struct("x", "id"))
+    got = position_in_group(df, ["g"], "o", "rank", slice_col="x", rows_per_slice=17).collect()
+    for g in range(2):
+        want = sorted((x, i) for gg, i, x in rows if gg == g)
+        assert [(r["x"], r["id"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["rank"])] == want
 
 
 def test_top_representatives(spark):

@@ -39,7 +39,7 @@ def test_position_in_group_many_slices_one_hot_group(spark):
     df = spark.range(0, 200_000, numPartitions=16).select(
         F.when(F.col("id") % 10 == 0, F.lit(1)).otherwise(F.lit(0)).alias("g"),
         (F.xxhash64("id") % 1_000_000_007).alias("seq"))
-    got = grp.position_in_group(df, ["g"], "seq", "pos", n_slices=64)
+    got = grp.position_in_group(df, ["g"], "seq", "pos", rows_per_slice=3000)
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("seq", F.monotonically_increasing_id())) - 1)
     agg = got.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"),
                                F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()
