@@ -1,12 +1,14 @@
-"""Pipeline stages (Q1 cluster pipeline, Q2 topics, Q3 triples).
+"""Pipeline stages (Q1 cluster pipeline, Q2 topics, Q3 triples) and ``run``.
 
-Every stage is a lazy DataFrame plan keyed by the group columns; all groups
-run in the same Spark jobs.  The only actions are the iterative parts
-(k-means steps, LDA EM steps) and the sinks.
+The pipelines take an article DataFrame (S1's columns) and ``Resources``: word
+vectors, labelled texts and, optionally, the user's own annotations.  Every
+stage is a DataFrame plan keyed by the group columns; all groups run in the
+same Spark jobs.  Stage results are written once to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,45 @@ class PipelineConfig:
     fill_misc: bool = True               # False in the Ray variant
     vectorizer: str = "tfidf"            # "mean" (pool), "top10"
     extra_stopwords: frozenset = field(default_factory=frozenset)  # {"read"} in pool
+    triple_keep: frozenset = ann.TRIPLE_KEEP  # words kept for triples; none in pool
+
+
+#: The settings of the process-pool variant.
+POOL = PipelineConfig(n_sentences=5, group_filter="mean", vectorizer="mean",
+                      extra_stopwords=ann.POOL_EXTRA_STOPWORDS, triple_keep=frozenset())
+
+
+@dataclass
+class Resources:
+    """What the pipelines need beside the articles.
+
+    ``vectors`` gives ``(word, vec)`` for a ``word`` table, ``vocabulary`` is the
+    whole vector table (topic names), ``labelled`` holds ``(text, label 0/1)``.
+    The others replace the default annotators: ``mentions`` and ``tags`` get the
+    prepared articles, ``lexicon`` is ``(word, lemma, pos)``, ``annotate`` gives
+    ``(tokens, entities, chunks, tags)`` of the triple texts, and ``extract``
+    turns the triple texts into ``TRIPLE_KEYS, sent_id, subject, relation,
+    object`` (default: T5)."""
+    vectors: Callable[[DataFrame], DataFrame]
+    vocabulary: DataFrame
+    labelled: DataFrame
+    mentions: Callable[[DataFrame], DataFrame] | None = None
+    tags: Callable[[DataFrame], DataFrame] | None = None
+    lexicon: DataFrame | None = None
+    annotate: Callable[[DataFrame], tuple] | None = None
+    extract: Callable[[DataFrame], DataFrame] | None = None
+
+
+def table_resources(vectors: DataFrame, labelled: DataFrame, **own) -> Resources:
+    """Resources from a user's own ``(word, vec)`` and ``(text, label)`` tables."""
+    return Resources(lambda words: vectors.join(words.select("word").distinct(), "word", "left_semi"),
+                     vectors, labelled, **own)
+
+
+def fixture_resources(spark: SparkSession, sf_dir: str, **own) -> Resources:
+    """Resources derived from the driver's tables (FIXTURES §3)."""
+    return Resources(lambda words: vocabulary_vectors(spark, sf_dir, words),
+                     corpus_vocabulary(spark, sf_dir), labelled_titles(spark, sf_dir), **own)
 
 
 def grouped(articles: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
@@ -39,7 +80,7 @@ def grouped(articles: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> Data
 
 
 def prepared(articles: DataFrame, cfg: PipelineConfig = PipelineConfig(),
-             mentions: DataFrame | None = None) -> DataFrame:
+             mentions: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """W1 intro → J7 mention resolution → M2 cleaning.
 
     Output ``DOC…, seq, url, title, intro, coref, clean``.
@@ -48,7 +89,7 @@ def prepared(articles: DataFrame, cfg: PipelineConfig = PipelineConfig(),
     short = articles.withColumn("intro", intro("title", "article", cfg.n_sentences)).drop("article")
     df = grouped(short, cfg).select(*DOC, "seq", "url", "title", "intro")
     if mentions is not None:
-        df = ent.resolve_mentions(df, mentions, DOC, "intro", "coref")
+        df = ent.resolve_mentions(df, mentions(df), DOC, "intro", "coref")
     else:
         df = df.withColumn("coref", F.col("intro"))
     return df.withColumn("clean", clean_text("coref"))
@@ -136,10 +177,11 @@ def cluster_docs(doc_vec: DataFrame, cfg: PipelineConfig = PipelineConfig()):
     return labels, best, reps
 
 
-def sentiment_labels(spark: SparkSession, sf_dir: str, titles: DataFrame) -> DataFrame:
-    """0/1 label per title from a classifier trained on the label table."""
-    from storyloom.operators.sentiment import score_sentiment
-    return score_sentiment(train_label_model(spark, sf_dir), titles, "title")
+def labelled_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(text, label)``: the whole first line of every labelled document."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return docs.join(labels, "doc_id").select(F.substring_index("text", "\n", 1).alias("text"), "label")
 
 
 def article_rows(prep: DataFrame, reps: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -152,26 +194,26 @@ def article_rows(prep: DataFrame, reps: DataFrame, labelled: DataFrame) -> DataF
                       sentiment_bucket(F.col("label").cast("double")).alias("sentiment"))
 
 
-def cluster_pipeline(spark: SparkSession, sf_dir: str,
-                     cfg: PipelineConfig = PipelineConfig()) -> dict[str, DataFrame]:
-    """Q1 on the driver tables: every intermediate the later stages reuse."""
+def cluster_pipeline(articles: DataFrame, res: Resources,
+                     cfg: PipelineConfig = PipelineConfig()) -> dict:
+    """Q1: every intermediate that the later stages use again."""
+    from storyloom.operators.sentiment import score_sentiment, train_sentiment
     from storyloom.session import cut_lineage
-    # stage boundaries are written once and reused by every later step
-    prep = cut_lineage(load_prepared(spark, sf_dir, cfg))
-    strip = stripped(prep)
-    terms = cut_lineage(doc_terms(spark, strip, cfg))
+    spark = articles.sparkSession
+    prep = cut_lineage(prepared(articles, cfg, res.mentions))
+    strip = stripped(prep, res.tags(prep) if res.tags else None)
+    terms = cut_lineage(doc_terms(spark, strip, cfg, res.lexicon))
     docs = prep.select(*DOC)
-    vectors = vocabulary_vectors(spark, sf_dir, terms.select(F.col("term").alias("word")))
-    dim = len(load_table(spark, sf_dir, "embeddings").select("embedding").first()[0])
-    dv = cut_lineage(doc_vectors(terms, docs, vectors, dim, cfg))
+    vectors = res.vectors(terms.select(F.col("term").alias("word")))
+    first = res.vocabulary.select(F.size("vec").alias("n")).first()
+    dv = cut_lineage(doc_vectors(terms, docs, vectors, first["n"] if first else 0, cfg))
     labels, best, reps = cluster_docs(dv, cfg)
     reps = cut_lineage(reps)
-    scored = sentiment_labels(spark, sf_dir, prep.join(reps.select(*DOC), DOC, "left_semi")
-                              .select(*DOC, "title"))
-    articles = article_rows(prep, reps, scored)
-    return {"prep": prep, "strip": strip, "terms": terms, "vectors": vectors,
-            "doc_vec": dv, "labels": labels, "best": best, "reps": reps,
-            "sentiment": scored, "articles": articles}
+    model = train_sentiment(res.labelled)
+    chosen = prep.join(reps.select(*DOC), DOC, "left_semi").select(*DOC, "title")
+    scored = cut_lineage(score_sentiment(model, chosen, "title").select(*DOC, "title", "label"))
+    return {"prep": prep, "terms": terms, "doc_vec": dv, "labels": labels, "best": best, "reps": reps,
+            "sentiment": scored, "sentiment_model": model, "articles": article_rows(prep, reps, scored)}
 
 
 # ---- Q2: topics ----------------------------------------------------------------
@@ -185,14 +227,14 @@ def corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary_vectors(spark, sf_dir, words)
 
 
-def topic_pipeline(spark: SparkSession, sf_dir: str, q1: dict | None = None,
-                   cfg: PipelineConfig = PipelineConfig(), passes: int | None = None) -> dict:
+def topic_pipeline(q1: dict, res: Resources, cfg: PipelineConfig = PipelineConfig(),
+                   passes: int | None = None) -> dict:
     """Q2: P1 → A5 (cluster scope) → P2/P4 sweep by P3 → W3, W4 → P7 → A9 → A10."""
     from storyloom.operators import topics as tp
     from storyloom.operators.clustering import best_per_group
     from storyloom.operators.vectors import tfidf
     from storyloom.session import cut_lineage
-    q1 = q1 or cluster_pipeline(spark, sf_dir, cfg)
+    spark = q1["prep"].sparkSession
     scope = [*G, "cluster"]
     reps = q1["reps"]
     ct = q1["terms"].join(reps.select(*DOC, "cluster"), DOC)
@@ -210,8 +252,7 @@ def topic_pipeline(spark: SparkSession, sf_dir: str, q1: dict | None = None,
           .withColumn("topic", F.coalesce("topic", F.lit(0))))
     tkey = [*scope, "topic"]
     kw = tp.topic_words(phi, scope, tp.KEYWORDS_PER_TOPIC).select(*tkey, "rank", F.col("term").alias("keyword"))
-    vocab = corpus_vocabulary(spark, sf_dir)
-    names = tp.topic_names(kw, tkey, stop_list(spark, cfg), vocab)
+    names = tp.topic_names(kw, tkey, stop_list(spark, cfg), cut_lineage(res.vocabulary))
     labels = q1["sentiment"].select(*DOC, "label")
     dts = dt.join(reps.select(*DOC, "rank"), DOC)
     senti = tp.topic_sentiment(dts, labels, tkey, DOC)
@@ -259,20 +300,47 @@ def triple_texts(prep: DataFrame, topic_docs: DataFrame,
                  cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
     """T7 input: M2 of the (coref) intro, then M3 with the triple stop list."""
     from storyloom.functions.text import remove_words
-    words = sorted((ann.BASE_STOPWORDS | ann.ADDED_STOPWORDS | cfg.extra_stopwords)
-                   - ann.TRIPLE_KEEP)
+    words = sorted((ann.BASE_STOPWORDS | ann.ADDED_STOPWORDS | cfg.extra_stopwords) - cfg.triple_keep)
     t = prep.join(topic_docs.select(*DOC, "cluster", "topic"), DOC)
     return t.select(*TRIPLE_KEYS, remove_words(clean_text("coref"), words).alias("text"))
 
 
-def triple_rows(texts: DataFrame, sentiment_model) -> DataFrame:
-    """T5 → T6 → P8/M4 → ``Year, Category, ClusterId, topicId, source,
+def extract_triplets(texts: DataFrame, annotate: Callable | None = None) -> DataFrame:
+    """T5 (the default ``extract``)."""
+    from storyloom.operators import triples as tr
+    tok, ents, chunks, _ = (annotate or triple_annotations)(texts)
+    return tr.find_triplets(tok, chunks, ents, TRIPLE_KEYS)
+
+
+def extract_entity_triples(texts: DataFrame, annotate: Callable | None = None) -> DataFrame:
+    """T8 in the shape of ``extract``."""
+    from storyloom.operators import triples as tr
+    tok, _, _, tags = (annotate or triple_annotations)(texts)
+    found = tr.entity_triples(tok, ent.entity_pairs(tags, tok, TRIPLE_KEYS), TRIPLE_KEYS)
+    return found.withColumnsRenamed({"source": "subject", "target": "object"})
+
+
+def extract_svo(texts: DataFrame, annotate: Callable | None = None) -> DataFrame:
+    """T9-T11 in the shape of ``extract``: entity and chunk spans merged first."""
+    from storyloom.operators import triples as tr
+    from storyloom.session import cut_lineage
+    tok, _, chunks, tags = (annotate or triple_annotations)(texts)
+    place = [*TRIPLE_KEYS, "sent_id", "start", "end"]
+    spans = (ent.entity_spans(tags, [*TRIPLE_KEYS, "sent_id"]).select(*place)
+             .unionByName(chunks.select(*place)).distinct())
+    merged = cut_lineage(tr.merge_spans(tok, spans, TRIPLE_KEYS))
+    found = tr.svo_triples(merged, TRIPLE_KEYS, ann.BASE_STOPWORDS)
+    return found.withColumnsRenamed({"source": "subject", "target": "object"})
+
+
+def triple_rows(texts: DataFrame, sentiment_model, extract: Callable[[DataFrame], DataFrame] = extract_triplets
+                ) -> DataFrame:
+    """``extract`` → T6 → P8/M4 → ``Year, Category, ClusterId, topicId, source,
     relation, target, articleId, sentiment`` (+ sent_id for ordering)."""
     from storyloom.functions.text import sentiment_bucket
     from storyloom.operators import triples as tr
     from storyloom.operators.sentiment import score_sentiment
-    tok, ents, chunks, _ = triple_annotations(texts)
-    found = tr.filter_triples(tr.find_triplets(tok, chunks, ents, TRIPLE_KEYS))
+    found = tr.filter_triples(extract(texts))
     found = found.withColumn("_txt", F.concat_ws(" ", "subject", "relation", "object"))
     scored = score_sentiment(sentiment_model, found, "_txt")
     return scored.select(
@@ -283,21 +351,31 @@ def triple_rows(texts: DataFrame, sentiment_model) -> DataFrame:
         sentiment_bucket(F.col("label").cast("double")).alias("sentiment"))
 
 
-def train_label_model(spark: SparkSession, sf_dir: str):
-    """P8 fitted on the whole first lines of all labelled documents."""
-    from storyloom.operators.sentiment import train_sentiment
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    train = docs.join(labels, "doc_id").select(
-        F.substring_index("text", "\n", 1).alias("text"), "label")
-    return train_sentiment(train)
-
-
-def triple_pipeline(spark: SparkSession, sf_dir: str, q2: dict | None = None,
-                    cfg: PipelineConfig = PipelineConfig()) -> dict:
-    """Q3: triples for every topic's documents (topics from Q2)."""
-    q2 = q2 or topic_pipeline(spark, sf_dir, cfg=cfg)
-    dt = q2["doc_topics"].select(*DOC, "cluster", "topic")
-    texts = triple_texts(q2["prep"], dt, cfg)
-    rows = triple_rows(texts, train_label_model(spark, sf_dir))
-    return {**q2, "triples": rows}
+def triple_pipeline(q2: dict, res: Resources, cfg: PipelineConfig = PipelineConfig()) -> dict:
+    """Q3: triples of every topic's documents (topics from Q2)."""
+    from storyloom.session import cut_lineage
+    texts = cut_lineage(triple_texts(q2["prep"], q2["doc_topics"].select(*DOC, "cluster", "topic"), cfg))
+    extract = res.extract or (lambda t: extract_triplets(t, res.annotate))
+    return {**q2, "triples": triple_rows(texts, q2["sentiment_model"], extract)}
+
+
+# ---- the whole run ---------------------------------------------------------------
+
+def run(articles: DataFrame, res: Resources, out_dir: str, data_dir: str,
+        cfg: PipelineConfig = PipelineConfig(), passes: int | None = None) -> dict:
+    """Q1 → Q2 → Q3 and S2-S7: articles in, every output written.
+
+    The rows of each output are materialised once and written in both forms."""
+    from storyloom.session import cut_lineage
+    from storyloom.sources import sinks
+    q1 = cluster_pipeline(articles, res, cfg)
+    q2 = topic_pipeline(q1, res, cfg, passes)
+    q3 = triple_pipeline(q2, res, cfg)
+    out = {name: cut_lineage(q3[name]) for name in ("articles", "topics", "triples")}
+    sinks.write_article_info(out["articles"], out_dir)
+    sinks.write_article_json(out["articles"], out_dir)
+    sinks.write_topics(out["topics"], out_dir)
+    sinks.write_topics_json(out["topics"], out_dir)
+    sinks.write_triples(out["triples"], out_dir)
+    sinks.combine_outputs(articles.sparkSession, out_dir, data_dir)
+    return {**q3, **out}

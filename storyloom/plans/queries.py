@@ -188,10 +188,10 @@ def q_doc_terms(spark, sf_dir):
 # ---- step 2: vectors ---------------------------------------------------------
 
 def _terms_and_docs(spark, sf_dir, cfg=None):
+    from storyloom.session import cut_lineage
     cfg = cfg or pl.PipelineConfig()
-    prep = pl.load_prepared(spark, sf_dir, cfg)
-    terms = pl.doc_terms(spark, pl.stripped(prep), cfg)
-    return terms, prep.select(*pl.DOC)
+    prep = cut_lineage(pl.load_prepared(spark, sf_dir, cfg))
+    return cut_lineage(pl.doc_terms(spark, pl.stripped(prep), cfg)), prep.select(*pl.DOC)
 
 
 def _vectors(spark, sf_dir, terms):
@@ -351,7 +351,7 @@ def q_pca_projection(spark, sf_dir):
 @register("cluster_articles")
 def q_cluster_articles(spark, sf_dir):
     """Q1 (S2 rows): representative articles with their sentiment bucket."""
-    out = pl.cluster_pipeline(spark, sf_dir)["articles"]
+    out = pl.cluster_pipeline(load_articles(spark, sf_dir), pl.fixture_resources(spark, sf_dir))["articles"]
     return out.select(F.col("Year").cast("bigint").alias("Year"), "Category", "id", "url",
                       "title", "sentiment")
 
@@ -440,7 +440,8 @@ def q_topic_sentiment(spark, sf_dir):
 @register("topics")
 def q_topics(spark, sf_dir):
     """Q2 (S4 rows): topics per cluster with name, keywords, articles, sentiment."""
-    t = pl.topic_pipeline(spark, sf_dir)["topics"]
+    res = pl.fixture_resources(spark, sf_dir)
+    t = pl.topic_pipeline(pl.cluster_pipeline(load_articles(spark, sf_dir), res), res)["topics"]
     return t.select(F.col("Year").cast("bigint").alias("Year"), "Category",
                     F.col("ClusterId").cast("bigint").alias("ClusterId"),
                     F.col("TopicId").cast("bigint").alias("TopicId"),
@@ -502,9 +503,10 @@ def q_triples_filtered(spark, sf_dir):
 
 @register("triples")
 def q_triples(spark, sf_dir):
-    """T7 (S6 rows): triples with topic, article and sentiment for all kept
-    articles (n_chars clusters as topic groups; rows-only)."""
-    rows = pl.triple_rows(_triple_texts_nchars(spark, sf_dir), pl.train_label_model(spark, sf_dir))
+    """Q3, T7 (S6 rows): triples of the documents of Q2's topics (rows-only)."""
+    res = pl.fixture_resources(spark, sf_dir)
+    q2 = pl.topic_pipeline(pl.cluster_pipeline(load_articles(spark, sf_dir), res), res)
+    rows = pl.triple_pipeline(q2, res)["triples"]
     return rows.select(F.col("Year").cast("bigint").alias("Year"), "Category",
                        F.col("ClusterId").cast("bigint").alias("ClusterId"),
                        F.col("topicId").cast("bigint").alias("topicId"), "source", "relation",
@@ -514,10 +516,8 @@ def q_triples(spark, sf_dir):
 @register("entity_triples")
 def q_entity_triples(spark, sf_dir):
     """Sentences with exactly two entities, relation at the root."""
-    from storyloom.operators import triples as tr
-    from storyloom.operators.entities import entity_pairs
-    tok, _, _, tags = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
-    t = tr.entity_triples(tok, entity_pairs(tags, tok, pl.TRIPLE_KEYS), pl.TRIPLE_KEYS)
+    t = pl.extract_entity_triples(_triple_texts_nchars(spark, sf_dir))
+    t = t.withColumnsRenamed({"subject": "source", "object": "target"})
     return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
                     "source", "relation", "target")
 
@@ -525,13 +525,7 @@ def q_entity_triples(spark, sf_dir):
 @register("svo_triples")
 def q_svo_triples(spark, sf_dir):
     """Subject-verb-object triples over merged spans."""
-    from storyloom.operators import triples as tr
-    from storyloom.operators.entities import entity_spans
-    from storyloom.session import cut_lineage
-    tok, _, ch, tags = pl.triple_annotations(_triple_texts_nchars(spark, sf_dir))
-    place = [*pl.TRIPLE_KEYS, "sent_id", "start", "end"]
-    spans = entity_spans(tags, [*pl.TRIPLE_KEYS, "sent_id"]).select(*place).unionByName(ch.select(*place)).distinct()
-    merged = cut_lineage(tr.merge_spans(tok, spans, pl.TRIPLE_KEYS))
-    t = tr.svo_triples(merged, pl.TRIPLE_KEYS, ann.BASE_STOPWORDS)
+    t = pl.extract_svo(_triple_texts_nchars(spark, sf_dir))
+    t = t.withColumnsRenamed({"subject": "source", "object": "target"})
     return t.select(*_doc_cols(t), F.col("sent_id").cast("bigint").alias("sent_id"),
                     "source", "relation", "target")

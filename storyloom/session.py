@@ -39,8 +39,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) do we pick a scratch folder.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder.  Only a
+    local master, whose executor is the driver, gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="storyloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -57,10 +59,22 @@ def cut_lineage(df):
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and
     read it back: one job, a fresh plan (a leaf scan with real statistics for
     AQE), and data that survives the loss of any executor.  Iterative loops
-    call this every step so plans never grow with the number of steps.
+    call this every step so plans never grow with the number of steps, and
+    ``forget`` the table of the step before.
     """
     import uuid
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(df) -> None:
+    """Delete the table of a ``cut_lineage`` result that nothing reads any more."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
