@@ -4,7 +4,137 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from storyloom.llm import secret_ledger, warc
+from storyloom.llm.jaccard_join import THRESHOLD, WIDTH
+from storyloom.llm.queries import WARC_DATE
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: RE2 folds case beyond ASCII, so either case is written out.
+_EITHER = {r"(?i:password|passwd|secret|token|api_?key)": "(?:%s)" % "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    for word in ("password", "passwd", "secret", "token", "api_?key"))}
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _secrets() -> str:
+    """Matches of each rule with their places, from gaps and lengths."""
+    kinds = []
+    for rank, rule in enumerate(secret_ledger.RULES):
+        pattern = rule.pattern
+        for own, either in _EITHER.items():
+            pattern = pattern.replace(own, either)
+        p = _text(pattern)
+        kinds.append(f"""
+SELECT doc_id, {rank} AS rank, {_text(rule.kind)} AS kind, regexp_extract_all(t, {p}) AS found,
+       regexp_extract_all(t, {p}, {rule.group}) AS part, regexp_split_to_array(t, {p}) AS gaps, {rule.min_chars} AS least
+FROM d""")
+    joined = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank)"
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in secret_ledger.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(kinds)}),
+i AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, rank, kind, length(found[i]) AS n, least, length(part[i]) AS n_part,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start FROM i),
+h AS (SELECT doc_id, rank, kind, CAST(start AS BIGINT) AS a, CAST(start + n AS BIGINT) AS b FROM s WHERE n_part >= least),
+r AS (SELECT doc_id, {counts}, {joined} FILTER (rank < {len(secret_ledger.BASE)}) AS base, {joined} AS spans
+      FROM h GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_ledger.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def _warc() -> str:
+    """The page's text by the same replacements, the records as two branches."""
+    x = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for name in warc.HIDDEN:
+        x = rf"regexp_replace({x}, '(?is)<{name}\b.*?</{name}\s*>', '', 'g')"
+    x = rf"regexp_replace({x}, '[ \t\r\n\f\x0B]+', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?i)</?(?:{warc.BREAKS})\b[^>]*>', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for name, char in warc.REFERENCES:
+        x = f"replace({x}, {_text(name)}, {_text(char)})"
+    x = rf"regexp_replace({x}, '[ \t]+', ' ', 'g')"
+    x = rf"regexp_replace({x}, ' ?\n ?', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '\n\n+', chr(10), 'g')"
+    text = f"trim({x}, ' ' || chr(10))"
+    def uuid(*parts: str) -> str:
+        h = f"md5(concat_ws(chr(31), {', '.join(parts)}))"
+        return (f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' "
+                f"|| substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'")
+    crlf = "chr(13) || chr(10)"
+    title = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n\f\x0B]+', ' ', 'g'))"
+    lang = r"""lower(regexp_extract(html, '(?is)<html[^>]*\blang=["'']?([a-zA-Z-]+)', 1))"""
+    links = r"len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))"
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
+r AS (
+  SELECT *, {uuid("'response'", "CAST(page_id AS VARCHAR)", "target_uri", "html")} AS rid, {text} AS body,
+         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf}
+         || 'Content-Length: ' || strlen(html) AS head,
+         'sha256:' || sha256(html) AS source_digest
+  FROM p),
+b AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+         'source-status: 200' || {crlf} || 'source-content-type: text/html; charset=utf-8' || {crlf}
+         || 'source-content-length: ' || strlen(html) || {crlf} || 'title: ' || {title} || {crlf}
+         || 'language: ' || {lang} || {crlf} || 'outlinks: ' || {links} || {crlf}
+         || 'text-length: ' || length(body) || {crlf} AS block FROM r
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8', body FROM r)
+SELECT page_id, record_type, {uuid("record_type", "rid")} AS record_id, rid AS refers_to, target_uri,
+       '{WARC_DATE}' AS warc_date, content_type, CAST(strlen(block) AS BIGINT) AS content_length, block,
+       'sha256:' || sha256(block) AS block_digest, source_digest, head AS source_headers
+FROM b"""
+
+
+def _words(c: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({c}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _links() -> str:
+    """All pairs that share an n-gram, and the closure of the links."""
+    return rf"""
+WITH RECURSIVE dw AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+dp AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS p FROM dw WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + {WIDTH - 1}], ' ') AS g FROM dp),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (g)
+       WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM pr JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+      WHERE c * 1000 >= (a.n + b.n - c) * {round(THRESHOLD * 1000)}),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT x, min(y) AS class_id FROM r GROUP BY 1),
+l AS (SELECT x, count(*) AS n FROM e GROUP BY 1)
+SELECT k.x AS doc_id, class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links FROM k LEFT JOIN l ON l.x = k.x"""
+
+
+def _benchmark_hits() -> str:
+    """Windows of either side joined as text."""
+    return rf"""
+WITH dw AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+iw AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
+ip AS (SELECT item_id, w, least(10, len(w)) AS s, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p
+       FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, s, array_to_string(w[p:p + s - 1], ' ') AS g FROM ip),
+sizes AS (SELECT DISTINCT s FROM win),
+dp AS (SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) AS p FROM dw CROSS JOIN sizes WHERE len(w) >= s),
+hit AS (SELECT doc_id, p, dp.s, item FROM dp JOIN win ON win.s = dp.s AND win.g = array_to_string(w[p:p + dp.s - 1], ' ')),
+hw AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(p, p + s)) AS word FROM hit) GROUP BY 1),
+hi AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(hi.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(hw.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op2_jaccard_join": _links(), "op3_secret_ledger": _secrets(), "op8_warc_derivatives": _warc(), "op9_decontaminate": _benchmark_hits(),
+           "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text is not None}
