@@ -426,6 +426,56 @@ SELECT year, category, CAST(id AS BIGINT) AS id,
        CAST(row_number() OVER (PARTITION BY year, category, cluster, id ORDER BY pos) - 1 AS BIGINT) AS pos,
        CASE WHEN take THEN term || '_' || b ELSE term END AS term
 FROM ea WHERE NOT eaten"""
+    cl = "year, category, cluster"
+    q["coherence"] = bg + f""",
+tw AS (
+  SELECT {cl}, (r - 1) // 5 AS topic, term FROM (
+    SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY n_a DESC, term) AS r FROM uni) WHERE r <= 10),
+lens AS (SELECT {cl}, id, count(*) AS l FROM ct GROUP BY ALL),
+hits AS (
+  SELECT {cl}, id, pos, term, greatest(1, l - 109) AS nw FROM ct JOIN lens USING ({cl}, id)
+  SEMI JOIN tw USING ({cl}, term)),
+occ AS (SELECT DISTINCT {cl}, id, term, unnest(range(greatest(0, pos - 109), least(pos, nw - 1) + 1)) AS s FROM hits),
+nwin AS (SELECT {cl}, sum(nw) AS n FROM (SELECT DISTINCT {cl}, id, nw FROM hits) GROUP BY ALL),
+c1 AS (SELECT {cl}, term, count(*) AS c FROM occ GROUP BY ALL),
+o AS (SELECT {cl}, topic, id, s, term FROM occ JOIN tw USING ({cl}, term)),
+co AS (
+  SELECT {cl}, topic, a.term AS w1, b.term AS w2, count(*) AS c12
+  FROM o a JOIN o b USING ({cl}, topic, id, s) GROUP BY ALL),
+pp AS (SELECT {cl}, topic, a.term AS w1, b.term AS w2 FROM tw a JOIN tw b USING ({cl}, topic)),
+pv AS (
+  SELECT {cl}, topic, w1, w2, coalesce(c12, 0) / n AS p12, x.c / n AS p1, y.c / n AS p2
+  FROM pp LEFT JOIN co USING ({cl}, topic, w1, w2) JOIN nwin USING ({cl})
+  JOIN (SELECT {cl}, term AS w1, c FROM c1) x USING ({cl}, w1)
+  JOIN (SELECT {cl}, term AS w2, c FROM c1) y USING ({cl}, w2)),
+nv AS (SELECT *, ln((p12 + 1e-12) / (p1 * p2)) / -ln(p12 + 1e-12) AS v FROM pv),
+tot AS (SELECT {cl}, topic, w2, sum(v) AS t FROM nv GROUP BY ALL),
+cs AS (
+  SELECT {cl}, topic, w1, sum(v * t) / (sqrt(sum(v * v)) * sqrt(sum(t * t))) AS c
+  FROM nv JOIN tot USING ({cl}, topic, w2) GROUP BY ALL),
+tc AS (SELECT {cl}, topic, avg(c) AS c FROM cs GROUP BY ALL)
+SELECT year, category, CAST(cluster AS BIGINT) AS cluster, round(avg(c), 6) AS coherence FROM tc GROUP BY ALL"""
+    em = bg + f""",
+wt AS (SELECT {cl}, id, term, CAST(count(*) AS DOUBLE) AS c FROM ct GROUP BY ALL),
+ts AS (SELECT unnest(range(1, 4)) AS t),
+al AS (SELECT t, (1 / (t - 1 + sqrt(3))) / sum(1 / (t - 1 + sqrt(3))) OVER () AS alpha FROM ts),
+u0 AS (
+  SELECT {cl}, term, t, ((a * t + (a % 997) * t * t + 7919 * 3 + 100) % 1000003) / 1000003 + 0.5 AS u FROM (
+    SELECT {cl}, term, ('0x' || substr(md5(term), 1, 7))::BIGINT % 1000003 AS a FROM uni) CROSS JOIN ts),
+ph0 AS (SELECT {cl}, term, t, u / sum(u) OVER (PARTITION BY {cl}, t) AS ph FROM u0),
+th0 AS (SELECT DISTINCT {cl}, id, t, 1 / 3 AS th FROM wt CROSS JOIN ts)"""
+    for i in range(2):
+        em += f""",
+r{i} AS (
+  SELECT {cl}, id, term, t, c * th * ph / sum(th * ph) OVER (PARTITION BY {cl}, id, term) AS r
+  FROM wt JOIN th{i} USING ({cl}, id) JOIN ph{i} USING ({cl}, term, t)),
+nd{i} AS (SELECT {cl}, id, t, sum(r) + any_value(alpha) AS q FROM r{i} JOIN al USING (t) GROUP BY ALL),
+th{i + 1} AS (SELECT {cl}, id, t, q / sum(q) OVER (PARTITION BY {cl}, id) AS th FROM nd{i}),
+nw{i} AS (SELECT {cl}, term, t, sum(r) + 1 / 3 AS q FROM r{i} GROUP BY ALL),
+ph{i + 1} AS (SELECT {cl}, term, t, q / sum(q) OVER (PARTITION BY {cl}, t) AS ph FROM nw{i})"""
+    q["lda_fixed_steps"] = em + """
+SELECT year, category, CAST(cluster AS BIGINT) AS cluster, term, CAST(t - 1 AS BIGINT) AS topic, round(ph, 6) AS prob
+FROM ph2"""
     q["keyword_valid"] = base + _word_vectors() + """,
 kf AS (SELECT word, lower(regexp_extract(word, '(\\p{L}+)', 1)) AS lw FROM (SELECT DISTINCT term AS word FROM terms)),
 kl AS (
@@ -581,6 +631,17 @@ LEFT JOIN sf f ON f.year = v.year AND f.category = v.category AND f.id = v.id AN
 LEFT JOIN ob o ON o.year = v.year AND o.category = v.category AND o.id = v.id AND o.sent_id = v.sent_id"""
 
     raw_sql = q["triples_raw"]
+    q["entity_triples"] = raw_sql.split(",\nvb AS (")[0] + """,
+ep AS (
+  SELECT e.year, e.category, e.id, e.sent_id, e.entity, min(x.tok_id) AS at_tok
+  FROM sents e LEFT JOIN xl x ON x.year = e.year AND x.category = e.category AND x.id = e.id
+   AND x.sent_id = e.sent_id AND x.word = split_part(e.entity, ' ', 1) GROUP BY ALL),
+e2p AS (
+  SELECT year, category, id, sent_id, list(entity ORDER BY at_tok, entity) AS es FROM ep GROUP BY ALL HAVING count(*) = 2)
+SELECT year, category, CAST(id AS BIGINT) AS id, CAST(sent_id AS BIGINT) AS sent_id, es[1] AS source,
+       words[root + 1] AS relation, es[2] AS target
+FROM e2p JOIN sb USING (year, category, id, sent_id)
+WHERE len(words) >= 3 AND words[root + 1] NOT IN ('told', 'said', 'saying', 'tell', 'say')"""
     unwanted = " OR ".join(f"instr(rs, '{w}') > 0" for w in ("told", "said", "saying", "tell", "says", "say"))
     q["triples_filtered"] = raw_sql.replace("\nSELECT v.year, v.category, CAST(v.id AS BIGINT) AS id", ",\nraw AS (\nSELECT v.year, v.category, CAST(v.id AS BIGINT) AS id", 1) + """),
 tf0 AS (

@@ -390,6 +390,38 @@ def q_bigram_phrases(spark, sf_dir):
     return m.select(*_doc_cols(m), F.col("pos").cast("bigint").alias("pos"), "term")
 
 
+@register("coherence")
+def q_coherence(spark, sf_dir):
+    """P3 on fixed topics: each cluster's ten most frequent terms as two topics."""
+    from pyspark.sql import Window
+    from storyloom.operators.topics import coherence_cv
+    scope = [*pl.G, "cluster"]
+    from storyloom.session import cut_lineage
+    ct = cut_lineage(_cluster_terms(spark, sf_dir))
+    w = Window.partitionBy(*scope).orderBy(F.col("_n").desc(), "term")
+    top = (ct.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_r", F.row_number().over(w) - 1).where("_r < 10")
+           .select(*scope, F.lit(2).alias("k"), F.floor(F.col("_r") / 5).cast("int").alias("topic"), "term"))
+    c = coherence_cv(ct, top, scope)
+    return c.select(F.col("year").cast("bigint").alias("year"), "category",
+                    F.col("cluster").cast("bigint").alias("cluster"), _r("coherence").alias("coherence"))
+
+
+@register("lda_fixed_steps")
+def q_lda_fixed_steps(spark, sf_dir):
+    """Word probabilities of a three-topic model per cluster after two passes."""
+    from storyloom.operators.topics import fit_topics
+    from storyloom.operators.vectors import term_counts
+    scope = [*pl.G, "cluster"]
+    counts = term_counts(_cluster_terms(spark, sf_dir), [*scope, "id"]).withColumnRenamed("n", "weight")
+    models = counts.select(*scope).distinct().withColumn("k", F.lit(3))
+    _, phi = fit_topics(counts, models, scope, passes=2)
+    p = phi.select(*scope, "term", F.posexplode("ph").alias("topic", "prob"))
+    return p.select(F.col("year").cast("bigint").alias("year"), "category",
+                    F.col("cluster").cast("bigint").alias("cluster"), "term",
+                    F.col("topic").cast("bigint").alias("topic"), _r("prob").alias("prob"))
+
+
 @register("keyword_valid")
 def q_keyword_valid(spark, sf_dir):
     """which distinct intro words pass the keyword check (with vocabulary)."""
