@@ -264,9 +264,12 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def member_sets(docs: DataFrame, members: DataFrame, key_col: str, text_col: str, width: int) -> DataFrame:
     """``members`` (with ``_key``, ``_t`` of one document each) with their full
-    n-gram sets, computed again from the texts of these documents alone."""
+    n-gram sets, computed again from the texts of these documents alone.
+
+    ``members`` grows with the corpus, so it is hashed into the partitions of
+    the texts at every size and never broadcast."""
     rows = docs.select(F.col(key_col).alias("_dkey"), F.xxhash64(text_col).alias("_dt"), F.col(text_col).alias("_x"))
-    found = (rows.join(members, (F.col("_dt") == F.col("_t")) & F.col("_dkey").eqNullSafe(F.col("_key")))
+    found = (rows.join(members.hint("shuffle_hash"), (F.col("_dt") == F.col("_t")) & F.col("_dkey").eqNullSafe(F.col("_key")))
              .select("_x", "node", "root", "copies", "n_blocks"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,4 +343,4 @@ def one_per_class(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     names = {"_key": key_col, "_text": text_col}
     rows = parked(docs, **names)
     same = F.col("_key").eqNullSafe(F.col("_dk")) & (F.xxhash64("_text") == F.col("_dt"))
-    return unparked(rows.join(drop, same, "left_anti"), docs.columns, **names)
+    return unparked(rows.join(drop.hint("shuffle_hash"), same, "left_anti"), docs.columns, **names)
