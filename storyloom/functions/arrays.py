@@ -35,8 +35,3 @@ def l2_normalize(vec) -> Column:
     v = _col(vec)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x * y),
-                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)

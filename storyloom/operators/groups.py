@@ -56,7 +56,7 @@ def count_stats(counts: DataFrame, col: str = "n_rows") -> DataFrame:
                       F.stddev_samp(col).alias("std_n"))
 
 
-def group_threshold(stats: DataFrame, mode: str = "std") -> DataFrame:
+def group_threshold(mode: str = "std"):
     """F3/F4 threshold: ``floor(|std - mean|)`` or ``floor(mean)``."""
     if mode == "std":
         thr = F.floor(F.abs(F.col("std_n") - F.col("mean_n")))
@@ -64,7 +64,7 @@ def group_threshold(stats: DataFrame, mode: str = "std") -> DataFrame:
         thr = F.floor(F.col("mean_n"))
     else:
         raise ValueError(f"unknown group filter mode {mode!r}")
-    return stats.select(thr.cast("bigint").alias("threshold"))
+    return thr.cast("bigint")
 
 
 def kept_groups(df: DataFrame, keys: Sequence[str] = GROUP,
@@ -80,13 +80,7 @@ def kept_groups(df: DataFrame, keys: Sequence[str] = GROUP,
     everything = Window.partitionBy()
     stats = (counts.withColumn("mean_n", F.avg("n_rows").over(everything))
              .withColumn("std_n", F.stddev_samp("n_rows").over(everything)))
-    if mode == "std":
-        thr = F.floor(F.abs(F.col("std_n") - F.col("mean_n")))
-    elif mode == "mean":
-        thr = F.floor(F.col("mean_n"))
-    else:
-        raise ValueError(f"unknown group filter mode {mode!r}")
-    return (stats.withColumn("threshold", thr.cast("bigint"))
+    return (stats.withColumn("threshold", group_threshold(mode))
             .where(F.col("threshold").isNull() | (F.col("n_rows") > F.col("threshold")))
             .drop("mean_n", "std_n"))
 

@@ -20,9 +20,7 @@ def token_filter(tokens: DataFrame, stop: DataFrame,
     kept = tokens.where(F.col("pos").isin(list(allowed_pos))
                         & (F.length("word") > 1)
                         & ~F.col("word").rlike(r"^\p{Nd}+$"))
-    # the stop list is a fixed, small table
-    stop_lemmas = F.broadcast(stop.select(F.col("word").alias("lemma")))
-    return kept.join(stop_lemmas, "lemma", "left_anti").withColumn("term", F.col("lemma"))
+    return kept.join(stop.select(F.col("word").alias("lemma")), "lemma", "left_anti").withColumn("term", F.col("lemma"))
 
 
 def doc_tokens(texts: DataFrame, keys: Sequence[str], text_col: str,
@@ -48,26 +46,18 @@ def with_positions(kept: DataFrame, keys: Sequence[str]) -> DataFrame:
                           .alias("pos", "term"))
 
 
-def term_lists(terms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long form → ``array<string>`` per document, in order."""
-    keys = list(keys)
-    return terms.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(
-        F.struct("pos", "term"))), lambda s: s["term"]).alias("terms"))
-
-
 def keyword_valid(words: DataFrame, word_col: str, stop: DataFrame,
                   vocabulary: DataFrame | None = None) -> DataFrame:
     """keep keywords whose first token is a NOUN, whose lemma is not a stop
     word and (when ``vocabulary`` is given) whose lemma has a word vector."""
     first = F.lower(F.regexp_extract(F.col(word_col), r"(\p{L}+)", 1))
     w = words.withColumn("_lw", first)
-    stop_flag = F.broadcast(stop.select(F.col("word").alias("_lw"))
-                            .withColumn("_stop", F.lit(True)))
+    stop_flag = stop.select(F.col("word").alias("_lw")).distinct().withColumn("_stop", F.lit(True))
     w = w.join(stop_flag, "_lw", "left")
     w = (w.withColumn("_pos", ann.lexicon_pos(F.col("_lw"), F.col("_stop").isNotNull()))
          .withColumn("_lemma", ann.lexicon_lemma(F.col("_lw"))))
     w = w.where((F.col("_lw") != "") & (F.col("_pos") == "NOUN"))
-    w = w.join(F.broadcast(stop.select(F.col("word").alias("_lemma"))), "_lemma", "left_anti")
+    w = w.join(stop.select(F.col("word").alias("_lemma")), "_lemma", "left_anti")
     if vocabulary is not None:
         w = w.join(vocabulary.select(F.col("word").alias("_lemma")), "_lemma", "left_semi")
     return w.drop("_lw", "_stop", "_pos", "_lemma")

@@ -163,6 +163,7 @@ def q_stopword_sets(spark, sf_dir):
     words = (load_table(spark, sf_dir, "documents")
              .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
                      .alias("word"))
+             .join(stop, "word", "left_semi")
              .groupBy("word").agg(F.count(F.lit(1)).alias("n_occ")))
     lists = (stop.withColumn("list", F.lit("pipeline"))
              .unionByName(triple.withColumn("list", F.lit("triples"))))

@@ -97,9 +97,7 @@ def tokens(sent: DataFrame, keys: Sequence[str], stop: DataFrame,
     tok = (sent.select(*keys, "sent_id",
                        F.posexplode(letter_words("sentence")).alias("tok_id", "word"))
            .withColumn("_lw", F.lower("word")))
-    # stop list is a small fixed table (bounded by the list length)
-    stop_flag = F.broadcast(stop.select(F.col("word").alias("_lw"))
-                            .withColumn("_stop", F.lit(True)))
+    stop_flag = stop.select(F.col("word").alias("_lw")).distinct().withColumn("_stop", F.lit(True))
     tok = tok.join(stop_flag, "_lw", "left")
     tok = (tok.withColumn("lemma", lexicon_lemma(F.col("_lw")))
            .withColumn("pos", lexicon_pos(F.col("_lw"), F.col("_stop").isNotNull())))
