@@ -118,7 +118,10 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order_col: str,
     v = F.col(slice_col or order_col).cast("double")
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     n_slices = max(1, -(-largest // rows_per_slice))
-    probs = [i / n_slices for i in range(1, n_slices)] or [0.5]
+    if n_slices == 1:  # every group is one slice: its rank is the position
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order_col)) - 1
+        return df.withColumn(out, rank.cast("bigint"))
+    probs = [i / n_slices for i in range(1, n_slices)]
     bounds = cut_lineage(df.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(v, probs, 10000)).alias("_bounds")))
     sliced = (df.join(bounds, keys)
