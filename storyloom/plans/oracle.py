@@ -8,7 +8,7 @@ look-around, so word-edge rules are written with capture groups.
 
 from __future__ import annotations
 
-from storyloom.sources.annotations import ADDED_STOPWORDS, BASE_STOPWORDS, TRIPLE_KEEP
+from storyloom.sources.annotations import ADDED_STOPWORDS, BASE_STOPWORDS, FUNCTION_POS, TRIPLE_KEEP
 
 SPACE = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
@@ -513,6 +513,8 @@ SELECT year, category, CAST(cluster AS BIGINT) AS cluster, round(avg(label), 6)
             WHEN avg(label) > 0.6 THEN 'Positive' ELSE 'Negative' END AS sentiment
 FROM j GROUP BY ALL"""
     # ---- step 5: triple texts and their annotations ------------------------
+    function_pos = " ".join(f"WHEN lower(t.word) IN ({', '.join(map(_q, words))}) THEN '{pos}'"
+                            for pos, words in FUNCTION_POS.items())
     triple_list = "[" + ", ".join(_q(w) for w in sorted(triple_words)) + "]"
     base_stop = f"""
 bstop AS (SELECT * FROM (VALUES {_values(BASE_STOPWORDS)}) t(word))"""
@@ -537,14 +539,14 @@ xt AS (
   SELECT year, category, id, sent_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS tok_id
   FROM (SELECT *, regexp_extract_all(sentence, '(\\p{L}+)', 1) AS ws FROM xs)),
 xl AS (
-  SELECT t.*, CASE WHEN s.word IS NOT NULL THEN 'DET'
+  SELECT t.*, CASE """ + function_pos + """ WHEN s.word IS NOT NULL THEN 'DET'
                    WHEN suffix(lower(t.word), 'ing') OR suffix(lower(t.word), 'ed') THEN 'VERB'
                    WHEN suffix(lower(t.word), 'ly') THEN 'ADV' ELSE 'NOUN' END AS pos
   FROM xt t LEFT JOIN bstop s ON s.word = lower(t.word))"""
     vp_ctes = """,
 sa AS (
   SELECT year, category, id, sent_id,
-         list(word ORDER BY tok_id) AS words,
+         list(word ORDER BY tok_id) AS words, list(pos ORDER BY tok_id) AS poss,
          string_agg(CASE pos WHEN 'AUX' THEN 'A' WHEN 'PART' THEN 'P' WHEN 'VERB' THEN 'V'
                              WHEN 'ADP' THEN 'D' WHEN 'ADV' THEN 'R' ELSE 'x' END, '' ORDER BY tok_id) AS tags,
          min(CASE WHEN pos = 'VERB' THEN tok_id END) AS root
@@ -639,9 +641,12 @@ ep AS (
 e2p AS (
   SELECT year, category, id, sent_id, list(entity ORDER BY at_tok, entity) AS es FROM ep GROUP BY ALL HAVING count(*) = 2)
 SELECT year, category, CAST(id AS BIGINT) AS id, CAST(sent_id AS BIGINT) AS sent_id, es[1] AS source,
-       words[root + 1] AS relation, es[2] AS target
+       words[root + 1] || CASE WHEN poss[root + 2] = 'ADP' THEN ' ' || words[root + 2] ELSE '' END AS relation,
+       es[2] AS target
 FROM e2p JOIN sb USING (year, category, id, sent_id)
-WHERE len(words) >= 3 AND words[root + 1] NOT IN ('told', 'said', 'saying', 'tell', 'say')"""
+WHERE len(words) >= 3
+  AND words[root + 1] || CASE WHEN poss[root + 2] = 'ADP' THEN ' ' || words[root + 2] ELSE '' END
+      NOT IN ('told', 'said', 'saying', 'tell', 'say')"""
     unwanted = " OR ".join(f"instr(rs, '{w}') > 0" for w in ("told", "said", "saying", "tell", "says", "say"))
     q["triples_filtered"] = raw_sql.replace("\nSELECT v.year, v.category, CAST(v.id AS BIGINT) AS id", ",\nraw AS (\nSELECT v.year, v.category, CAST(v.id AS BIGINT) AS id", 1) + """),
 tf0 AS (

@@ -45,6 +45,13 @@ the their them then there these they this those through to too under until
 up very was we were what when where which while who whom why will with would
 you your
 """.split())
+# Parts of speech of function words; all of them are in the base stop list.
+FUNCTION_POS = {
+    "AUX": "are be been being can could did do does had has have is may should was were will would".split(),
+    "PART": "not to".split(),
+    "ADP": ("about after at before between by during for from in into of on out over through under until "
+            "up with").split(),
+}
 # ---------------------------------------------------------------------------
 
 
@@ -71,9 +78,11 @@ def sentences(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
 
 
 def lexicon_pos(word_lower, stop_flag):
-    """Suffix lexicon: stop word → DET, -ing/-ed → VERB, -ly → ADV, else NOUN."""
+    """Lexicon: function words by ``FUNCTION_POS``, other stop words → DET,
+    -ing/-ed → VERB, -ly → ADV, else NOUN."""
     w = word_lower
-    return (F.when(stop_flag, "DET")
+    known = F.coalesce(*[F.when(w.isin(words), pos) for pos, words in FUNCTION_POS.items()])
+    return (F.when(known.isNotNull(), known).when(stop_flag, "DET")
             .when(w.endswith("ing") | w.endswith("ed"), "VERB")
             .when(w.endswith("ly"), "ADV").otherwise("NOUN"))
 
@@ -90,8 +99,9 @@ def tokens(sent: DataFrame, keys: Sequence[str], stop: DataFrame,
 
     ``lexicon(word, lemma, pos)`` keyed by lower-case word overrides the suffix
     rules.  Dependencies (``with_deps``): the first VERB is the ROOT, the last
-    NOUN before it ``nsubj``, the first NOUN after it ``dobj``; everything
-    else ``dep``; heads point at the root.
+    NOUN before it ``nsubj``, the first NOUN after it ``dobj``, an ADP right
+    after it ``agent`` (``by``) or ``prep``; everything else ``dep``; heads point
+    at the root.
     """
     keys = list(keys)
     tok = (sent.select(*keys, "sent_id",
@@ -128,7 +138,10 @@ def tokens(sent: DataFrame, keys: Sequence[str], stop: DataFrame,
     tok = tok.withColumn("_subj", subj).withColumn("_obj", obj).drop("_obj0")
     dep = (F.when(F.col("tok_id") == F.col("_root"), "ROOT")
            .when(F.col("tok_id") == F.col("_subj"), "nsubj")
-           .when(F.col("tok_id") == F.col("_obj"), "dobj").otherwise("dep"))
+           .when(F.col("tok_id") == F.col("_obj"), "dobj")
+           .when((F.col("tok_id") == F.col("_root") + 1) & (F.col("pos") == "ADP"),
+                 F.when(F.lower("word") == "by", "agent").otherwise("prep"))
+           .otherwise("dep"))
     return (tok.withColumn("dep", dep)
             .withColumn("head", F.coalesce("_root", "tok_id"))
             .drop("_root", "_subj", "_obj"))
