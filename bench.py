@@ -1,7 +1,9 @@
 """Benchmark: time the headline queries and print one JSON line.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
-(default 8).  Each query is executed in full with a ``noop`` write (nothing is
+(default 8), ``BENCH_QUERY_S`` (default 900: a query's jobs are cancelled after
+so many seconds and the query is reported as failed, so that the line is always
+printed).  Each query is executed in full with a ``noop`` write (nothing is
 collected to the driver); the time includes planning and the iterative
 steps' own jobs.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -52,12 +55,17 @@ def main():
     failed = {}
     for name in [q for q in HEADLINE if q not in skip]:
         t0 = time.time()
+        limit = threading.Timer(float(os.environ.get("BENCH_QUERY_S", "900")), spark.sparkContext.cancelAllJobs)
+        limit.daemon = True
+        limit.start()
         try:
             run(spark, name, sf_dir)
         except Exception as exc:  # noqa: BLE001 - report, never hide, a failed query
             failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
             print(f"# {name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
             continue
+        finally:
+            limit.cancel()
         times[name] = round(time.time() - t0, 2)  # planning + execution
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
         spark.catalog.clearCache()
