@@ -33,7 +33,7 @@ HEADLINE = [
     "bigram_phrases",       # A12, P1
     "cosmul_neighbours",    # P6 over the whole vocabulary
     "cluster_articles",     # Q1: the full cluster pipeline
-    "triples",              # Q3 on every kept article
+    "triples_filtered",     # T5, T6 on every kept article
     "svo_triples",          # T9-T11
     "topics",               # Q2: bigrams, topic-model sweep, coherence, names
 ]
