@@ -152,7 +152,7 @@ def benchmark_slices(benchmark: DataFrame, item_col: str, text_col: str,
     n = max(1, -(-int(total) // max_index_words))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item if r.item is not None else "", r.text) for r in part.toLocalIterator()]
+        yield [(r.item if r.item is not None else "", r.text) for r in part.collect()]
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
