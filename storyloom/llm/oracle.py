@@ -51,9 +51,7 @@ FROM d LEFT JOIN r USING (doc_id)"""
 
 def _warc() -> str:
     """The page's text by the same replacements, the records as two branches."""
-    x = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for name in warc.HIDDEN:
-        x = rf"regexp_replace({x}, '(?is)<{name}\b.*?</{name}\s*>', '', 'g')"
+    x = f"regexp_replace(html, {_text(warc.UNSEEN)}, '', 'g')"
     x = rf"regexp_replace({x}, '[ \t\r\n\f\x0B]+', ' ', 'g')"
     x = rf"regexp_replace({x}, '(?i)</?(?:{warc.BREAKS})\b[^>]*>', chr(10), 'g')"
     x = rf"regexp_replace({x}, '<[^>]*>', '', 'g')"

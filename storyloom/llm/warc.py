@@ -33,6 +33,10 @@ BREAKS = ("p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|h
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
               ("&nbsp;", " "), ("&amp;", "&"))
 CRLF = "\r\n"
+#: Comments and hidden elements, in one pass.
+UNSEEN = r"(?is)<(?:!--.*?-->|" + "|".join(rf"{name}\b.*?</{name}\s*>" for name in HIDDEN) + ")"
+#: White space that becomes a blank.
+BLANKS = "\t\r\n\f\x0b"
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -62,15 +66,13 @@ def responses_from_pages(pages: DataFrame, warc_date: str, key_col: str = "page_
 
 def plain_text(html: Column) -> Column:
     """Text of a page, one line per block element."""
-    x = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in HIDDEN:
-        x = F.regexp_replace(x, rf"(?is)<{name}\b.*?</{name}\s*>", "")
-    x = F.regexp_replace(x, r"[ \t\r\n\f\x0B]+", " ")
+    x = F.regexp_replace(html, UNSEEN, "")
+    x = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), BLANKS, x)
     x = F.regexp_replace(x, rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
     x = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES, x)
-    x = F.regexp_replace(x, r"[ \t]+", " ")
-    x = F.regexp_replace(x, r" ?\n ?", "\n")
+    x = F.regexp_replace(x, r"  +", " ")
+    x = F.replace(F.replace(x, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     x = F.regexp_replace(x, r"\n\n+", "\n")
     return F.btrim(x, F.lit(" \n"))
 
