@@ -5,9 +5,10 @@ a document is given the language whose profile has the smallest out-of-place
 distance to the document's own profile: the sum over the document's n-grams of
 the difference in rank, or the profile's length where the n-gram is missing.
 
-N-grams of 1 to ``max_n`` characters come from lower-cased words between
-blanks.  A document counts its distinct words first and each word's n-grams
-once per batch, so the work follows the words, not the n-grams.
+N-grams of 1 to 3 characters come from lower-cased words between blanks.  An
+n-gram is one integer of three 21-bit code points, first character highest, so
+a text's n-grams are array shifts, their counts one sort, and their order as
+integers the order of the characters.
 
 Training reads every labelled row: tasks sum (language, n-gram) counts before
 the shuffle, and only the ``profile_size`` best n-grams of each language reach
@@ -23,8 +24,8 @@ or when nothing was learned; rows with a null label or null text teach nothing.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,74 +35,93 @@ from pyspark.sql import types as T
 
 from storyloom.llm import batches
 
-MAX_N = 3
 PROFILE_SIZE = 400
 MAX_LANGUAGES = 1000
-MEMORY_ENTRIES = 300_000
+#: Distinct n-grams that a task holds before it hands its counts on.
+HELD_GRAMS = 2_000_000
+_BLANK = 32
+_BITS = 21
 
 
-def letter_words(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    import regex
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
-    return regex.findall(r"\p{L}+", text.lower())
 
+def letter_stream(text: str) -> np.ndarray:
+    """Code points of the lower-cased words, one blank around each."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
+    codes = np.where(_letters()[codes], codes, _BLANK)
+    codes = np.concatenate(([_BLANK], codes, [_BLANK])).astype(np.int64)
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != _BLANK) | (codes[:-1] != _BLANK)
+    return codes[keep]
 
-class GramTable:
-    """Word -> ids of its n-grams; ids are local to one task."""
 
-    def __init__(self, max_n: int = MAX_N):
-        self.max_n = max_n
-        self.ids = batches.Ids()
-        self.words: dict[str, np.ndarray] = {}
+def grams(stream: np.ndarray) -> np.ndarray:
+    """All n-grams of a letter stream; none runs over a blank inside."""
+    one = stream[stream != _BLANK]
+    two = stream[:-1] << _BITS | stream[1:]
+    three = (stream[:-2] << 2 * _BITS | two[1:])[stream[1:-1] != _BLANK]
+    return np.concatenate((one << 2 * _BITS, two << _BITS, three))
 
-    def of_word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            padded = f" {word} "
-            grams = [padded[k:k + n] for n in range(1, self.max_n + 1) for k in range(len(padded) - n + 1)]
-            found = np.array([self.ids[g] for g in grams if g != " "], np.int64)
-            self.words[word] = found
-        return found
 
-    def counts(self, words: Counter) -> np.ndarray:
-        """Count of every id seen so far over a bag of words."""
-        parts = [self.of_word(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        return np.bincount(np.concatenate(parts), weights=times, minlength=len(self.ids)).astype(np.int64)
+def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often (or with what weight) they occur."""
+    if weights is None:
+        values = np.sort(values)
+        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        return values[first], np.diff(np.append(first, len(values)))
+    order = np.argsort(values, kind="stable")
+    values, weights = values[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[first], np.add.reduceat(weights, first)
 
-    def full(self) -> bool:
-        return len(self.words) > MEMORY_ENTRIES or len(self.ids) > MEMORY_ENTRIES
 
+def spelled(gram: int) -> str:
+    """The characters of an n-gram."""
+    codes = (gram >> 2 * _BITS, gram >> _BITS & (1 << _BITS) - 1, gram & (1 << _BITS) - 1)
+    return "".join(chr(c) for c in codes if c)
 
-def gram_counts(labelled: DataFrame, text_col: str, lang_col: str, max_n: int = MAX_N) -> DataFrame:
+
+def packed(gram: str) -> int:
+    """The integer of an n-gram."""
+    codes = [ord(c) for c in gram] + [0] * (3 - len(gram))
+    return codes[0] << 2 * _BITS | codes[1] << _BITS | codes[2]
+
+
+def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(language, n-gram, count) over all rows, summed in the tasks first."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bags, size = GramTable(max_n), {}, 0
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def emit():
-            for lang, bag in bags.items():
-                if bag:
-                    found = table.counts(bag)
-                    grams = [g for g, i in table.ids.items() if i < len(found) and found[i]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()),
-                         pa.array([int(found[table.ids[g]]) for g in grams], pa.int64())],
-                        names=["lang", "gram", "n"])
+            for lang, (values, n) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(values), pa.string()),
+                     pa.array([spelled(g) for g in values.tolist()], pa.string()), pa.array(n, pa.int64())],
+                    names=["lang", "gram", "n"])
 
         for batch in it:
             for part, texts in batches.chunks(batch, "text"):
+                streams: dict[str, list[np.ndarray]] = {}
                 for lang, raw in zip(part.column(0).to_pylist(), texts):
-                    bag = bags.setdefault(lang, Counter())
-                    was = len(bag)
-                    bag.update(letter_words(raw.decode()))
-                    size += len(bag) - was
-                if size > MEMORY_ENTRIES:
+                    stream = letter_stream(raw.decode())
+                    if len(stream) > 1:
+                        streams.setdefault(lang, []).append(grams(stream))
+                for lang, found in streams.items():
+                    values, n = counted(np.concatenate(found))
+                    if lang in held:
+                        values, n = counted(np.concatenate((held[lang][0], values)),
+                                            np.concatenate((held[lang][1], n)))
+                    held[lang] = values, n
+                if sum(len(v) for v, _ in held.values()) > HELD_GRAMS:
                     yield from emit()
-                    table, bags, size = GramTable(max_n), {}, 0
+                    held = {}
         yield from emit()
 
     counts = rows.mapInArrow(run, "lang string, gram string, n long")
@@ -109,74 +129,65 @@ def gram_counts(labelled: DataFrame, text_col: str, lang_col: str, max_n: int =
 
 
 def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-             max_n: int = MAX_N, profile_size: int = PROFILE_SIZE) -> DataFrame:
+             profile_size: int = PROFILE_SIZE) -> DataFrame:
     """(lang, gram, rank): the ``profile_size`` most frequent n-grams of each
     language, ranked from 0; equal counts in order of the n-gram."""
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return (gram_counts(labelled, text_col, lang_col, max_n)
+    return (gram_counts(labelled, text_col, lang_col)
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= profile_size)
             .select("lang", "gram", (F.col("rank") - 1).alias("rank")))
 
 
 def collected(profile_rows: DataFrame) -> dict[str, dict[str, int]]:
-    """Profiles on the driver: at most languages x profile size small rows."""
+    """Profiles on the driver: at most languages x profile size small rows; a
+    table of more than ``MAX_LANGUAGES`` profiles is refused, not cut."""
+    rows = profile_rows.limit(MAX_LANGUAGES * PROFILE_SIZE + 1).collect()
+    if len(rows) > MAX_LANGUAGES * PROFILE_SIZE:
+        raise ValueError(f"more than {MAX_LANGUAGES} profiles of {PROFILE_SIZE} n-grams")
     out: dict[str, dict[str, int]] = {}
-    for r in profile_rows.toLocalIterator():
+    for r in rows:
         out.setdefault(r.lang, {})[r.gram] = r.rank
-        if len(out) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     return out
 
 
 class Ranker:
     """Out-of-place distances of documents to fixed profiles."""
 
-    def __init__(self, learned: dict[str, dict[str, int]], max_n: int = MAX_N,
-                 profile_size: int = PROFILE_SIZE):
-        self.langs = sorted(learned)
-        self.learned, self.max_n, self.size = learned, max_n, profile_size
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.table = GramTable(self.max_n)
-        grams = sorted({g for p in self.learned.values() for g in p})
-        ids = [self.table.ids[g] for g in grams]
-        self.known = len(grams)
+    def __init__(self, learned: dict[str, dict[str, int]], profile_size: int = PROFILE_SIZE):
+        self.langs, self.size = sorted(learned), profile_size
+        self.known = np.array(sorted({packed(g) for p in learned.values() for g in p}), np.int64)
         #: rank of each known n-gram in each profile, or the penalty; the last
         #: column stands for every other n-gram
-        self.ranks = np.full((len(self.langs), self.known + 1), self.size, np.int64)
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), profile_size, np.int64)
         for row, lang in enumerate(self.langs):
-            for g, i in zip(grams, ids):
-                self.ranks[row, i] = self.learned[lang].get(g, self.size)
+            for g, rank in learned[lang].items():
+                self.ranks[row, np.searchsorted(self.known, packed(g))] = rank
 
     def predict(self, raw: bytes | None) -> tuple[str, float]:
-        words = Counter(letter_words(raw.decode())) if raw else None
-        if not words or not self.langs:
+        stream = letter_stream(raw.decode()) if raw else ()
+        if len(stream) < 2 or not self.langs:
             return "und", 0.0
-        if self.table.full():
-            self._fresh()
-        counts = self.table.counts(words)
-        seen = np.flatnonzero(counts)
-        n = counts[seen]
-        ordered = np.sort(n)[::-1]
-        rank = len(ordered) - np.searchsorted(ordered[::-1], n, "right")  # n-grams strictly more frequent
+        found, n = counted(grams(stream))
+        ordered = np.sort(n)
+        rank = len(n) - np.searchsorted(ordered, n, "right")  # n-grams strictly more frequent
         own = rank < self.size
-        grams, rank = np.minimum(seen[own], self.known), rank[own]
-        profile = self.ranks[:, grams]
+        found, rank = found[own], rank[own]
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        profile = self.ranks[:, np.where(self.known[at] == found, at, len(self.known))]
         away = np.where(profile >= self.size, self.size, np.abs(profile - rank)).sum(axis=1)
         best = int(np.argmin(away))
-        return self.langs[best], float(1 - away[best] / (self.size * len(grams)))
+        return self.langs[best], float(1 - away[best] / (self.size * len(found)))
 
 
 def predictions(docs: DataFrame, learned: dict[str, dict[str, int]], text_col: str = "text",
-                max_n: int = MAX_N, profile_size: int = PROFILE_SIZE) -> DataFrame:
+                profile_size: int = PROFILE_SIZE) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; the text is dropped."""
     shared = docs.sparkSession.sparkContext.broadcast(learned)
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker = Ranker(shared.value, max_n, profile_size)
+        ranker = Ranker(shared.value, profile_size)
         for batch in it:
             got = [ranker.predict(t) for _, texts in batches.chunks(batch, text_col) for t in texts]
             yield pa.RecordBatch.from_arrays(
