@@ -30,6 +30,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ from storyloom.llm import batches
 LOOKAHEAD = 3
 LEAF_CHARS = 8192
 LEAF_BYTES = 32
-MEMORY_ENTRIES = 200_000
+SHORT_BYTES = 64
+MEMORY_ENTRIES = 150_000
 MAX_RANK_FILE = 32 << 20
 
 
@@ -55,9 +57,31 @@ def read_rank_file(path: str) -> bytes:
     return raw
 
 
+_NONE = 1 << 62
+
+
 def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge neighbours, lowest rank first and leftmost among equals, until no
     two neighbours form a token."""
+    return _merge_short(data, ranks) if len(data) <= SHORT_BYTES else _merge_long(data, ranks)
+
+
+def _merge_short(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """By scanning the pair ranks, which is fastest for a few bytes."""
+    get, cuts = ranks.get, list(range(len(data) + 1))
+    pairs = [get(data[i:i + 2], _NONE) for i in range(len(data) - 1)]
+    while pairs and (best := min(pairs)) != _NONE:
+        i = pairs.index(best)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(data[cuts[i]:cuts[i + 2]], _NONE)
+        if i:
+            pairs[i - 1] = get(data[cuts[i - 1]:cuts[i + 1]], _NONE)
+    return [ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
+def _merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """By a queue of pairs."""
     n = len(data)
     ends = list(range(1, n + 1))
     before = list(range(-1, n - 1))
@@ -127,7 +151,7 @@ class ByteBpe:
             data = piece.encode()
             whole = self.ranks.get(data)
             ids = [whole] if whole is not None else self.tokens(data)
-            found = np.array(ids, "<u4").tobytes()
+            found = pack(f"<{len(ids)}I", *ids)
             if len(self._packed) >= MEMORY_ENTRIES:
                 self._packed.clear()
             self._packed[piece] = found
