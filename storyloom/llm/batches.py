@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
-VOCABULARY_ENTRIES = 500_000
+CHUNK_BYTES = 2 << 20
+VOCABULARY_ENTRIES = 200_000
 
 _FOLD = bytes(
     (b + 32) if 0x41 <= b <= 0x5A else (b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20)
