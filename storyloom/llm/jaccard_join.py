@@ -23,8 +23,9 @@ Words are runs of a-z, 0-9 and non-ASCII characters after lowering A-Z.
 
 Defined results: a text of fewer than ``width`` words is one n-gram; a null or
 empty text has none, links to nothing and is a class of its own; repeated rows
-and equal sets are links of each other (1.0); null ids are allowed (a class
-takes the least id that is not null); an empty table gives no rows.
+and equal sets are links of each other (1.0); null and repeated ids are allowed
+(a class is known by its least node; its label is the least id that is not
+null, so unrelated classes can share a label); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -287,8 +288,11 @@ def member_sets(docs: DataFrame, members: DataFrame, key_col: str, text_col: str
 def jaccard_join(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                  threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: key, ``_t`` (text hash), ``n_grams_node``
-    (address of its n-gram set, null without words), ``class_id`` (least key of
-    its class) and ``n_links`` (other documents at the threshold or above)."""
+    (address of its n-gram set, null without words), ``class_node`` (identity of
+    its class: the least node of its component, null without words),
+    ``class_id`` (least key of its class, a label: classes with null or repeated
+    keys can share it) and ``n_links`` (other documents at the threshold or
+    above)."""
     plan = banding(threshold, recall)
     rows = cut_lineage(sketches(docs, key_col, text_col, width, plan))
     nodes = (rows.where(F.col("node").isNotNull()).groupBy("node")
@@ -314,12 +318,13 @@ def jaccard_join(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     least = named.groupBy("root").agg(F.min("least_key").alias("class_key"))
     per_node = (nodes.select("node", "copies", "least_key")
                 .join(links, "node", "left")
-                .join(classes.join(least, "root").select("node", "class_key"), "node", "left"))
+                .join(classes.join(least, "root").select("node", "root", "class_key"), "node", "left"))
     per_node = per_node.select(
-        "node", F.coalesce("class_key", "least_key").alias("class_id"),
+        "node", F.coalesce("root", "node").alias("class_node"),
+        F.coalesce("class_key", "least_key").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return rows.select("_key", "_t", "node").join(per_node, "node", "left").select(
-        F.col("_key").alias(key_col), "_t", F.col("node").alias("n_grams_node"),
+        F.col("_key").alias(key_col), "_t", F.col("node").alias("n_grams_node"), "class_node",
         F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -335,9 +340,8 @@ def one_per_class(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     joined = cut_lineage(jaccard_join(docs, key_col, text_col, width, threshold, recall))
     place = F.struct(F.col(key_col).isNull().alias("null_last"), F.col(key_col).alias("k"), F.col("_t").alias("t"))
     classed = joined.where(F.col("n_grams_node").isNotNull() & (F.col("n_links") > 0))
-    keep = (classed.groupBy("class_id").agg(F.min(place).alias("first"))
-            .select(F.col("class_id").alias("_class"), "first"))
-    drop = (classed.join(keep, F.col("class_id").eqNullSafe(F.col("_class")))
+    keep = classed.groupBy("class_node").agg(F.min(place).alias("first"))
+    drop = (classed.join(keep, "class_node")
             .where(place != F.col("first"))
             .select(F.col(key_col).alias("_dk"), F.col("_t").alias("_dt")).distinct())
     names = {"_key": key_col, "_text": text_col}

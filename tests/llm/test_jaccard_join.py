@@ -117,3 +117,21 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_unrelated_classes_under_null_or_repeated_ids_stay_apart(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    for key in (None, 7):
+        df = spark.createDataFrame([(key, t) for t in (one, one, one + " x", two, two, two + " y")] + [(9, three)],
+                                   "doc_id long, text string")
+        kept = [r.text for r in jj.one_per_class(df).collect()]
+        # of each class one text, with every row that equals it in key and text
+        assert {t[0] for t in kept} == {"a", "b", "c"} and len({t for t in kept}) == 3
+        classes = {(r.class_node, r.doc_id) for r in jj.jaccard_join(df).collect()}
+        assert len(classes) == 3
+
+
+def test_repeated_id_over_many_classes(spark):
+    texts = [" ".join(f"g{g}w{i}" for i in range(30)) for g in range(8)]
+    df = spark.createDataFrame([(1, t + end) for t in texts for end in ("", " x", " y")], "doc_id long, text string")
+    assert sorted({r.text.split("w")[0] for r in jj.one_per_class(df).collect()}) == [f"g{g}" for g in range(8)]
