@@ -78,3 +78,29 @@ def test_incompressible_chunk(spark):
     text = " ".join(noise[k:k + 9] for k in range(0, len(noise), 9))
     r = with_quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert not r.base_failed and not r.kept and r.n_bad_chunks > 0
+
+
+def verdicts(texts):
+    from storyloom.llm.compression_quality import judge
+    columns = judge([t.encode() for t in texts], RULES)
+    return list(zip(columns[5], columns[9]))
+
+
+def test_clean_documents_stay_and_laced_ones_go():
+    import pyarrow.parquet as pq
+    folder = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    docs = [r for r in pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+            if r["doc_id"] in label and r["text"]]
+    seen = {v: [k for (failed, k), r in zip(verdicts([r["text"] for r in docs]), docs)
+                if label[r["doc_id"]] == v and not failed] for v in (0, 1)}
+    assert all(seen[1]) and len(seen[1]) > 300
+    assert sum(not k for k in seen[0]) > len(seen[0]) / 2
+
+
+@pytest.mark.parametrize("size", [3500, 6000, 10_000, 40_000])
+def test_hex_words_go(size):
+    import random
+    digits = random.Random(size).randbytes(size // 2).hex()
+    [(failed, kept)] = verdicts([" ".join(digits[k:k + 40] for k in range(0, size, 40))])
+    assert not failed and not kept
