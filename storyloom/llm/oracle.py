@@ -132,7 +132,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGI
 FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)"""
 
 
+def _merkle() -> str:
+    """Both trees level by level; every leaf folded upwards over its siblings.
+    The checksum runs bit by bit over the digits of the key."""
+    def digest(low: bool) -> str:
+        text = f"translate(text, '{_UPPER}', '{_LOWER}')" if low else "text"
+        parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+                 for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    bits = "list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b))"
+    crc = (f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), "
+           f"lambda c, b: {bits}, 4294967295), 4294967295)")
+    def siblings(tree: str) -> str:
+        return f"""
+SELECT a.g, a.lv, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+       coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+FROM {tree} a JOIN {tree} b ON a.g IS NOT DISTINCT FROM b.g AND a.lv = b.lv AND a.i // 16 = b.i // 16
+WHERE a.n > 1 GROUP BY ALL"""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {digest(False)} AS leaf,
+                            CASE WHEN {crc} % 5 = 0 THEN {digest(True)} END AS altered FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT source AS g, 0 AS lv, pos AS i, leaf AS h, n FROM o UNION ALL
+      SELECT g, lv + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM t WHERE n > 1
+      GROUP BY g, lv, i // 16, n),
+s AS (SELECT g AS source, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+      FROM t WHERE n = 1),
+u AS (SELECT 0 AS g, 0 AS lv, place AS i, subroot AS h, n FROM s UNION ALL
+      SELECT g, lv + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM u WHERE n > 1
+      GROUP BY g, lv, i // 16, n),
+ts AS ({siblings("t")}), us AS ({siblings("u")}),
+f AS (SELECT doc_id, source, pos, 0 AS lv, pos AS i, coalesce(altered, leaf) AS h, '' AS p FROM o UNION ALL
+      SELECT doc_id, source, pos, f.lv + 1, f.i // 16, sha256(l || h || r), p || l || r
+      FROM f JOIN ts ON ts.g IS NOT DISTINCT FROM f.source AND ts.lv = f.lv AND ts.i = f.i),
+ft AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source, pos ORDER BY lv DESC) = 1),
+v AS (SELECT ft.source, pos, 0 AS lv, place AS i, h, p FROM ft JOIN s ON s.source IS NOT DISTINCT FROM ft.source UNION ALL
+      SELECT source, pos, v.lv + 1, v.i // 16, sha256(l || h || r), p || l || r
+      FROM v JOIN us ON us.lv = v.lv AND us.i = v.i),
+vt AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY source, pos ORDER BY lv DESC) = 1),
+top AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT o.doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, vt.h AS folded_root, vt.h = root AS verified
+FROM o JOIN vt ON vt.source IS NOT DISTINCT FROM o.source AND vt.pos = o.pos
+JOIN s ON s.source IS NOT DISTINCT FROM o.source CROSS JOIN top"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {"op2_jaccard_join": _links(), "op3_secret_ledger": _secrets(), "op8_warc_derivatives": _warc(), "op9_decontaminate": _benchmark_hits(),
+           "op13_merkle_manifest": _merkle(),
            "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text is not None}
