@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from storyloom.llm import (byte_bpe, compression_quality, decontaminate, edit_counts, jaccard_join, jump_shards,
-                           line_dedup, merkle_manifest, rank_language, secret_ledger, warc)
+                           line_dedup, merkle_manifest, quadratic_quality, rank_language, secret_ledger, warc)
 
 #: The rank file of the token queries; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -91,6 +91,11 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.with_quality(docs).drop("text")
 
 
+def op12_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quadratic_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the manifest, its proof and a tamper test."""
     leaves = merkle_manifest.leaves_of(table(spark, sf_dir, "documents"),
@@ -101,5 +106,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries of this package."""
     ops = [op1_line_dedup, op2_jaccard_join, op3_secret_ledger, op4_jump_shards, op5_byte_bpe, op6_edit_counts,
-           op7_rank_language, op8_warc_derivatives, op9_decontaminate, op10_compression_quality, op13_merkle_manifest]
+           op7_rank_language, op8_warc_derivatives, op9_decontaminate, op10_compression_quality, op12_quadratic_quality, op13_merkle_manifest]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
