@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from storyloom.llm import (byte_bpe, compression_quality, decontaminate, edit_counts, jaccard_join, jump_shards,
-                           line_dedup, merkle_manifest, quadratic_quality, rank_language, secret_ledger, warc)
+                           line_dedup, merkle_manifest, quadratic_quality, rank_language, secret_ledger,
+                           token_alignment, warc)
 
 #: The rank file of the token queries; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 N_SHARDS = 24
 WARC_DATE = "2024-01-01T00:00:00Z"
 
@@ -91,6 +93,12 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.with_quality(docs).drop("text")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's aligned tokens, with pair counts of the corpus."""
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(SIDE_A),
+                                   public_tokenizers.path(SIDE_B))
+
+
 def op12_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quadratic_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -106,5 +114,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries of this package."""
     ops = [op1_line_dedup, op2_jaccard_join, op3_secret_ledger, op4_jump_shards, op5_byte_bpe, op6_edit_counts,
-           op7_rank_language, op8_warc_derivatives, op9_decontaminate, op10_compression_quality, op12_quadratic_quality, op13_merkle_manifest]
+           op7_rank_language, op8_warc_derivatives, op9_decontaminate, op10_compression_quality, op11_token_alignment, op12_quadratic_quality, op13_merkle_manifest]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
