@@ -153,6 +153,21 @@ def test_pairs_as_numbers(tok):
     assert (x == a).all() and (y == b).all()
 
 
+def test_side_a_is_its_file(tok, documents):
+    """The rank encoder gives what the vocabulary file's own library gives."""
+    texts = [r.text for r in documents.collect()] + ODD + ["don't we'll I'M x's", "a\u00a0 b\u0085c", "²³½ ªº µ", "\r\n \r\n", "x" * 700]
+    assert tok.ranked is not None
+    assert tok.encode_a(texts) == [tok.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert not any(len(t) > ta.RANKED_BYTES for t in texts)
+
+
+def test_rank_encoder_needs_merges_in_order(tok):
+    import json
+    file = json.loads(ta.read_model_file(A))
+    file["model"]["merges"][:2] = file["model"]["merges"][1::-1]
+    assert ta.ranked_encoder(file, ta.byte_letters()) is None
+
+
 def test_empty(spark, none):
     assert spark_rows(ta.aligned(none, A, B)) == []
     assert ta.pair_counts(none, A, B).collect() == []
