@@ -274,6 +274,12 @@ best AS (
     return "".join(parts)
 
 
+def _word_probabilities(passes: int) -> str:
+    return f"""
+SELECT year, category, CAST(cluster AS BIGINT) AS cluster, term, CAST(t - 1 AS BIGINT) AS topic, round(ph, 6) AS prob
+FROM ph{passes}"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -427,10 +433,11 @@ SELECT year, category, CAST(id AS BIGINT) AS id,
        CASE WHEN take THEN term || '_' || b ELSE term END AS term
 FROM ea WHERE NOT eaten"""
     cl = "year, category, cluster"
-    q["coherence"] = bg + f""",
+    for name, per_topic in (("coherence", 5), ("coherence_top20", 20)):
+        q[name] = bg + f""",
 tw AS (
-  SELECT {cl}, (r - 1) // 5 AS topic, term FROM (
-    SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY n_a DESC, term) AS r FROM uni) WHERE r <= 10),
+  SELECT {cl}, (r - 1) // {per_topic} AS topic, term FROM (
+    SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY n_a DESC, term) AS r FROM uni) WHERE r <= {2 * per_topic}),
 lens AS (SELECT {cl}, id, count(*) AS l FROM ct GROUP BY ALL),
 hits AS (
   SELECT {cl}, id, pos, term, greatest(1, l - 109) AS nw FROM ct JOIN lens USING ({cl}, id)
@@ -464,7 +471,9 @@ u0 AS (
     SELECT {cl}, term, ('0x' || substr(md5(term), 1, 7))::BIGINT % 1000003 AS a FROM uni) CROSS JOIN ts),
 ph0 AS (SELECT {cl}, term, t, u / sum(u) OVER (PARTITION BY {cl}, t) AS ph FROM u0),
 th0 AS (SELECT DISTINCT {cl}, id, t, 1 / 3 AS th FROM wt CROSS JOIN ts)"""
-    for i in range(2):
+    for i in range(20):
+        if i == 2:
+            q["lda_fixed_steps"] = em + _word_probabilities(2)
         em += f""",
 r{i} AS (
   SELECT {cl}, id, term, t, c * th * ph / sum(th * ph) OVER (PARTITION BY {cl}, id, term) AS r
@@ -473,9 +482,7 @@ nd{i} AS (SELECT {cl}, id, t, sum(r) + any_value(alpha) AS q FROM r{i} JOIN al U
 th{i + 1} AS (SELECT {cl}, id, t, q / sum(q) OVER (PARTITION BY {cl}, id) AS th FROM nd{i}),
 nw{i} AS (SELECT {cl}, term, t, sum(r) + 1 / 3 AS q FROM r{i} GROUP BY ALL),
 ph{i + 1} AS (SELECT {cl}, term, t, q / sum(q) OVER (PARTITION BY {cl}, t) AS ph FROM nw{i})"""
-    q["lda_fixed_steps"] = em + """
-SELECT year, category, CAST(cluster AS BIGINT) AS cluster, term, CAST(t - 1 AS BIGINT) AS topic, round(ph, 6) AS prob
-FROM ph2"""
+    q["lda_passes"] = em + _word_probabilities(20)
     q["keyword_valid"] = base + _word_vectors() + """,
 kf AS (SELECT word, lower(regexp_extract(word, '(\\p{L}+)', 1)) AS lw FROM (SELECT DISTINCT term AS word FROM terms)),
 kl AS (

@@ -34,6 +34,7 @@ class PipelineConfig:
     vectorizer: str = "tfidf"            # "mean" (pool), "top10"
     extra_stopwords: frozenset = field(default_factory=frozenset)  # {"read"} in pool
     triple_keep: frozenset = ann.TRIPLE_KEEP  # words kept for triples; none in pool
+    max_topics: int | None = None        # topic counts below it; None: half of a cluster's documents
 
 
 #: The settings of the process-pool variant.
@@ -241,7 +242,7 @@ def topic_pipeline(q1: dict, res: Resources, cfg: PipelineConfig = PipelineConfi
     merged = cut_lineage(tp.bigram_phrases(ct, scope, "id"))
     docs = reps.select(*scope, "id")
     weights = cut_lineage(tfidf(merged, docs, scope, "id"))
-    grid = tp.topic_grid(docs, scope)
+    grid = tp.topic_grid(docs, scope, max_topics=cfg.max_topics)
     n_passes = tp.LDA_PASSES if passes is None else passes
     coh = cut_lineage(tp.sweep_topics(weights, merged, grid, scope, "id", n_passes))
     best = cut_lineage(best_per_group(coh, scope, "k", "coherence").select(*scope, "k", "coherence"))

@@ -392,7 +392,7 @@ def q_bigram_phrases(spark, sf_dir):
 
 
 @register("coherence")
-def q_coherence(spark, sf_dir):
+def q_coherence(spark, sf_dir, per_topic=5):
     """P3 on fixed topics: each cluster's ten most frequent terms as two topics."""
     from pyspark.sql import Window
     from storyloom.operators.topics import coherence_cv
@@ -401,28 +401,40 @@ def q_coherence(spark, sf_dir):
     ct = cut_lineage(_cluster_terms(spark, sf_dir))
     w = Window.partitionBy(*scope).orderBy(F.col("_n").desc(), "term")
     top = (ct.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_n"))
-           .withColumn("_r", F.row_number().over(w) - 1).where("_r < 10")
-           .select(*scope, F.lit(2).alias("k"), F.floor(F.col("_r") / 5).cast("int").alias("topic"), "term"))
+           .withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") < 2 * per_topic)
+           .select(*scope, F.lit(2).alias("k"), F.floor(F.col("_r") / per_topic).cast("int").alias("topic"), "term"))
     c = coherence_cv(ct, top, scope)
     return c.select(F.col("year").cast("bigint").alias("year"), "category",
                     F.col("cluster").cast("bigint").alias("cluster"), _r("coherence").alias("coherence"))
 
 
+@register("coherence_top20")
+def q_coherence_top20(spark, sf_dir):
+    """P3 at its full 20 words a topic: the 40 most frequent terms as two topics."""
+    return q_coherence(spark, sf_dir, per_topic=20)
+
+
 @register("lda_fixed_steps")
-def q_lda_fixed_steps(spark, sf_dir):
+def q_lda_fixed_steps(spark, sf_dir, passes=2):
     """Word probabilities of a three-topic model per cluster after two passes."""
     from storyloom.operators.topics import fit_topics
     from storyloom.operators.vectors import term_counts
     scope = [*pl.G, "cluster"]
     counts = term_counts(_cluster_terms(spark, sf_dir), [*scope, "id"]).withColumnRenamed("n", "weight")
     models = counts.select(*scope).distinct().withColumn("k", F.lit(3))
-    _, phi = fit_topics(counts, models, scope, passes=2)
+    _, phi = fit_topics(counts, models, scope, passes=passes)
     p = phi.select(*scope, "term", F.posexplode("ph").alias("topic", "prob"))
     return p.select(F.col("year").cast("bigint").alias("year"), "category",
                     F.col("cluster").cast("bigint").alias("cluster"), "term",
                     F.col("topic").cast("bigint").alias("topic"), _r("prob").alias("prob"))
 
 
+@register("lda_passes")
+def q_lda_passes(spark, sf_dir):
+    """P2 at its full 20 passes."""
+    return q_lda_fixed_steps(spark, sf_dir, passes=20)
+
+
 @register("keyword_valid")
 def q_keyword_valid(spark, sf_dir):
     """which distinct intro words pass the keyword check (with vocabulary)."""
@@ -471,10 +483,10 @@ def q_topic_sentiment(spark, sf_dir):
 
 
 @register("topics")
-def q_topics(spark, sf_dir):
+def q_topics(spark, sf_dir, cfg=pl.PipelineConfig()):
     """Q2 (S4 rows): topics per cluster with name, keywords, articles, sentiment."""
     res = pl.fixture_resources(spark, sf_dir)
-    t = pl.topic_pipeline(pl.cluster_pipeline(load_articles(spark, sf_dir), res), res)["topics"]
+    t = pl.topic_pipeline(pl.cluster_pipeline(load_articles(spark, sf_dir), res, cfg), res, cfg)["topics"]
     return t.select(F.col("Year").cast("bigint").alias("Year"), "Category",
                     F.col("ClusterId").cast("bigint").alias("ClusterId"),
                     F.col("TopicId").cast("bigint").alias("TopicId"),
@@ -534,18 +546,34 @@ def q_triples_filtered(spark, sf_dir):
                     "subject", "relation", "object")
 
 
+#: Q2 with the topic operator's own default range, 2 to 9 topics a cluster.
+TOPICS_TO_9 = pl.PipelineConfig(max_topics=10)
+
+
+@register("topics_to_9")
+def q_topics_to_9(spark, sf_dir):
+    """Q2 over 2 to 9 topics a cluster."""
+    return q_topics(spark, sf_dir, TOPICS_TO_9)
+
+
 @register("triples")
-def q_triples(spark, sf_dir):
+def q_triples(spark, sf_dir, cfg=pl.PipelineConfig()):
     """Q3, T7 (S6 rows): triples of the documents of Q2's topics (rows-only)."""
     res = pl.fixture_resources(spark, sf_dir)
-    q2 = pl.topic_pipeline(pl.cluster_pipeline(load_articles(spark, sf_dir), res), res)
-    rows = pl.triple_pipeline(q2, res)["triples"]
+    q2 = pl.topic_pipeline(pl.cluster_pipeline(load_articles(spark, sf_dir), res, cfg), res, cfg)
+    rows = pl.triple_pipeline(q2, res, cfg)["triples"]
     return rows.select(F.col("Year").cast("bigint").alias("Year"), "Category",
                        F.col("ClusterId").cast("bigint").alias("ClusterId"),
                        F.col("topicId").cast("bigint").alias("topicId"), "source", "relation",
                        "target", "articleId", "sentiment")
 
 
+@register("triples_to_9")
+def q_triples_to_9(spark, sf_dir):
+    """Q3 over Q2's 2 to 9 topics a cluster."""
+    return q_triples(spark, sf_dir, TOPICS_TO_9)
+
+
 @register("entity_triples")
 def q_entity_triples(spark, sf_dir):
     """Sentences with exactly two entities, relation at the root."""
