@@ -7,7 +7,7 @@
   small eigen step.  Rows never leave their partitions.
 * C2-C4 ``kmeans_models``: every (group, k) model of the sweep, fitted to its
   fixed point and scored over the group's prefix table (distinct values with
-  running counts and sums) in tasks of (group, block of k).  The start is the k
+  running counts and sums), which is cut into value slices.  The start is the k
   quantiles of the group's points (deterministic, no random restarts).
 * W2 ``top_representatives``: ranks inside a cluster by slices, so a large
   cluster is spread over tasks.
@@ -19,14 +19,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.operators.groups import position_in_group
-from storyloom.session import cut_lineage
+from storyloom.session import cut_lineage, forget
 
 # The reference's smallest k and smallest kept cluster size.
 MIN_K = 2
@@ -130,85 +131,273 @@ def assign(points: DataFrame, cents: DataFrame, keys: Sequence[str], x_col: str
             .withColumn("cluster", _nearest(F.col(x_col), F.col("cents"))))
 
 
-class Line:
-    """A group's points on the line as a prefix table: distinct values in order
-    with running counts and sums.  A cluster is an interval of it, so a Lloyd
-    step is k lookups and a silhouette one pass, with no pair of points."""
-
-    def __init__(self, x: np.ndarray, n: np.ndarray):
-        order = np.argsort(x)
-        self.x, self.n = x[order].astype(np.float64), n[order].astype(np.int64)
-        self.count = np.concatenate(([0], np.cumsum(self.n)))
-        self.sum = np.concatenate(([0.0], np.cumsum(self.x * self.n)))
-
-    def bounds(self, cents: np.ndarray) -> np.ndarray:
-        """Where each centroid's interval starts and ends in the table."""
-        mids = (cents[:-1] + cents[1:]) / 2
-        return np.concatenate(([0], np.searchsorted(self.x, mids, "right"), [len(self.x)]))
-
-    def kmeans(self, k: int) -> np.ndarray:
-        """Lloyd's steps from the k quantiles until no point changes its
-        cluster; an empty cluster keeps its centroid."""
-        rank = np.floor((np.arange(k) + 0.5) * self.count[-1] / k).astype(np.int64)
-        cents, before = self.x[np.searchsorted(self.count[1:], rank, "right")], None
-        while True:
-            at = self.bounds(cents)
-            if before is not None and np.array_equal(at, before):
-                return cents
-            n = np.diff(self.count[at])
-            total = np.diff(self.sum[at])
-            cents = np.sort(np.where(n > 0, total / np.maximum(n, 1), cents))
-            before = at
-
-    def silhouette(self, cents: np.ndarray) -> float | None:
-        """Exact mean silhouette.  The mean distance to another interval is
-        the distance to its mean, the nearest one is a neighbour, and distances
-        inside a cluster come from the running sums.  A point alone in its
-        cluster scores 0; fewer than two non-empty clusters give no score."""
-        at = self.bounds(cents)
-        n = np.diff(self.count[at])
-        full = np.flatnonzero(n > 0)
-        if len(full) < 2:
-            return None
-        low, high, m = at[full], at[full + 1], n[full]
-        mean = np.diff(self.sum[at])[full] / m
-        own = np.repeat(np.arange(len(full)), high - low)
-        left_n, left_s = self.count[1:] - self.count[low][own], self.sum[1:] - self.sum[low][own]
-        right_n, right_s = self.count[high][own] - self.count[1:], self.sum[high][own] - self.sum[1:]
-        inside = (left_n * self.x - left_s) + (right_s - right_n * self.x)
-        a = inside / np.maximum(m[own] - 1, 1)
-        means = np.concatenate(([np.inf], mean, [np.inf]))
-        b = np.minimum(np.abs(self.x - means[own]), np.abs(self.x - means[own + 2]))
-        most = np.maximum(a, b)
-        s = np.where((m[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0)
-        return float((s * self.n).sum() / self.count[-1])
+#: Distinct values of a slice of a group's line, all that a task holds of it.
+SLICE_VALUES = 100_000
 
 
-def kmeans_models(points: DataFrame, keys: Sequence[str], x_col: str = "x") -> DataFrame:
-    """``keys…, k, cents, score`` of every model of ``model_grid``.
+def value_slices(points: DataFrame, keys: Sequence[str], x_col: str = "x") -> DataFrame:
+    """A group's points on the line as a prefix table cut into value slices.
 
-    Points are combined to distinct values before the shuffle; a group's range
-    of k is cut into blocks of about ``CENTROIDS_PER_TASK`` centroids, and a
-    task fits one block to its fixed point over the group's prefix table.  A
-    task holds 16 bytes per distinct value of its group.
+    ``keys…, slice, n_slices, xs, ns, top, before_n, before_s, total``: distinct
+    values in order and their counts (packed), the slice's largest value, points
+    and their sum before the slice, points of the group.  Bounds of slices are
+    approximate quantiles of the distinct values.
     """
     keys = list(keys)
-    block = F.floor(F.col("k") * (F.col("k") + 1) / (2 * CENTROIDS_PER_TASK)).cast("int")
-    blocks = (model_grid(points, keys).groupBy(*keys, block.alias("_blk"))
-              .agg(F.min("k").alias("_k0"), F.max("k").alias("_k1")))
-    values = points.groupBy(*keys, F.col(x_col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    values = cut_lineage(points.groupBy(*keys, F.col(x_col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    wanted = values.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE_VALUES).cast("int").alias("n_slices"))
+    large = values.join(wanted.where("n_slices > 1"), keys)
+    most = large.agg(F.max("n_slices")).first()[0] or 1
+    if most > 1:
+        probs = [i / most for i in range(1, most)]
+        bounds = cut_lineage(large.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x", probs, 10 * most)).alias("bounds")))
+        placed = values.join(bounds, keys, "left").withColumn("slice", F.coalesce(
+            F.size(F.filter("bounds", lambda v: v < F.col("x"))), F.lit(0))).drop("bounds")
+        placed = placed.withColumn("slice", F.when(F.col("slice") < 0, 0).otherwise(F.col("slice")))
+    else:
+        placed = values.withColumn("slice", F.lit(0))
     schema = T.StructType(_key_schema(points, keys) + [
-        T.StructField("k", T.IntegerType()), T.StructField("cents", T.ArrayType(T.DoubleType())),
-        T.StructField("score", T.DoubleType())])
+        T.StructField("slice", T.IntegerType()), T.StructField("xs", T.BinaryType()),
+        T.StructField("ns", T.BinaryType()), T.StructField("top", T.DoubleType()),
+        T.StructField("points", T.LongType()), T.StructField("sum", T.DoubleType())])
+
+    def pack(group: pa.Table) -> pa.Table:
+        x, n = group.column("x").to_numpy(), group.column("n").to_numpy()
+        order = np.argsort(x)
+        x, n = x[order].astype("<f8"), n[order].astype("<i8")
+        rest = [pa.array([x.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([x[-1]]),
+                pa.array([int(n.sum())]), pa.array([float((x * n).sum())])]
+        return pa.table([group.column(c).slice(0, 1) for c in [*keys, "slice"]] + rest, names=schema.names)
+
+    packed = cut_lineage(placed.groupBy(*keys, "slice").applyInArrow(pack, schema))
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    sums = packed.select(*keys, "slice", F.count(F.lit(1)).over(whole).cast("int").alias("n_slices"),
+                         F.coalesce(F.sum("points").over(earlier), F.lit(0)).alias("before_n"),
+                         F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)).alias("before_s"),
+                         F.sum("points").over(whole).alias("total"))
+    return packed.drop("points", "sum").join(sums, [*keys, "slice"])
+
+
+def _prefix(xs: bytes, ns: bytes, before_n: int = 0, before_s: float = 0.0):
+    """Values of a slice, and points and their sum up to each of them, from the
+    group's first value on; the first entry is what lies before the slice."""
+    x, n = np.frombuffer(xs, "<f8"), np.frombuffer(ns, "<i8")
+    return x, np.concatenate(([0], np.cumsum(n))) + before_n, np.concatenate(([0.0], np.cumsum(x * n))) + before_s
+
+
+def _moved(cents: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Centroids after a Lloyd step; an empty cluster keeps its own."""
+    return np.sort(np.where(count > 0, total / np.maximum(count, 1), cents))
+
+
+def _silhouettes(x, cum_n, cum_s, low_n, low_s, high_n, high_s, mean_below, mean_above):
+    """C3 of values whose clusters hold the points from ``low`` to ``high``.  The
+    mean distance to another interval is the distance to its mean, the nearest one
+    is a neighbour, and distances inside a cluster come from the running sums.  A
+    point alone in its cluster scores 0."""
+    inside = ((cum_n - low_n) * x - (cum_s - low_s)) + ((high_s - cum_s) - (high_n - cum_n) * x)
+    size = high_n - low_n
+    a = inside / np.maximum(size - 1, 1)
+    b = np.minimum(np.abs(x - mean_below), np.abs(x - mean_above))
+    most = np.maximum(a, b)
+    return np.where((size > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0)
+
+
+def _one_slice(row, k: int) -> tuple[np.ndarray, float | None]:
+    """Fixed point and mean silhouette of a model whose group is one slice."""
+    x, cum_n, cum_s = row
+    rank = np.floor((np.arange(k) + 0.5) * cum_n[-1] / k).astype(np.int64)
+    cents, before = x[np.searchsorted(cum_n[1:], rank, "right")], None
+    while True:
+        at = np.concatenate(([0], np.searchsorted(x, (cents[:-1] + cents[1:]) / 2, "right"), [len(x)]))
+        count, total = np.diff(cum_n[at]), np.diff(cum_s[at])
+        if before is not None and np.array_equal(at, before):
+            break
+        cents, before = _moved(cents, count, total), at
+    full = np.flatnonzero(count > 0)
+    if len(full) < 2:
+        return cents, None
+    low, high = at[full], at[full + 1]
+    own = np.repeat(np.arange(len(full)), high - low)
+    means = np.concatenate(([np.inf], total[full] / count[full], [np.inf]))
+    s = _silhouettes(x, cum_n[1:], cum_s[1:], cum_n[low][own], cum_s[low][own], cum_n[high][own], cum_s[high][own],
+                     means[own], means[own + 2])
+    return cents, float((s * np.diff(cum_n)).sum() / cum_n[-1])
+
+
+def _models_of_one_slice(slices: DataFrame, grid: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+    """Models of groups of one slice: a task fits a block of k."""
+    block = F.floor(F.col("k") * (F.col("k") + 1) / (2 * CENTROIDS_PER_TASK)).cast("int")
+    blocks = grid.groupBy(*keys, block.alias("_blk")).agg(F.min("k").alias("_k0"), F.max("k").alias("_k1"))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        line, rows = Line(pdf["_x"].to_numpy(), pdf["_n"].to_numpy()), []
+        row, rows = _prefix(pdf["xs"].iloc[0], pdf["ns"].iloc[0]), []
         for k in range(int(pdf["_k0"].iloc[0]), int(pdf["_k1"].iloc[0]) + 1):
-            cents = line.kmeans(k)
-            rows.append((*key[:-1], k, cents, line.silhouette(cents)))
+            rows.append((*key[:-1], k, *_one_slice(row, k)))
         return pd.DataFrame(rows, columns=[*keys, "k", "cents", "score"])
 
-    return values.join(blocks, keys).groupBy(*keys, "_blk").applyInPandas(fit, schema)
+    return (slices.where("n_slices = 1").select(*keys, "xs", "ns").join(blocks, keys)
+            .groupBy(*keys, "_blk").applyInPandas(fit, schema))
+
+
+def _looked_up(slices: DataFrame, asked: DataFrame, keys: list[str], by_rank: bool) -> DataFrame:
+    """For ``asked`` (``keys…, slice, k, j, v``): the value of rank ``v``, or the
+    points up to the value ``v`` and their sum (``x``, ``n``, ``s``)."""
+    schema = T.StructType([slices.schema[c] for c in keys] + [
+        T.StructField("k", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("x", T.DoubleType()),
+        T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType())])
+
+    def find(own: pa.Table, rows: pa.Table) -> pa.Table:
+        x, cum_n, cum_s = _prefix(*(own.column(c)[0].as_py() for c in ("xs", "ns", "before_n", "before_s")))
+        v = rows.column("v").to_numpy()
+        if by_rank:
+            at = np.searchsorted(cum_n[1:], v, "right")
+            got = [x[at], np.zeros(len(v), np.int64), np.zeros(len(v))]
+        else:
+            at = np.searchsorted(x, v, "right")
+            got = [v, cum_n[at], cum_s[at]]
+        return pa.table([rows.column(c) for c in [*keys, "k", "j"]] + [pa.array(g) for g in got], names=schema.names)
+
+    side = slices.select(*keys, "slice", "xs", "ns", "before_n", "before_s")
+    by = [*keys, "slice"]
+    return side.groupBy(*by).cogroup(asked.select(*by, "k", "j", F.col("v").cast("double").alias("v")).groupBy(*by)
+                                     ).applyInArrow(find, schema)
+
+
+def _models_of_slices(slices: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Models of groups of several slices.  A Lloyd step of all models is one job:
+    their boundaries go to the slices that hold them, and the running counts and
+    sums found there come back as one row per model."""
+    wide = slices.where("n_slices > 1")
+    lines = cut_lineage(wide.groupBy(*keys).agg(
+        F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("slice", "before_n", "top"))).alias("line")))
+    model = [*keys, "k"]
+    tops, slots = F.transform("line", lambda r: r["top"]), F.transform("line", lambda r: r["slice"])
+
+    def slice_of(below: Column) -> Column:
+        return F.element_at(slots, F.least(below + 1, F.size("line")))
+
+    ranks = F.transform(F.sequence(F.lit(0), F.col("k") - 1),
+                        lambda j: F.floor((j + 0.5) * F.col("total") / F.col("k")).cast("double"))
+    asked = grid.join(lines, keys).select(*model, "line", F.posexplode(ranks).alias("j", "v"))
+    asked = asked.withColumn("slice", F.element_at(slots, F.size(F.filter("line", lambda r: r["before_n"] <= F.col("v")))))
+    start = _looked_up(wide, asked, keys, True).groupBy(*model).agg(
+        F.sort_array(F.collect_list(F.struct("j", "x"))).alias("c"))
+    state = cut_lineage(start.select(*model, F.transform("c", lambda r: r["x"]).alias("cents"),
+                                     F.lit(None).cast("array<bigint>").alias("at"), F.lit(False).alias("done"),
+                                     F.lit(None).cast("array<struct<n:bigint,s:double>>").alias("found")))
+    sums = cut_lineage(_line_totals(wide, keys))
+    while not state.where(~F.col("done")).isEmpty():
+        open_models = state.where(~F.col("done"))
+        mids = F.transform(F.slice("cents", 2, F.size("cents")),
+                           lambda c, i: (c + F.element_at("cents", i + 1)) / 2)
+        asked = open_models.join(lines, keys).select(*model, "line", F.posexplode(mids).alias("j", "v"))
+        asked = asked.withColumn("slice", slice_of(F.size(F.filter(tops, lambda t: t < F.col("v")))))
+        found = _looked_up(wide, asked, keys, False).groupBy(*model).agg(
+            F.sort_array(F.collect_list(F.struct("j", "n", "s"))).alias("r"))
+        joined = open_models.join(found, model).join(sums, keys)
+        bounds = F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))),
+                          F.transform("r", lambda b: F.struct(b["n"].alias("n"), b["s"].alias("s"))),
+                          F.array(F.struct(F.col("all_n").alias("n"), F.col("all_s").alias("s"))))
+        stepped = joined.withColumn("found", bounds)
+        at = F.transform("found", lambda b: b["n"])
+        moved = F.sort_array(F.transform("cents", lambda c, j: F.when(
+            F.element_at("found", j + 2)["n"] > F.element_at("found", j + 1)["n"],
+            (F.element_at("found", j + 2)["s"] - F.element_at("found", j + 1)["s"])
+            / (F.element_at("found", j + 2)["n"] - F.element_at("found", j + 1)["n"])).otherwise(c)))
+        same = F.coalesce(F.col("at") == at, F.lit(False))
+        stepped = stepped.select(*model, F.when(same, F.col("cents")).otherwise(moved).alias("cents"),
+                                 at.alias("at"), same.alias("done"), "found")
+        after = cut_lineage(state.where("done").unionByName(stepped))
+        forget(state)
+        state = after
+    return state.select(*model, "cents", "found")
+
+
+def _line_totals(slices: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys…, all_n, all_s``: points of a group and their sum."""
+    def last(own: pa.Table) -> pa.Table:
+        _, cum_n, cum_s = _prefix(*(own.column(c)[0].as_py() for c in ("xs", "ns", "before_n", "before_s")))
+        return pa.table([own.column(c) for c in keys] + [pa.array([int(cum_n[-1])]), pa.array([float(cum_s[-1])])],
+                        names=[*keys, "all_n", "all_s"])
+
+    schema = T.StructType([slices.schema[c] for c in keys] + [
+        T.StructField("all_n", T.LongType()), T.StructField("all_s", T.DoubleType())])
+    top = slices.withColumn("_last", F.max("slice").over(Window.partitionBy(*keys)))
+    return top.where("slice = _last").drop("_last").groupBy(*keys, "slice").applyInArrow(last, schema)
+
+
+def _scored_by_slice(slices: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """C3 of models of several slices: every slice scores its own values of the
+    clusters that reach into it."""
+    model = [*keys, "k"]
+    wide = slices.where("n_slices > 1")
+    full = F.filter(F.transform(F.sequence(F.lit(1), F.size("cents")), lambda j: F.struct(
+        F.element_at("found", j).alias("lo"), F.element_at("found", j + 1).alias("hi"))),
+        lambda c: c["hi"]["n"] > c["lo"]["n"])
+    mean = lambda c: (c["hi"]["s"] - c["lo"]["s"]) / (c["hi"]["n"] - c["lo"]["n"])
+    clusters = models.select(*model, full.alias("cl")).where(F.size("cl") > 1)
+    means = F.transform("cl", mean)
+    rows = clusters.select(*model, means.alias("means"), F.posexplode("cl").alias("i", "c"))
+    far = F.lit(float("inf"))
+    rows = rows.select(
+        *model, F.col("c.lo.n").alias("lo_n"), F.col("c.lo.s").alias("lo_s"), F.col("c.hi.n").alias("hi_n"),
+        F.col("c.hi.s").alias("hi_s"),
+        F.when(F.col("i") > 0, F.get("means", F.col("i") - 1)).otherwise(far).alias("below"),
+        F.coalesce(F.get("means", F.col("i") + 1), far).alias("above"))
+    spans = wide.select(*keys, "slice", "before_n", F.lead("before_n").over(
+        Window.partitionBy(*keys).orderBy("slice")).alias("until"), "total")
+    lines = spans.groupBy(*keys).agg(F.collect_list(F.struct(
+        "slice", F.col("before_n").alias("a"), F.coalesce("until", "total").alias("b"))).alias("line"))
+    reach = F.filter("line", lambda r: (r["a"] < F.col("hi_n")) & (r["b"] > F.col("lo_n")))
+    asked = rows.join(lines, keys).withColumn("slice", F.explode(F.transform(reach, lambda r: r["slice"]))).drop("line")
+    schema = T.StructType([slices.schema[c] for c in keys] + [
+        T.StructField("k", T.IntegerType()), T.StructField("part", T.DoubleType())])
+
+    def score(own: pa.Table, asked_rows: pa.Table) -> pa.Table:
+        x, cum_n, cum_s = _prefix(*(own.column(c)[0].as_py() for c in ("xs", "ns", "before_n", "before_s")))
+        column = {c: asked_rows.column(c).to_numpy() for c in ("k", "lo_n", "lo_s", "hi_n", "hi_s", "below", "above")}
+        start = np.searchsorted(cum_n[:-1], np.maximum(column["lo_n"], cum_n[0]), "left")
+        stop = np.searchsorted(cum_n[1:], np.minimum(column["hi_n"], cum_n[-1]), "left") + 1
+        parts = np.zeros(len(start))
+        for r, (i, j) in enumerate(zip(start.tolist(), stop.tolist())):
+            s = _silhouettes(x[i:j], cum_n[i + 1:j + 1], cum_s[i + 1:j + 1], *(column[c][r] for c in (
+                "lo_n", "lo_s", "hi_n", "hi_s", "below", "above")))
+            parts[r] = (s * np.diff(cum_n[i:j + 1])).sum()
+        return pa.table([asked_rows.column(c) for c in [*keys, "k"]] + [pa.array(parts)], names=schema.names)
+
+    by = [*keys, "slice"]
+    side = wide.select(*by, "xs", "ns", "before_n", "before_s")
+    parts = side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(score, schema)
+    totals = wide.groupBy(*keys).agg(F.first("total").alias("total"))
+    scores = parts.groupBy(*model).agg(F.sum("part").alias("part")).join(totals, keys)
+    scores = scores.select(*model, (F.col("part") / F.col("total")).alias("score"))
+    return models.select(*model, "cents").join(scores, model, "left")
+
+
+def kmeans_models(points: DataFrame, keys: Sequence[str], x_col: str = "x") -> DataFrame:
+    """``keys…, k, cents, score`` of every model of ``model_grid``: Lloyd's
+    steps from the k quantiles until no point changes its cluster, and the exact
+    mean silhouette (null with fewer than two clusters that hold points).
+
+    Points are combined to distinct values before the shuffle.  Groups of up to
+    ``SLICE_VALUES`` of them are one slice, and tasks fit blocks of about
+    ``CENTROIDS_PER_TASK`` centroids; larger groups are stepped and scored slice
+    by slice, all models in the same jobs.  Either way the same lookups in running
+    counts and sums give the same centroids.
+    """
+    keys = list(keys)
+    schema = T.StructType(_key_schema(points, keys) + [
+        T.StructField("k", T.IntegerType()), T.StructField("cents", T.ArrayType(T.DoubleType())),
+        T.StructField("score", T.DoubleType())])
+    slices = cut_lineage(value_slices(points, keys, x_col))
+    grid = model_grid(points, keys).select(*keys, "k")
+    small = _models_of_one_slice(slices, grid, keys, schema)
+    if slices.where("n_slices > 1").isEmpty():
+        return small
+    large = _scored_by_slice(slices, cut_lineage(_models_of_slices(slices, grid, keys)), keys)
+    return small.unionByName(large)
 
 
 # ---- C4, W5 -----------------------------------------------------------------

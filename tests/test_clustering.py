@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import clustering as cl
@@ -35,7 +36,10 @@ def brute_lloyd(xs, k):
         cents = new
 
 
-def test_models_match_lloyd_and_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("slice_values", [100_000, 7, 1])
+def test_models_match_lloyd_and_pairs(spark, monkeypatch, slice_values):
+    """Whatever slices a group's values are cut into."""
+    monkeypatch.setattr(cl, "SLICE_VALUES", slice_values)
     rnd = random.Random(7)
     data = {g: [float(rnd.choice([round(rnd.gauss(0, 1), 1), round(rnd.gauss(5, 1), 1), 2.0])) for _ in range(60)]
             for g in range(3)}
