@@ -20,6 +20,7 @@ as it is; a null replacement deletes; repeated rows are separate documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from storyloom.llm import batches
 from storyloom.llm.byte_bpe import LOOKAHEAD, ByteBpe, coder, read_rank_file
 
 RUN = 32
+#: Entries of either memory of pre-tokens in a task process.
+COUNTED_PIECES = 250_000
 TREE = T.StructType([
     T.StructField("leaf_chars", T.ArrayType(T.LongType())),
     T.StructField("token_sums", T.ArrayType(T.LongType())),
@@ -120,14 +123,38 @@ class CountTree:
         return len(ahead)
 
 
+class PieceCounts(dict):
+    """Pre-token -> number of its tokens, counted at first sight.  A full memory
+    becomes the older one, from which pieces seen again come back."""
+
+    def __init__(self, bpe: ByteBpe):
+        super().__init__()
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= COUNTED_PIECES:
+            self.older = dict(self)
+            self.clear()
+        n = self.older.get(piece)
+        if n is None:
+            data = piece.encode()
+            n = 1 if data in self.bpe.ranks else len(self.bpe.tokens(data))
+        self[piece] = n
+        return n
+
+
+@lru_cache(maxsize=2)
+def counts_of(bpe: ByteBpe) -> PieceCounts:
+    """One memory per coder of a task process."""
+    return PieceCounts(bpe)
+
+
 def runs(pieces: list[str], bpe: ByteBpe, run: int) -> tuple[list[int], list[int]]:
     """Characters and tokens of every ``run`` pre-tokens."""
-    chars, tokens = [], []
-    for k in range(0, len(pieces), run):
-        part = pieces[k:k + run]
-        chars.append(sum(map(len, part)))
-        tokens.append(sum(len(bpe.packed(p)) for p in part) // 4)
-    return chars, tokens
+    chars = list(map(len, pieces))
+    tokens = list(map(counts_of(bpe).__getitem__, pieces))
+    starts = range(0, len(pieces), run)
+    return [sum(chars[k:k + run]) for k in starts], [sum(tokens[k:k + run]) for k in starts]
 
 
 def _run(docs: DataFrame, rank_path: str, pattern: str, text_col: str, names: list[str],
