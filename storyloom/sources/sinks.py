@@ -3,16 +3,17 @@
 Per-group files of the reference become one partitioned dataset per output
 (``partitionBy('Year', 'Category'[, 'ClusterId'])``), so a run writes all
 groups in the same job and the group keys live in the folder names.
-JSON outputs are JSON Lines of one-entry objects: an article per line
-(``{id: {...}}``), a cluster's topics per line (``{ClusterId: {TopicId: {...}}}``),
-a topic's triples per line (``{topicId: [{...}, …]}``); the union of a folder's
-lines is the group's object.
+A JSON output is one object per group's file, entry by entry: ``{id: {...}}``,
+``{ClusterId: {TopicId: {...}}}`` or ``{topicId: [{...}, …]}``.  The entries of a
+file are sorted rows of one task, which writes them as they come; what opens and
+closes the nesting is decided from the neighbouring row, so no list of a group,
+cluster or topic is gathered.  A failed task leaves no file (Spark's commit).
 Every writer overwrites its own output folder (S8) and deletes nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARTICLE_COLUMNS = ["Year", "Category", "id", "url", "title", "sentiment"]
@@ -34,12 +35,39 @@ def write_article_info(articles: DataFrame, out_dir: str) -> str:
     return path
 
 
+def _json_key(c: str) -> Column:
+    """A column as the key of a JSON object."""
+    name = F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    return F.concat(F.substring(F.to_json(F.array(name)), F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(":"))
+
+
+def _write_objects(rows: DataFrame, path: str, group: list[str], outer: str | None, order: list[str],
+                   value: Column, key: str | None) -> None:
+    """One JSON object per group: ``value`` of each row in the order given, under
+    ``key``, and these under ``outer`` (an object if there is a key, else a list)."""
+    w = Window.partitionBy(*group).orderBy(*([outer] if outer else []), *order)
+    n = F.row_number().over(w)
+    last = F.lead(F.lit(1)).over(w).isNull()
+    opening, closing = ("{", "}") if key else ("[", "]")
+    entry = F.concat(_json_key(key), value) if key else value
+    if outer is None:
+        line = F.concat(F.when(n == 1, "{").otherwise(","), entry, F.when(last, "}").otherwise(""))
+    else:
+        starts = (n == 1) | ~F.col(outer).eqNullSafe(F.lag(outer).over(w))
+        line = F.concat(
+            F.when(n == 1, "{").when(starts, closing + ",").otherwise(","),
+            F.when(starts, F.concat(_json_key(outer), F.lit(opening))).otherwise(""), entry,
+            F.when(last, closing + "}").otherwise(""))
+    lines = rows.select(*group, line.alias("value"), n.alias("_n"))
+    # the window has dealt each group to one task; this order keeps it through the writer
+    (lines.sortWithinPartitions(*group, "_n").drop("_n").write.mode("overwrite").partitionBy(*group).text(path))
+
+
 def write_article_json(articles: DataFrame, out_dir: str) -> str:
-    """S3: lines ``{"<id>": {"url", "title", "sentiment"}}`` per group folder."""
+    """S3: ``{"<id>": {"url", "title", "sentiment"}, …}``, a file per group."""
     path = f"{out_dir}/json/article_info"
-    rec = F.create_map(F.col("id").cast("string"), F.struct("url", "title", "sentiment"))
-    (articles.select("Year", "Category", F.to_json(rec).alias("value"))
-     .write.mode("overwrite").partitionBy("Year", "Category").text(path))
+    _write_objects(articles, path, ["Year", "Category"], None, ["id"],
+                   F.to_json(F.struct("url", "title", "sentiment")), "id")
     return path
 
 
@@ -59,32 +87,25 @@ def write_topics(topics: DataFrame, out_dir: str) -> str:
 
 
 def write_topics_json(topics: DataFrame, out_dir: str) -> str:
-    """One line per cluster, ``{"<ClusterId>": {"<TopicId>": {Topic Name,
-    Keywords, Articles, Sentiment}, …}}``, in the group's folder."""
+    """``{"<ClusterId>": {"<TopicId>": {Topic Name, Keywords, Articles,
+    Sentiment}, …}, …}``, a file per group."""
     path = f"{out_dir}/json/topics"
-    inner = F.struct(F.col("Topic Name"), "Keywords", "Articles", "Sentiment")
-    own = topics.groupBy("Year", "Category", "ClusterId").agg(F.sort_array(F.collect_list(
-        F.struct("TopicId", inner.alias("_topic")))).alias("_topics"))
-    by_topic = F.map_from_entries(F.transform("_topics", lambda t: F.struct(
-        t["TopicId"].cast("string"), t["_topic"])))
-    rec = F.create_map(F.col("ClusterId").cast("string"), by_topic)
-    (own.select("Year", "Category", F.to_json(rec).alias("value"))
-     .write.mode("overwrite").partitionBy("Year", "Category").text(path))
+    _write_objects(topics, path, ["Year", "Category"], "ClusterId", ["TopicId"],
+                   F.to_json(F.struct("Topic Name", "Keywords", "Articles", "Sentiment")), "TopicId")
     return path
 
 
 def write_triples(triples: DataFrame, out_dir: str) -> tuple[str, str]:
-    """Per (group, cluster) CSV rows and one JSON line per topic,
-    ``{"<topicId>": [{source, relation, target, articleId, sentiment}, …]}``
+    """Per (group, cluster) CSV rows and one JSON object,
+    ``{"<topicId>": [{source, relation, target, articleId, sentiment}, …], …}``
     (A11).  Groups or clusters without triples get no folder.  ``triples`` is
     read twice: pass a materialised table."""
-    from storyloom.operators.triples import triples_by_topic
     csv_path, json_path = f"{out_dir}/triples", f"{out_dir}/json/triples"
     _csv(triples.select(*TRIPLE_COLUMNS), csv_path, ["Year", "Category", "ClusterId"])
-    lists = triples_by_topic(triples, ["Year", "Category", "ClusterId"])
-    rec = F.create_map(F.col("topicId").cast("string"), "triples")
-    (lists.select("Year", "Category", "ClusterId", F.to_json(rec).alias("value"))
-     .write.mode("overwrite").partitionBy("Year", "Category", "ClusterId").text(json_path))
+    fields = ["source", "relation", "target", "articleId", "sentiment"]
+    place = [c for c in ("sent_id",) if c in triples.columns]
+    _write_objects(triples, json_path, ["Year", "Category", "ClusterId"], "topicId",
+                   ["articleId", *place, "source", "relation", "target"], F.to_json(F.struct(*fields)), None)
     return csv_path, json_path
 
 
