@@ -35,7 +35,8 @@ HEADLINE = [
     "cluster_articles",     # Q1: the full cluster pipeline
     "triples_filtered",     # T5, T6 on every kept article
     "svo_triples",          # T9-T11
-    "topics",               # Q2: bigrams, topic-model sweep, coherence, names
+    "topics_to_9",          # Q2 over 2 to 9 topics a cluster: bigrams, sweep, coherence, names
+    "triples_to_9",         # Q3 on the topics of that Q2
 ]
 
 

@@ -132,3 +132,49 @@ def resolve_mentions(texts: DataFrame, mentions: DataFrame, keys: Sequence[str],
     glued = F.concat(F.array_join(pieces, ""), tail)
     return t.withColumn(out, F.when(F.col("_m").isNull() | (F.size("_m") == 0), txt)
                         .otherwise(glued)).drop("_m")
+
+
+#: A name: up to six capitalised words, one blank apart.  A longer run of them is
+#: several names.
+NAME_PATTERN = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,5}"
+NAME_WORDS = 6
+
+
+def names_in_order(texts: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """``keys…, i, start, name``: the names of each text, counted from 0, with
+    their place in characters."""
+    keys = list(keys)
+    found = F.regexp_extract_all(F.col(text_col), F.lit(NAME_PATTERN), F.lit(0))
+    gaps = F.transform(F.split(F.col(text_col), NAME_PATTERN, -1), lambda g: F.length(g))
+    rows = texts.select(*keys, F.posexplode(F.arrays_zip(found.alias("name"), gaps.alias("gap"))).alias("i", "_n"))
+    rows = rows.where(F.col("_n.name").isNotNull()).select(*keys, "i", F.col("_n.name").alias("name"),
+                                                           F.col("_n.gap").alias("_gap"))
+    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("_gap") + F.length("name")).over(w)
+    return rows.select(*keys, "i", (end - F.length("name")).cast("int").alias("start"), "name")
+
+
+def link_mentions(texts: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """Mentions for J7 out of the text itself: a name that is the end of a longer
+    name seen earlier in the same text ("Smith" after "Anna Smith") stands for it.
+    Of several, the one of most words counts, then the last seen; as the end of an
+    end is an end, no chain of links is left.  ``keys…, start, end, replacement``.
+
+    A name offers each of its proper ends under that end; a running maximum in
+    order of the text finds the best offer before every name.  One shuffle of
+    names, none of texts; a task orders one text's names of one spelling.
+    """
+    keys = list(keys)
+    names = names_in_order(texts, keys, text_col)
+    words = names.withColumn("_w", F.split("name", " "))
+    n = F.size("_w")
+    ends = F.transform(F.sequence(F.lit(2), n), lambda a: F.array_join(F.slice("_w", a, F.lit(NAME_WORDS)), " "))
+    offered = words.where(n > 1).select(*keys, "i", F.explode(ends).alias("key"),
+                                        F.struct(n.alias("n"), "i", "name").alias("offer"), F.lit(None).cast("int").alias("start"))
+    asked = names.select(*keys, "i", F.col("name").alias("key"),
+                         F.lit(None).cast("struct<n:int,i:int,name:string>").alias("offer"), "start")
+    before = Window.partitionBy(*keys, "key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    linked = offered.unionByName(asked).withColumn("_best", F.max("offer").over(before))
+    return (linked.where(F.col("start").isNotNull() & F.col("_best").isNotNull())
+            .select(*keys, "start", (F.col("start") + F.length("key")).alias("end"),
+                    F.col("_best.name").alias("replacement")))

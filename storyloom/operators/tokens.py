@@ -47,15 +47,20 @@ def with_positions(kept: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def keyword_valid(words: DataFrame, word_col: str, stop: DataFrame,
-                  vocabulary: DataFrame | None = None) -> DataFrame:
+                  vocabulary: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """keep keywords whose first token is a NOUN, whose lemma is not a stop
-    word and (when ``vocabulary`` is given) whose lemma has a word vector."""
+    word and (when ``vocabulary`` is given) whose lemma has a word vector.
+    ``lexicon(word, lemma, pos)`` overrides the suffix rules, as in F7."""
     first = F.lower(F.regexp_extract(F.col(word_col), r"(\p{L}+)", 1))
     w = words.withColumn("_lw", first)
     stop_flag = stop.select(F.col("word").alias("_lw")).distinct().withColumn("_stop", F.lit(True))
     w = w.join(stop_flag, "_lw", "left")
     w = (w.withColumn("_pos", ann.lexicon_pos(F.col("_lw"), F.col("_stop").isNotNull()))
          .withColumn("_lemma", ann.lexicon_lemma(F.col("_lw"))))
+    if lexicon is not None:
+        own = lexicon.select(F.col("word").alias("_lw"), F.col("lemma").alias("_own_lemma"), F.col("pos").alias("_own_pos"))
+        w = (w.join(own, "_lw", "left").withColumn("_lemma", F.coalesce("_own_lemma", "_lemma"))
+             .withColumn("_pos", F.coalesce("_own_pos", "_pos")).drop("_own_lemma", "_own_pos"))
     w = w.where((F.col("_lw") != "") & (F.col("_pos") == "NOUN"))
     w = w.join(stop.select(F.col("word").alias("_lemma")), "_lemma", "left_anti")
     if vocabulary is not None:

@@ -323,6 +323,19 @@ SELECT year, category, CAST(id AS BIGINT) AS id, CAST(sent_id AS BIGINT) AS sent
        CAST(tok_id AS BIGINT) AS tok_id, word, tag FROM tags"""
     q["intro_entities"] = "WITH" + _prepared() + _tags() + _entities() + """
 SELECT year, category, CAST(id AS BIGINT) AS id, entity FROM ents"""
+    name = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,5}"
+    q["mentions_resolved"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '{name}') AS f, regexp_split_to_array(text, '{name}') AS g FROM documents),
+m AS (SELECT doc_id, f[i] AS name, g[i] AS gap, i FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM d)),
+l AS (
+  SELECT x.doc_id, x.i, arg_max(y.name, len(string_split(y.name, ' ')) * 1000000 + y.i) AS longer
+  FROM m x JOIN (SELECT * FROM m WHERE contains(name, ' ')) y
+    ON y.doc_id = x.doc_id AND y.i < x.i AND suffix(y.name, ' ' || x.name) GROUP BY ALL),
+r AS (
+  SELECT doc_id, string_agg(gap || coalesce(longer, name), '' ORDER BY i) AS head, count(longer) AS n
+  FROM m LEFT JOIN l USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, md5(coalesce(head, '') || g[len(g)]) AS text_md5
+FROM d LEFT JOIN r USING (doc_id)"""
     q["strip_entities"] = "WITH" + _prepared() + _tags() + _entities() + _stripped() + """
 SELECT year, category, CAST(id AS BIGINT) AS id, text FROM strip"""
     triple_words = (BASE_STOPWORDS | ADDED_STOPWORDS) - TRIPLE_KEEP

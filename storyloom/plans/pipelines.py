@@ -253,7 +253,7 @@ def topic_pipeline(q1: dict, res: Resources, cfg: PipelineConfig = PipelineConfi
           .withColumn("topic", F.coalesce("topic", F.lit(0))))
     tkey = [*scope, "topic"]
     kw = tp.topic_words(phi, scope, tp.KEYWORDS_PER_TOPIC).select(*tkey, "rank", F.col("term").alias("keyword"))
-    names = tp.topic_names(kw, tkey, stop_list(spark, cfg), cut_lineage(res.vocabulary))
+    names = tp.topic_names(kw, tkey, stop_list(spark, cfg), cut_lineage(res.vocabulary), res.lexicon)
     labels = q1["sentiment"].select(*DOC, "label")
     dts = dt.join(reps.select(*DOC, "rank"), DOC)
     senti = tp.topic_sentiment(dts, labels, tkey, DOC)
@@ -278,13 +278,14 @@ def topic_pipeline(q1: dict, res: Resources, cfg: PipelineConfig = PipelineConfi
 TRIPLE_KEYS = [*G, "cluster", "topic", "id"]
 
 
-def triple_annotations(texts: DataFrame, keys=TRIPLE_KEYS, materialize: bool = True):
+def triple_annotations(texts: DataFrame, keys=TRIPLE_KEYS, materialize: bool = True,
+                       lexicon: DataFrame | None = None):
     """Default annotations of the triple texts: tokens (with entity types),
-    entities, chunks and tags."""
+    entities, chunks and tags.  ``lexicon`` as in F7."""
     from storyloom.operators.entities import TRIPLE_IGNORED_TYPES, decode_bilou, with_entity_types
     sents = ann.sentences(texts, keys, "text")
     stop = ann.stopwords_df(texts.sparkSession, ann.BASE_STOPWORDS)
-    tok = ann.tokens(sents, keys, stop, with_deps=True)
+    tok = ann.tokens(sents, keys, stop, lexicon, with_deps=True)
     tags = ann.capital_tags(tok, keys)
     if materialize:
         from storyloom.session import cut_lineage
@@ -356,7 +357,8 @@ def triple_pipeline(q2: dict, res: Resources, cfg: PipelineConfig = PipelineConf
     """Q3: triples of every topic's documents (topics from Q2)."""
     from storyloom.session import cut_lineage
     texts = cut_lineage(triple_texts(q2["prep"], q2["doc_topics"].select(*DOC, "cluster", "topic"), cfg))
-    extract = res.extract or (lambda t: extract_triplets(t, res.annotate))
+    annotate = res.annotate or (lambda t: triple_annotations(t, lexicon=res.lexicon))
+    extract = res.extract or (lambda t: extract_triplets(t, annotate))
     return {**q2, "triples": triple_rows(texts, q2["sentiment_model"], extract)}
 
 

@@ -144,6 +144,18 @@ def q_intro_entities(spark, sf_dir):
     return e.select(*_doc_cols(e), "entity")
 
 
+@register("mentions_resolved")
+def q_mentions_resolved(spark, sf_dir):
+    """Whole documents with shorter names replaced by the longer ones they
+    stand for."""
+    from storyloom.operators.entities import link_mentions, resolve_mentions
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    links = link_mentions(docs, ["doc_id"], "text")
+    n = links.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
+    out = resolve_mentions(docs, links, ["doc_id"], "text", "resolved").join(n, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.md5(F.col("resolved").cast("binary")).alias("text_md5"))
+
+
 @register("strip_entities")
 def q_strip_entities(spark, sf_dir):
     """M5: cleaned intros without their entities."""

@@ -87,3 +87,18 @@ def test_top_representatives(spark):
     reps = cl.top_representatives(labels, cents, ["g"]).orderBy("cluster", "rank").collect()
     # sizes 6 and 2 → mean 4, std 2.83 → n_min 1, n_max 7; cluster 1 has < 3 docs
     assert [(r["cluster"], r["id"]) for r in reps] == [(0, 2), (0, 3), (0, 1), (0, 4), (0, 0), (0, 5)]
+
+
+def test_pca_1d_against_a_direct_svd(spark):
+    """The projection on the first right singular vector, its largest loading positive."""
+    rng = np.random.default_rng(12)
+    data = {g: rng.normal(size=(n, 4)) * [3, 1, 0.5, 0.2] + g for g, n in ((0, 30), (1, 7), (2, 1))}
+    rows = [(g, i, v.tolist()) for g, m in data.items() for i, v in enumerate(m)]
+    got = {(r["g"], r["id"]): r["x"] for r in cl.pca_1d(
+        spark.createDataFrame(rows, "g int, id int, vec array<double>").repartition(5), ["g"]).collect()}
+    for g, m in data.items():
+        centred = m - m.mean(axis=0)
+        axis = np.linalg.svd(centred)[2][0]
+        axis = axis * np.sign(axis[np.argmax(np.abs(axis))])
+        want = centred @ axis if len(m) > 1 else np.zeros(1)
+        assert np.allclose([got[g, i] for i in range(len(m))], want, atol=1e-9)

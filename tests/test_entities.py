@@ -1,5 +1,5 @@
 """E1 BILOU decoding and J7 mention resolution (golden rows)."""
-from storyloom.operators.entities import decode_bilou, resolve_mentions
+from storyloom.operators.entities import decode_bilou, link_mentions, resolve_mentions
 
 
 def decode(spark, tags, ignore=()):
@@ -31,3 +31,47 @@ def test_resolve_mentions(spark):
     got = {r["doc"]: r["o"] for r in resolve_mentions(texts, ments, ["doc"], "t", "o").collect()}
     assert got == {1: "John met her. Mary smiled.", 2: "No mentions.", 3: "Both",
                    4: "end Bob"}
+
+
+def test_shorter_names_stand_for_longer_ones(spark):
+    texts = spark.createDataFrame(
+        [(1, "Smith came. Dr Anna Smith spoke; Smith and Anna Smith left. Later, Bob Smith met Smith."),
+         (2, "Smith alone."), (3, None), (4, ""), (5, "Anna Smith, smith, Smithson."), (6, "Él vio a José Ñandú. Ñandú rió.")],
+        "doc int, t string")
+    links = link_mentions(texts, ["doc"], "t")
+    got = {r["doc"]: r["o"] for r in resolve_mentions(texts, links, ["doc"], "t", "o").collect()}
+    # the first name has nothing before it; of two longer names more words win
+    assert got == {
+        1: "Smith came. Dr Anna Smith spoke; Dr Anna Smith and Dr Anna Smith left. Later, Bob Smith met Dr Anna Smith.",
+        2: "Smith alone.", 3: None, 4: "", 5: "Anna Smith, smith, Smithson.", 6: "Él vio a José Ñandú. José Ñandú rió."}
+
+
+def test_links_follow_the_definition(spark):
+    """Against a scan of every text, with runs longer than a name."""
+    import random
+    import re
+    rnd = random.Random(3)
+    words = ["Anna", "Bob", "Cy", "Dee", "and", "saw"]
+    texts = [(d, " ".join(rnd.choice(words) for _ in range(60)) + rnd.choice(["", ".", "\nAnna"])) for d in range(30)]
+    got = {(r["doc"], r["start"]): (r["end"], r["replacement"]) for r in link_mentions(
+        spark.createDataFrame(texts, "doc int, t string"), ["doc"], "t").collect()}
+    want = {}
+    for d, t in texts:
+        seen = []
+        for m in re.finditer(r"[A-Z][a-z]+(?: [A-Z][a-z]+){0,5}", t):
+            longer = [(len(x.split()), i, x) for i, x in enumerate(seen) if x.endswith(" " + m.group())]
+            if longer:
+                want[d, m.start()] = (m.end(), max(longer)[2])
+            seen.append(m.group())
+    assert got == want and len(want) > 30
+
+
+def test_lexicon_decides_keywords(spark):
+    """a user's part of speech and lemma count before the suffix rules."""
+    from storyloom.operators.tokens import keyword_valid
+    words = spark.createDataFrame([("running",), ("stone",), ("walks",)], "word string")
+    stop = spark.createDataFrame([("the",)], "word string")
+    lexicon = spark.createDataFrame([("running", "running", "NOUN"), ("stone", "stone", "VERB"), ("walks", "the", "NOUN")],
+                                    "word string, lemma string, pos string")
+    keep = lambda **x: sorted(r["word"] for r in keyword_valid(words, "word", stop, **x).collect())
+    assert keep() == ["stone", "walks"] and keep(lexicon=lexicon) == ["running"]
