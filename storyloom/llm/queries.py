@@ -13,6 +13,7 @@ import corpus_pipeline
 from storyloom.llm import (byte_bpe, compression_quality, decontaminate, edit_counts, jaccard_join, jump_shards,
                            line_dedup, merkle_manifest, quadratic_quality, rank_language, secret_ledger,
                            token_alignment, warc)
+from storyloom.session import cut_lineage
 
 #: The rank file of the token queries; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,9 +40,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document: one version of each path, an empty ledger."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_ledger.report_paths(docs, secret_ledger.scan_unseen(docs))
+    """Secrets of every document.  The English ones were delivered and scanned
+    first; then all documents come, and only pairs that the ledger does not hold
+    are scanned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    ledger = cut_lineage(secret_ledger.scan_unseen(docs.where(F.col("lang") == "en")))
+    new = secret_ledger.scan_unseen(docs, ledger=ledger)
+    return secret_ledger.report_paths(docs, ledger.unionByName(new))
 
 
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,15 +94,14 @@ def pending_pairs(blobs: DataFrame, rules: Sequence[Rule], ledger: DataFrame) ->
 def scan_unseen(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None,
                 text_col: str = "text") -> DataFrame:
     """Ledger rows for the (blob, rule version) pairs of ``versions`` that
-    ``ledger`` does not hold yet.  Append them to the stored ledger."""
+    ``ledger`` (none: an empty one) does not hold yet.  Append them to the stored
+    ledger."""
+    if ledger is None:
+        ledger = versions.sparkSession.createDataFrame([], LEDGER)
     named = versions.select(address(F.col(text_col)).alias("blob"),
                             F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
-    every = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-    if ledger is None:
-        todo = blobs.withColumn("_pending", every)
-    else:
-        todo = blobs.join(pending_pairs(named.select("blob").distinct(), rules, ledger), "blob")
+    todo = blobs.join(pending_pairs(blobs.select("blob"), rules, ledger), "blob")
     pairs = F.array(*[
         F.when(F.array_contains("_pending", f"{r.kind}:{r.version}"),
                F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"),

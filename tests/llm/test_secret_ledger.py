@@ -81,3 +81,16 @@ def test_only_unseen_pairs_are_scanned(spark):
 def test_main_path_is_native(documents, capsys):
     sl.report_paths(documents, sl.scan_unseen(documents)).explain("formatted")
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_query_scans_only_what_its_ledger_lacks(spark, capsys):
+    """The registered plan holds the anti-join of seen pairs, and its rows are
+    those of one scan of everything."""
+    from storyloom.llm.queries import op3_secret_ledger
+    folder = "/root/testdata/sf0.001"
+    out = op3_secret_ledger(spark, folder)
+    out.explain()
+    assert "LeftAnti" in capsys.readouterr().out
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    once = sl.report_paths(docs, sl.scan_unseen(docs))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, once.collect()))
