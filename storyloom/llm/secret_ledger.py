@@ -25,9 +25,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyloom.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -57,7 +59,6 @@ RULES = (
 )
 
 HITS = "array<struct<gap:int,chars:int,part:int>>"
-LEDGER = f"blob binary, kind string, rule_version int, hits {HITS}"
 
 
 def address(text: Column) -> Column:
@@ -91,13 +92,19 @@ def pending_pairs(blobs: DataFrame, rules: Sequence[Rule], ledger: DataFrame) ->
         F.collect_set(F.concat_ws(":", "kind", F.col("rule_version").cast("string"))).alias("_pending"))
 
 
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    """A stored ledger without rows."""
+    return cut_lineage(spark.range(0).select(
+        F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("string").alias("kind"),
+        F.lit(None).cast("int").alias("rule_version"), F.lit(None).cast(HITS).alias("hits")))
+
+
 def scan_unseen(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None,
                 text_col: str = "text") -> DataFrame:
     """Ledger rows for the (blob, rule version) pairs of ``versions`` that
     ``ledger`` (none: an empty one) does not hold yet.  Append them to the stored
     ledger."""
-    if ledger is None:
-        ledger = versions.sparkSession.createDataFrame([], LEDGER)
+    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
     named = versions.select(address(F.col(text_col)).alias("blob"),
                             F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
