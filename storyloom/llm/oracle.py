@@ -53,10 +53,28 @@ def _warc() -> str:
     """The page's text by the same replacements, the records as two branches."""
     x = f"regexp_replace(html, {_text(warc.UNSEEN)}, '', 'g')"
     x = rf"regexp_replace({x}, '[ \t\r\n\f\x0B]+', ' ', 'g')"
-    x = rf"regexp_replace({x}, '(?i)</?(?:{warc.BREAKS})\b[^>]*>', chr(10), 'g')"
-    x = rf"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for name, char in warc.REFERENCES:
-        x = f"replace({x}, {_text(name)}, {_text(char)})"
+    x = f"regexp_replace({x}, {_text(warc.BREAK_TAG)}, chr(10), 'g')"
+    x = f"regexp_replace({x}, {_text(warc.TAG)}, '', 'g')"
+    names = "[" + ", ".join(_text(n) for n in warc.REFERENCES) + "]"
+    codes = "[" + ", ".join(str(c) for c in warc.REFERENCES.values()) + "]"
+    digits = "'0123456789abcdef'"
+    ref = f"regexp_extract(p, {_text(warc.REFERENCE)}, 1)"
+    code = f"""CASE WHEN {ref} = '' THEN NULL
+      WHEN starts_with(lower({ref}), '#x') THEN list_reduce(list_transform(string_split(substr(lower({ref}), 3), ''),
+             lambda c: strpos({digits}, c) - 1), lambda a, d: 16 * a + d)
+      WHEN starts_with({ref}, '#') THEN TRY_CAST(substr({ref}, 2) AS BIGINT)
+      ELSE {codes}[list_position({names}, {ref})] END"""
+    refs = f"""
+m AS (SELECT page_id, target_uri, html, string_split({x}, '&') AS pieces FROM p),
+e AS (SELECT row_number() OVER () AS rn, * FROM m),
+u AS (SELECT rn, unnest(pieces[2:]) AS p, unnest(range(2, len(pieces) + 1)) AS i FROM e),
+k AS (SELECT rn, i, p, {code} AS c FROM u),
+t AS (SELECT rn, string_agg(CASE WHEN c IS NULL THEN '&' || p
+         WHEN c = 0 OR c BETWEEN 55296 AND 57343 OR c > 1114111 THEN chr({warc.NO_CHARACTER}) || substr(p, strpos(p, ';') + 1)
+         WHEN c IN {warc.BLANK_CODES} THEN ' ' || substr(p, strpos(p, ';') + 1)
+         ELSE chr(CAST(c AS INTEGER)) || substr(p, strpos(p, ';') + 1) END, '' ORDER BY i) AS tail FROM k GROUP BY rn),
+q AS (SELECT page_id, target_uri, html, pieces[1] || coalesce(tail, '') AS marked FROM e LEFT JOIN t USING (rn)),"""
+    x = "marked"
     x = rf"regexp_replace({x}, '[ \t]+', ' ', 'g')"
     x = rf"regexp_replace({x}, ' ?\n ?', chr(10), 'g')"
     x = rf"regexp_replace({x}, '\n\n+', chr(10), 'g')"
@@ -66,25 +84,26 @@ def _warc() -> str:
         return (f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' "
                 f"|| substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'")
     crlf = "chr(13) || chr(10)"
-    title = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n\f\x0B]+', ' ', 'g'))"
-    lang = r"""lower(regexp_extract(html, '(?is)<html[^>]*\blang=["'']?([a-zA-Z-]+)', 1))"""
-    links = r"len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))"
+    title = r"trim(regexp_replace(regexp_extract(html, '(?i)<title[^<>]*>([^<]*)', 1), '[ \t\r\n\f\x0B]+', ' ', 'g'))"
+    lang = r"""lower(regexp_extract(html, '(?i)<html[^<>]*\blang=["'']?([a-zA-Z-]+)', 1))"""
+    links = r"len(regexp_extract_all(html, '(?i)<a\s[^<>]*href='))"
     return rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
+{refs}
 r AS (
   SELECT *, {uuid("'response'", "CAST(page_id AS VARCHAR)", "target_uri", "html")} AS rid, {text} AS body,
          'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf}
          || 'Content-Length: ' || strlen(html) AS head,
          'sha256:' || sha256(html) AS source_digest
-  FROM p),
+  FROM q),
 b AS (
-  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+  SELECT * EXCLUDE (marked), 'metadata' AS record_type, 'application/warc-fields' AS content_type,
          'source-status: 200' || {crlf} || 'source-content-type: text/html; charset=utf-8' || {crlf}
          || 'source-content-length: ' || strlen(html) || {crlf} || 'title: ' || {title} || {crlf}
          || 'language: ' || {lang} || {crlf} || 'outlinks: ' || {links} || {crlf}
          || 'text-length: ' || length(body) || {crlf} AS block FROM r
   UNION ALL
-  SELECT *, 'conversion', 'text/plain; charset=utf-8', body FROM r)
+  SELECT * EXCLUDE (marked), 'conversion', 'text/plain; charset=utf-8', body FROM r)
 SELECT page_id, record_type, {uuid("record_type", "rid")} AS record_id, rid AS refers_to, target_uri,
        '{WARC_DATE}' AS warc_date, content_type, CAST(strlen(block) AS BIGINT) AS content_length, block,
        'sha256:' || sha256(block) AS block_digest, source_digest, head AS source_headers

@@ -10,16 +10,21 @@ Record ids are name-based: the same response always yields the same
 derivatives, so a task that runs again writes the same records.
 
 Everything is a projection followed by a two-way explode: no shuffle, no
-Python, one pass over the pages.
+Python, one pass over the pages.  Every pattern matches up to the end of the
+page where its closing part is missing, so its cost follows the page's length.
 
 Defined results: a response without an empty line has headers only and an
 empty payload; null blocks count as empty; pages without markup convert to
-themselves; repeated responses give repeated records; extra columns stay.
+themselves; comments, hidden elements and tags that never close reach to the
+end of the page; character references (decimal, hexadecimal, named) become
+their character, white space and the no-break space a blank, code points that
+are none U+FFFD, unknown names stay as written; repeated responses give repeated records; extra columns stay.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +34,20 @@ HIDDEN = ("script", "style", "noscript", "template")
 #: Tags that end a line.
 BREAKS = ("p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|main|aside|"
           "title|head|body|pre|blockquote|form|figure")
-#: Named character references; the ampersand comes last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-              ("&nbsp;", " "), ("&amp;", "&"))
+#: Named character references of HTML 4 and their code points in HTML 5, as the
+#: standard library lists them.
+REFERENCES = {name: ord(html5[f"{name};"]) for name in [*name2codepoint, "apos"]}
+#: A reference without its ampersand.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+#: Code points that become a blank.
+BLANK_CODES = (9, 10, 11, 12, 13, 160)
+NO_CHARACTER = 0xFFFD
 CRLF = "\r\n"
 #: Comments and hidden elements, in one pass.
-UNSEEN = r"(?is)<(?:!--.*?-->|" + "|".join(rf"{name}\b.*?</{name}\s*>" for name in HIDDEN) + ")"
+UNSEEN = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{name}\b.*?(?:</{name}\s*>|\z)" for name in HIDDEN) + ")"
+#: Tags that end a line, and all tags.
+BREAK_TAG = rf"(?i)</?(?:{BREAKS})\b[^>]*(?:>|\z)"
+TAG = r"<[/!?a-zA-Z][^>]*(?:>|\z)"
 #: White space that becomes a blank.
 BLANKS = "\t\r\n\f\x0b"
 
@@ -64,13 +77,39 @@ def responses_from_pages(pages: DataFrame, warc_date: str, key_col: str = "page_
         F.concat(head, html).alias("block"))
 
 
+def with_characters(x: Column) -> Column:
+    """``x`` with its character references replaced, each once."""
+    names = F.create_map(*[F.lit(v) for name, code in REFERENCES.items() for v in (name, code)])
+
+    def code_of(r: Column) -> Column:
+        ref = r["ref"]
+        number = (F.when(F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(F.substring(ref, 3, 6), 16, 10).try_cast("int"))
+                  .when(F.startswith(ref, F.lit("#")), F.substring(ref, 2, 7).try_cast("int"))
+                  .when(ref != "", F.try_element_at(names, ref)))
+        return F.struct(r["p"].alias("p"), r["n"].alias("n"), number.alias("code"))
+
+    def character(code: Column) -> Column:
+        none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        valid = F.when(none, F.lit(NO_CHARACTER)).when(code.isin(*BLANK_CODES), F.lit(32)).otherwise(code)
+        return F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
+
+    def after(p: Column) -> Column:
+        return F.substring(p, F.instr(p, ";") + 1, F.length(p))
+
+    found = F.transform(F.split(x, "&"), lambda p, i: F.struct(
+        p.alias("p"), i.alias("n"), F.when(i == 0, "").otherwise(F.regexp_extract(p, REFERENCE, 1)).alias("ref")))
+    coded = F.transform(found, code_of)
+    return F.array_join(F.transform(coded, lambda r: F.when(r["n"] == 0, r["p"])
+                                    .when(r["code"].isNull(), F.concat(F.lit("&"), r["p"]))
+                                    .otherwise(F.concat(character(r["code"]), after(r["p"])))), "")
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page, one line per block element."""
     x = F.regexp_replace(html, UNSEEN, "")
     x = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), BLANKS, x)
-    x = F.regexp_replace(x, rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    x = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES, x)
+    x = F.regexp_replace(x, BREAK_TAG, "\n")
+    x = with_characters(F.regexp_replace(x, TAG, ""))
     x = F.regexp_replace(x, r"  +", " ")
     x = F.replace(F.replace(x, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     x = F.regexp_replace(x, r"\n\n+", "\n")
@@ -100,14 +139,14 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.when(at > 0, F.substring(block, at + 4, F.length(block))).otherwise("").alias("_html"))
     html, head = F.col("_html"), F.col("_head")
     facts = parted.select("*", digest(html).alias("source_digest"), plain_text(html).alias("_text"))
-    title = F.btrim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\r\n\f\x0B]+", " "))
+    title = F.btrim(F.regexp_replace(F.regexp_extract(html, r"(?i)<title[^<>]*>([^<]*)", 1), r"[ \t\r\n\f\x0B]+", " "))
     fields = [
         ("source-status", F.regexp_extract(head, r"^HTTP/[0-9.]+ ([0-9]+)", 1)),
         ("source-content-type", source_header(head, "content-type")),
         ("source-content-length", F.octet_length(html).cast("string")),
         ("title", title),
-        ("language", F.lower(F.regexp_extract(html, r"""(?is)<html[^>]*\blang=["']?([a-zA-Z-]+)""", 1))),
-        ("outlinks", F.regexp_count(html, F.lit(r"(?i)<a\s[^>]*href=")).cast("string")),
+        ("language", F.lower(F.regexp_extract(html, r"""(?i)<html[^<>]*\blang=["']?([a-zA-Z-]+)""", 1))),
+        ("outlinks", F.regexp_count(html, F.lit(r"(?i)<a\s[^<>]*href=")).cast("string")),
         ("text-length", F.length("_text").cast("string")),
     ]
     metadata = F.concat(*[x for name, value in fields for x in (F.lit(f"{name}: "), value, F.lit(CRLF))])

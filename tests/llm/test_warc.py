@@ -84,3 +84,35 @@ def test_odd_rows(spark):
     assert warc.derivatives(spark.createDataFrame([], schema)).count() == 0
     null_page = spark.createDataFrame([(None, None, None)], "page_id long, url string, html string")
     assert warc.derivatives(warc.responses_from_pages(null_page, DATE)).count() == 2
+
+
+def text_of(spark, pages):
+    df = spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    rows = warc.derivatives(warc.responses_from_pages(df, DATE)).where("record_type = 'conversion'").collect()
+    return [r.block for r in sorted(rows, key=lambda r: r.page_id)]
+
+
+def test_character_references(spark):
+    cases = {"a&#8217;b": "a\u2019b", "&#x27;&#X41;": "'A", "x&mdash;y &eacute;": "x\u2014y \u00e9", "&amp;lt;": "&lt;",
+             "&#128512;": "\U0001f600", "a&nbsp;b&#160;c&#10;d": "a b c d", "&#0;&#xD800;&#1114112;": "\ufffd" * 3,
+             "&nosuch; &amp &;&#;&#x;&": "&nosuch; &amp &;&#;&#x;&", "&apos;&quot;;": "'\";", "": "", "&&lt;;": "&<;",
+             "a < b &gt; c": "a < b > c"}
+    assert text_of(spark, cases) == list(cases.values())
+
+
+def test_references_like_the_standard_library(spark):
+    import html
+    texts = [f"&{n};x&{n};;" for n in warc.REFERENCES if n != "nbsp"] + [f"&#{c};|&#x{c:x};" for c in range(161, 70_000, 997)
+                                                                        if not 0xD800 <= c < 0xE000]
+    assert text_of(spark, texts) == [html.unescape(t) for t in texts]
+
+
+def test_open_ends_cost_in_proportion(spark):
+    import time
+    pages = ["keep<!-- " * 110_000, "keep<script>" * 80_000, "keep<div " * 110_000, "keep<title" * 100_000,
+             "<html <a " * 110_000, "&#" * 300_000]
+    text_of(spark, ["warm"])
+    start = time.time()
+    got = text_of(spark, pages)
+    assert time.time() - start < 20
+    assert got[:4] == ["keep"] * 4 and got[5] == pages[5]
