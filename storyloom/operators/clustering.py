@@ -8,7 +8,8 @@
 * C2-C4 ``kmeans_models``: every (group, k) model of the sweep, fitted to its
   fixed point and scored over the group's prefix table (distinct values with
   running counts and sums), which is cut into value slices.  The start is the k
-  quantiles of the group's points (deterministic, no random restarts).
+  quantiles of the group's points, or the best of several k-means++ starts,
+  whose draws are fixed, so runs repeat.
 * W2 ``top_representatives``: ranks inside a cluster by slices, so a large
   cluster is spread over tasks.
 """
@@ -204,17 +205,102 @@ def _silhouettes(x, cum_n, cum_s, low_n, low_s, high_n, high_s, mean_below, mean
     return np.where((size > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0)
 
 
-def _one_slice(row, k: int) -> tuple[np.ndarray, float | None]:
-    """Fixed point and mean silhouette of a model whose group is one slice."""
+#: Values that stand for a group while its k-means++ starts are drawn.  A group
+#: with more distinct values is summed up in as many cells of neighbours.
+SEED_CELLS = 100_000
+
+
+def draw_seeds(x: np.ndarray, n: np.ndarray, k: int, start: int) -> np.ndarray:
+    """``k`` k-means++ seeds from the values ``x`` held by ``n`` points, in the
+    order of drawing: a point at random, then points with odds by their squared
+    distance to the nearest seed.  The first seeds do not depend on ``k``; when no
+    value is left that is no seed, the last one repeats."""
+    seeds, odds = np.empty(k), n.astype(np.float64)
+    near = np.full(len(x), np.inf)
+    for j, u in enumerate(np.random.default_rng(start).random(k)):
+        upto = np.cumsum(odds)
+        if upto[-1] > 0:
+            at = np.searchsorted(upto, u * upto[-1], "right")
+            seeds[j] = x[min(at, len(x) - 1)]
+        else:
+            seeds[j:] = seeds[j - 1]
+            break
+        near = np.minimum(near, (x - seeds[j]) ** 2)
+        odds = near * n
+    return seeds
+
+
+def seed_table(slices: DataFrame, grid: DataFrame, keys: Sequence[str], starts: int) -> DataFrame:
+    """``keys…, seeds``: per group the seeds of ``starts`` k-means++ starts, each
+    as long as the group's largest k; a model takes the first k of them.
+
+    A start is drawn in a task of its own from at most about ``SEED_CELLS`` values
+    or cells of a group.  Cells hold neighbouring values of one slice, all alike in
+    number, and cover every point; Lloyd's steps then run over the values."""
+    keys = list(keys)
+    limit = SEED_CELLS
+    cell_schema = T.StructType([slices.schema[c] for c in [*keys, "slice", "xs", "ns"]])
+
+    def cells(group: pa.Table) -> pa.Table:
+        x, n = (np.frombuffer(group.column(c)[0].as_py(), t) for c, t in (("xs", "<f8"), ("ns", "<i8")))
+        wanted = int(np.ceil(len(x) * min(1.0, limit / group.column("values")[0].as_py())))
+        first = np.arange(wanted) * len(x) // wanted
+        size = np.add.reduceat(n, first)
+        mean = x if wanted == len(x) else np.add.reduceat(x * n, first) / size
+        return pa.table([group.column(c) for c in [*keys, "slice"]]
+                        + [pa.array([mean.astype("<f8").tobytes()]), pa.array([size.astype("<i8").tobytes()])],
+                        names=cell_schema.names)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("slice")
+        x, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("xs", "<f8"), ("ns", "<i8")))
+        head = pdf.iloc[:1][[*keys, "start"]].copy()
+        head["seq"] = [draw_seeds(x, n, int(pdf["most"].iloc[0]), int(pdf["start"].iloc[0])).tolist()]
+        return head
+
+    values = F.sum(F.octet_length("xs") / 8).over(Window.partitionBy(*keys))
+    summed = slices.select(*keys, "slice", "xs", "ns", values.alias("values")).groupBy(*keys, "slice").applyInArrow(
+        cells, cell_schema)
+    asked = grid.groupBy(*keys).agg(F.max("k").alias("most")).withColumn(
+        "start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    schema = T.StructType(_key_schema(slices, keys) + [
+        T.StructField("start", T.IntegerType()), T.StructField("seq", T.ArrayType(T.DoubleType()))])
+    drawn = summed.join(asked, keys).groupBy(*keys, "start").applyInPandas(draw, schema)
+    return drawn.groupBy(*keys).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("start", "seq"))), lambda r: r["seq"]).alias("seeds"))
+
+
+def _fixed_point(row, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's steps from sorted ``cents`` until no value changes its cluster:
+    centroids, and where each cluster starts among the values."""
     x, cum_n, cum_s = row
-    rank = np.floor((np.arange(k) + 0.5) * cum_n[-1] / k).astype(np.int64)
-    cents, before = x[np.searchsorted(cum_n[1:], rank, "right")], None
+    before = None
     while True:
         at = np.concatenate(([0], np.searchsorted(x, (cents[:-1] + cents[1:]) / 2, "right"), [len(x)]))
-        count, total = np.diff(cum_n[at]), np.diff(cum_s[at])
         if before is not None and np.array_equal(at, before):
-            break
-        cents, before = _moved(cents, count, total), at
+            return cents, at
+        cents, before = _moved(cents, np.diff(cum_n[at]), np.diff(cum_s[at])), at
+
+
+def _between(row, at: np.ndarray) -> float:
+    """Squares between clusters: inertia is a constant of the group less this."""
+    _, cum_n, cum_s = row
+    count = np.diff(cum_n[at])
+    off = np.diff(cum_s[at]) - cum_s[-1] / cum_n[-1] * count
+    return float((off[count > 0] ** 2 / count[count > 0]).sum())
+
+
+def _one_slice(row, k: int, seeds=None) -> tuple[np.ndarray, float | None]:
+    """Fixed point and mean silhouette of a model whose group is one slice: from
+    the quantiles, or the one with the least inertia over the starts of ``seeds``."""
+    x, cum_n, cum_s = row
+    if seeds is None:
+        rank = np.floor((np.arange(k) + 0.5) * cum_n[-1] / k).astype(np.int64)
+        cents, at = _fixed_point(row, x[np.searchsorted(cum_n[1:], rank, "right")])
+    else:
+        ends = [_fixed_point(row, np.sort(np.asarray(seq)[:k])) for seq in seeds]
+        cents, at = max(ends, key=lambda e: _between(row, e[1]))
+    count, total = np.diff(cum_n[at]), np.diff(cum_s[at])
     full = np.flatnonzero(count > 0)
     if len(full) < 2:
         return cents, None
@@ -226,18 +312,22 @@ def _one_slice(row, k: int) -> tuple[np.ndarray, float | None]:
     return cents, float((s * np.diff(cum_n)).sum() / cum_n[-1])
 
 
-def _models_of_one_slice(slices: DataFrame, grid: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+def _models_of_one_slice(slices: DataFrame, grid: DataFrame, keys: list[str], schema: T.StructType,
+                         seeds: DataFrame | None = None) -> DataFrame:
     """Models of groups of one slice: a task fits a block of k."""
+    seeded = seeds is not None
     block = F.floor(F.col("k") * (F.col("k") + 1) / (2 * CENTROIDS_PER_TASK)).cast("int")
     blocks = grid.groupBy(*keys, block.alias("_blk")).agg(F.min("k").alias("_k0"), F.max("k").alias("_k1"))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row, rows = _prefix(pdf["xs"].iloc[0], pdf["ns"].iloc[0]), []
+        drawn = pdf["seeds"].iloc[0] if seeded else None
         for k in range(int(pdf["_k0"].iloc[0]), int(pdf["_k1"].iloc[0]) + 1):
-            rows.append((*key[:-1], k, *_one_slice(row, k)))
+            rows.append((*key[:-1], k, *_one_slice(row, k, drawn)))
         return pd.DataFrame(rows, columns=[*keys, "k", "cents", "score"])
 
-    return (slices.where("n_slices = 1").select(*keys, "xs", "ns").join(blocks, keys)
+    rows = slices.where("n_slices = 1").select(*keys, "xs", "ns").join(blocks, keys)
+    return ((rows.join(seeds, keys) if seeded else rows)
             .groupBy(*keys, "_blk").applyInPandas(fit, schema))
 
 
@@ -265,10 +355,11 @@ def _looked_up(slices: DataFrame, asked: DataFrame, keys: list[str], by_rank: bo
                                      ).applyInArrow(find, schema)
 
 
-def _models_of_slices(slices: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+def _models_of_slices(slices: DataFrame, grid: DataFrame, keys: list[str], begin: DataFrame | None = None) -> DataFrame:
     """Models of groups of several slices.  A Lloyd step of all models is one job:
     their boundaries go to the slices that hold them, and the running counts and
-    sums found there come back as one row per model."""
+    sums found there come back as one row per model.  ``begin`` (``keys…, k,
+    cents``, ``k`` any number of the model) replaces the start from quantiles."""
     wide = slices.where("n_slices > 1")
     lines = cut_lineage(wide.groupBy(*keys).agg(
         F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("slice", "before_n", "top"))).alias("line")))
@@ -278,14 +369,18 @@ def _models_of_slices(slices: DataFrame, grid: DataFrame, keys: list[str]) -> Da
     def slice_of(below: Column) -> Column:
         return F.element_at(slots, F.least(below + 1, F.size("line")))
 
-    ranks = F.transform(F.sequence(F.lit(0), F.col("k") - 1),
-                        lambda j: F.floor((j + 0.5) * F.col("total") / F.col("k")).cast("double"))
-    asked = grid.join(lines, keys).select(*model, "line", F.posexplode(ranks).alias("j", "v"))
-    asked = asked.withColumn("slice", F.element_at(slots, F.size(F.filter("line", lambda r: r["before_n"] <= F.col("v")))))
-    start = _looked_up(wide, asked, keys, True).groupBy(*model).agg(
-        F.sort_array(F.collect_list(F.struct("j", "x"))).alias("c"))
-    state = cut_lineage(start.select(*model, F.transform("c", lambda r: r["x"]).alias("cents"),
-                                     F.lit(None).cast("array<bigint>").alias("at"), F.lit(False).alias("done"),
+    if begin is None:
+        ranks = F.transform(F.sequence(F.lit(0), F.col("k") - 1),
+                            lambda j: F.floor((j + 0.5) * F.col("total") / F.col("k")).cast("double"))
+        asked = grid.join(lines, keys).select(*model, "line", F.posexplode(ranks).alias("j", "v"))
+        asked = asked.withColumn("slice", F.element_at(
+            slots, F.size(F.filter("line", lambda r: r["before_n"] <= F.col("v")))))
+        start = _looked_up(wide, asked, keys, True).groupBy(*model).agg(
+            F.sort_array(F.collect_list(F.struct("j", "x"))).alias("c"))
+        start = start.select(*model, F.transform("c", lambda r: r["x"]).alias("cents"))
+    else:
+        start = begin.join(lines.select(*keys), keys, "left_semi")
+    state = cut_lineage(start.select(*model, "cents", F.lit(None).cast("array<bigint>").alias("at"), F.lit(False).alias("done"),
                                      F.lit(None).cast("array<struct<n:bigint,s:double>>").alias("found")))
     sums = cut_lineage(_line_totals(wide, keys))
     while not state.where(~F.col("done")).isEmpty():
@@ -328,6 +423,20 @@ def _line_totals(slices: DataFrame, keys: list[str]) -> DataFrame:
     return top.where("slice = _last").drop("_last").groupBy(*keys, "slice").applyInArrow(last, schema)
 
 
+def _best_start(models: DataFrame, keys: list[str], starts: int) -> DataFrame:
+    """Of models numbered ``k * starts + start`` the one with the least inertia per
+    k, the first on ties, under its k."""
+    end = F.element_at("found", -1)
+    between = F.aggregate(F.sequence(F.lit(1), F.size("cents")), F.lit(0.0), lambda acc, j: acc + F.when(
+        F.element_at("found", j + 1)["n"] > F.element_at("found", j)["n"],
+        F.pow(F.element_at("found", j + 1)["s"] - F.element_at("found", j)["s"]
+              - end["s"] / end["n"] * (F.element_at("found", j + 1)["n"] - F.element_at("found", j)["n"]), F.lit(2))
+        / (F.element_at("found", j + 1)["n"] - F.element_at("found", j)["n"])).otherwise(0.0))
+    best = models.groupBy(*keys, F.floor(F.col("k") / starts).cast("int").alias("_model")).agg(
+        F.max_by(F.struct("cents", "found"), F.struct(between, -F.col("k"))).alias("_b"))
+    return best.select(*keys, F.col("_model").alias("k"), "_b.cents", "_b.found")
+
+
 def _scored_by_slice(slices: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     """C3 of models of several slices: every slice scores its own values of the
     clusters that reach into it."""
@@ -376,11 +485,15 @@ def _scored_by_slice(slices: DataFrame, models: DataFrame, keys: list[str]) -> D
     return models.select(*model, "cents").join(scores, model, "left")
 
 
-def kmeans_models(points: DataFrame, keys: Sequence[str], x_col: str = "x") -> DataFrame:
+def kmeans_models(points: DataFrame, keys: Sequence[str], x_col: str = "x", starts: int = 0) -> DataFrame:
     """``keys…, k, cents, score`` of every model of ``model_grid``: Lloyd's
     steps from the k quantiles until no point changes its cluster, and the exact
     mean silhouette (null with fewer than two clusters that hold points).
 
+    With ``starts`` above 0 that many k-means++ starts (``seed_table``) take the
+    place of the quantiles; the one that ends with the least inertia stays, the
+    first on ties.
+
     Points are combined to distinct values before the shuffle.  Groups of up to
     ``SLICE_VALUES`` of them are one slice, and tasks fit blocks of about
     ``CENTROIDS_PER_TASK`` centroids; larger groups are stepped and scored slice
@@ -393,10 +506,18 @@ def kmeans_models(points: DataFrame, keys: Sequence[str], x_col: str = "x") -> D
         T.StructField("score", T.DoubleType())])
     slices = cut_lineage(value_slices(points, keys, x_col))
     grid = model_grid(points, keys).select(*keys, "k")
-    small = _models_of_one_slice(slices, grid, keys, schema)
+    seeds = cut_lineage(seed_table(slices, grid, keys, starts)) if starts else None
+    small = _models_of_one_slice(slices, grid, keys, schema, seeds)
     if slices.where("n_slices > 1").isEmpty():
         return small
-    large = _scored_by_slice(slices, cut_lineage(_models_of_slices(slices, grid, keys)), keys)
+    if starts:
+        begin = grid.join(seeds, keys).select(*keys, "k", F.posexplode("seeds").alias("start", "seq"))
+        begin = begin.select(*keys, (F.col("k") * starts + F.col("start")).alias("k"),
+                             F.sort_array(F.slice("seq", F.lit(1), F.col("k"))).alias("cents"))
+        models = _best_start(_models_of_slices(slices, grid, keys, begin), keys, starts)
+    else:
+        models = _models_of_slices(slices, grid, keys)
+    large = _scored_by_slice(slices, cut_lineage(models), keys)
     return small.unionByName(large)
 
 
@@ -410,14 +531,14 @@ def best_per_group(scores: DataFrame, keys: Sequence[str], model_col: str = "k",
             .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
 
 
-def kmeans_sweep(points: DataFrame, keys: Sequence[str], x_col: str = "x", id_col: str = "id"):
-    """C4: returns ``(labels, best)``.
+def kmeans_sweep(points: DataFrame, keys: Sequence[str], x_col: str = "x", id_col: str = "id", starts: int = 0):
+    """C4: returns ``(labels, best)``; ``starts`` as in ``kmeans_models``.
 
     ``labels``: ``keys, id, x, k, cluster`` for the chosen k;
     ``best``: ``keys, k, score, cents`` per group.
     """
     keys = list(keys)
-    best = cut_lineage(best_per_group(kmeans_models(points, keys, x_col), keys))
+    best = cut_lineage(best_per_group(kmeans_models(points, keys, x_col, starts), keys))
     labels = assign(points.select(*keys, id_col, x_col),
                     best.select(*keys, "k", "cents"), keys, x_col).drop("cents")
     return labels, best

@@ -34,6 +34,7 @@ class PipelineConfig:
     vectorizer: str = "tfidf"            # "mean" (pool), "top10"
     extra_stopwords: frozenset = field(default_factory=frozenset)  # {"read"} in pool
     triple_keep: frozenset = ann.TRIPLE_KEEP  # words kept for triples; none in pool
+    kmeans_starts: int = 25              # k-means++ starts a model; 0: one start from quantiles
     max_topics: int | None = None        # topic counts below it; None: half of a cluster's documents
 
 
@@ -173,7 +174,7 @@ def cluster_docs(doc_vec: DataFrame, cfg: PipelineConfig = PipelineConfig()):
     from storyloom.operators.vectors import normalize_rows
     from storyloom.session import cut_lineage
     pts = cut_lineage(cl.pca_1d(normalize_rows(doc_vec), G, "id", "vec", "x"))
-    labels, best = cl.kmeans_sweep(pts, G, "x", "id")
+    labels, best = cl.kmeans_sweep(pts, G, "x", "id", cfg.kmeans_starts)
     reps = cl.top_representatives(labels, cl.centroid_table(best, G), G, "x", "id")
     return labels, best, reps
 

@@ -349,6 +349,18 @@ def q_representatives(spark, sf_dir):
                        F.col("cluster").cast("bigint").alias("cluster"), "rank", "id")
 
 
+@register("kmeans_restarts")
+def q_kmeans_restarts(spark, sf_dir):
+    """C2-C4 with 25 k-means++ starts a model: centroids and score of the start
+    with the least inertia (rows-only: the draws have no SQL form)."""
+    from storyloom.operators import clustering as cl
+    from storyloom.session import cut_lineage
+    models = cl.kmeans_models(cut_lineage(_nchar_points(spark, sf_dir)), pl.G, "x", 25)
+    c = models.select(*pl.G, "k", "score", F.posexplode("cents").alias("cluster", "mu"))
+    return c.select(F.col("year").cast("bigint").alias("year"), "category", F.col("k").cast("bigint").alias("k"),
+                    F.col("cluster").cast("bigint").alias("cluster"), _r("mu").alias("mu"), _r("score").alias("score"))
+
+
 @register("pca_projection")
 def q_pca_projection(spark, sf_dir):
     """C1 + M6: unit document vectors projected on the group's first axis

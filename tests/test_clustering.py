@@ -56,6 +56,77 @@ def test_models_match_lloyd_and_pairs(spark, monkeypatch, slice_values):
         assert r["score"] is None if want is None else abs(r["score"] - want) < 1e-9
 
 
+def brute_seeds(xs, k, start):
+    """k-means++ seeds over the points in order."""
+    xs, out = sorted(xs), []
+    for u in np.random.default_rng(start).random(k):
+        odds = [min([(x - c) ** 2 for c in out], default=1.0) for x in xs]
+        if sum(odds) == 0:
+            out.append(out[-1])
+            continue
+        run, left = 0.0, u * sum(odds)
+        for x, w in zip(xs, odds):
+            run += w
+            if run > left:
+                break
+        out.append(x)
+    return sorted(out)
+
+
+def steps_from(xs, cents):
+    while True:
+        lab = [sum((cents[t] + cents[t + 1]) / 2 < x for t in range(len(cents) - 1)) for x in xs]
+        new = sorted(np.mean([x for x, c in zip(xs, lab) if c == j]) if j in lab else cents[j] for j in range(len(cents)))
+        if np.allclose(new, cents, atol=1e-12, rtol=0):
+            return cents
+        cents = new
+
+
+def inertia(xs, cents):
+    return sum(min((x - c) ** 2 for c in cents) for x in xs)
+
+
+def three_groups(spark, rnd):
+    data = {g: [round(rnd.gauss(8 * rnd.randint(0, g + 1), 1), 3) for _ in range(45)] for g in range(2)}
+    data[2] = [4.0] * 16
+    rows = [(g, i, x) for g, xs in data.items() for i, x in enumerate(xs)]
+    return data, spark.createDataFrame(rows, "g int, id int, x double")
+
+
+@pytest.mark.parametrize("slice_values", [100_000, 9])
+def test_best_of_several_starts(spark, monkeypatch, slice_values):
+    """Every start against brute force, the one of least inertia stays, whatever
+    slices a group's values are cut into."""
+    monkeypatch.setattr(cl, "SLICE_VALUES", slice_values)
+    data, pts = three_groups(spark, random.Random(21))
+    got = {(r["g"], r["k"]): r for r in cl.kmeans_models(pts, ["g"], starts=6).collect()}
+    assert set(got) == {(g, k) for g, xs in data.items() for k in range(2, int(np.sqrt(len(xs))))}
+    for (g, k), r in got.items():
+        ends = [steps_from(data[g], brute_seeds(data[g], k, start)) for start in range(6)]
+        best = min(inertia(data[g], c) for c in ends)
+        assert inertia(data[g], r["cents"]) == pytest.approx(best, abs=1e-6)
+        assert any(np.allclose(c, r["cents"], atol=1e-6) for c in ends)
+        lab = [sum((r["cents"][t] + r["cents"][t + 1]) / 2 < x for t in range(k - 1)) for x in data[g]]
+        want = brute_silhouette(data[g], lab)
+        assert r["score"] is None if want is None else abs(r["score"] - want) < 1e-9
+
+
+def test_starts_drawn_from_cells(spark, monkeypatch):
+    """A group of more values than cells: still fixed points of all its values,
+    and not worse than the quantiles by much."""
+    monkeypatch.setattr(cl, "SLICE_VALUES", 9)
+    monkeypatch.setattr(cl, "SEED_CELLS", 12)
+    data, pts = three_groups(spark, random.Random(5))
+    models = cl.kmeans_models(pts, ["g"], starts=8).collect()
+    assert [r for r in models if r["g"] < 2]
+    for r in models:
+        xs = data[r["g"]]
+        assert np.allclose(steps_from(xs, list(r["cents"])), r["cents"], atol=1e-9)
+        assert inertia(xs, r["cents"]) <= 1.2 * inertia(xs, brute_lloyd(xs, r["k"])) + 1e-9
+    again = cl.kmeans_models(pts.repartition(5), ["g"], starts=8).collect()
+    assert sorted((r["g"], r["k"], r["cents"]) for r in models) == sorted((r["g"], r["k"], r["cents"]) for r in again)
+
+
 def test_sweep_labels_every_point_of_scored_groups(spark):
     rnd = random.Random(3)
     pts = spark.createDataFrame([(g, i, rnd.random() * 10) for g in range(2) for i in range(50)],
