@@ -324,15 +324,15 @@ def extract_entity_triples(texts: DataFrame, annotate: Callable | None = None) -
 
 
 def extract_svo(texts: DataFrame, annotate: Callable | None = None) -> DataFrame:
-    """T9-T11 in the shape of ``extract``: entity and chunk spans merged first."""
+    """T9-T11 in the shape of ``extract``: entity and chunk spans merged first,
+    all on one row per sentence."""
     from storyloom.operators import triples as tr
-    from storyloom.session import cut_lineage
     tok, _, chunks, tags = (annotate or triple_annotations)(texts)
     place = [*TRIPLE_KEYS, "sent_id", "start", "end"]
     spans = (ent.entity_spans(tags, [*TRIPLE_KEYS, "sent_id"]).select(*place)
-             .unionByName(chunks.select(*place)).distinct())
-    merged = cut_lineage(tr.merge_spans(tok, spans, TRIPLE_KEYS))
-    found = tr.svo_triples(merged, TRIPLE_KEYS, ann.BASE_STOPWORDS)
+             .unionByName(chunks.select(*place)))
+    merged = tr.merged_records(tr.sentence_records(tok, TRIPLE_KEYS, spans), TRIPLE_KEYS)
+    found = tr.svo_of_records(merged, TRIPLE_KEYS, ann.BASE_STOPWORDS)
     return found.withColumnsRenamed({"source": "subject", "target": "object"})
 
 
