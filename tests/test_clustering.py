@@ -173,3 +173,10 @@ def test_pca_1d_against_a_direct_svd(spark):
         axis = axis * np.sign(axis[np.argmax(np.abs(axis))])
         want = centred @ axis if len(m) > 1 else np.zeros(1)
         assert np.allclose([got[g, i] for i in range(len(m))], want, atol=1e-9)
+
+
+def test_a_group_of_many_values_is_one_slice(spark):
+    """Beyond 100,000 values a step was a Spark job for every model; a million fit a task."""
+    from storyloom.operators import clustering as cl
+    points = spark.range(150_000).selectExpr("0 as g", "id * 1.0 as x")
+    assert [r.n_slices for r in cl.value_slices(points, ["g"]).collect()] == [1]
