@@ -3,6 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import SPACE, SPACES, capital_runs, letter_words, split_sentences, squeeze_space, strip_space
+from storyloom.operators import entities as ent
 from storyloom.operators import tokens as tk
 from storyloom.operators import triples as tr
 from storyloom.operators.entities import decode_bilou, strip_entities
@@ -65,3 +67,28 @@ def test_intro_terms_without_a_shuffle(spark):
     rows = pl.doc_terms(spark, pl.stripped(texts))
     assert same(table, rows) > 200
     assert shuffles(rows) == 0
+
+
+def test_runs_of_capitals_are_the_default_entities(spark):
+    rows = [("He met Anna Bob in Paris. Then A B! İz Ünal\nÉté. \u3000 ?! Bob-Anna Ox9Paris x. \u00a0\U00010400a B",), ("",), ("Bob Anna",), (None,),
+            ("-- Anna. 42 Bob Paris 7 Ünal Anna Bob",), ("a. Bob. Anna Bob Bob.Anna Paris\x0bBob",)]
+    texts = spark.createDataFrame(rows, "t string").unionByName(random_texts(spark, 120, 5).select(F.col("text").alias("t")))
+    tagged = F.flatten(F.transform(split_sentences("t"), lambda s: ann.capital_tag_array(letter_words(s))))
+    runs = capital_runs("t")
+    both = texts.select(F.array_sort(ent.bilou_entities(tagged)).alias("want"), F.array_sort(F.array_distinct(runs)).alias("got"))
+    assert both.where("not want <=> got").count() == 0 and both.where("size(got) > 0").count() > 100
+    # an intro's entities are read off its text, not token by token
+    plan = pl.stripped(texts.withColumnRenamed("t", "clean"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index" not in plan
+
+
+def test_spaces_are_the_space_class(spark):
+    every = spark.range(1, 0xFFFF).where("id < 55296 or id > 57343")
+    c = every.select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    assert c.where(F.col("c").rlike(f"^{SPACE}$") != (F.instr(F.lit(SPACES), F.col("c")) > 0)).count() == 0
+    assert c.where(F.col("c").rlike(f"^{SPACE}$")).count() == len(SPACES)
+    rows = [(" \u00a0\na b \u3000\r\n",), ("\x0b",), (None,), ("a  b\tc \n d\u00a0 e f",), ("  ",)]
+    got = spark.createDataFrame(rows, "t string").select(strip_space("t"), squeeze_space("t"),
+                                                         F.regexp_replace("t", f"{SPACE}+", " ")).collect()
+    assert [r[0] for r in got] == ["a b", "", None, "a  b\tc \n d\u00a0 e f", ""]
+    assert [r[1] for r in got] == [r[2] for r in got]
