@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.operators import clustering as cl
 
@@ -180,3 +181,18 @@ def test_a_group_of_many_values_is_one_slice(spark):
     from storyloom.operators import clustering as cl
     points = spark.range(150_000).selectExpr("0 as g", "id * 1.0 as x")
     assert [r.n_slices for r in cl.value_slices(points, ["g"]).collect()] == [1]
+
+
+def test_blocks_of_models_stay_tasks_of_their_own(spark):
+    """Costly groups of few bytes are not merged into one task."""
+    points = spark.range(4000).select(F.lit(2020).alias("year"), F.lit("en").alias("category"), "id", (F.col("id") * 7 % 1013).cast("double").alias("x"))
+    slices = cl.value_slices(points, ["year", "category"])
+    grid = cl.model_grid(points, ["year", "category"])
+    seeds = cl.seed_table(slices, grid, ["year", "category"], 5)
+    schema = T.StructType([*points.schema.fields[:2], T.StructField("k", T.IntegerType()),
+                           T.StructField("cents", T.ArrayType(T.DoubleType())), T.StructField("score", T.DoubleType())])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (cl._models_of_one_slice(slices, grid, ["year", "category"], schema),
+                 cl._models_of_one_slice(slices, grid, ["year", "category"], schema, seeds)):
+        made.count()
+        assert made.rdd.getNumPartitions() == n > 1
